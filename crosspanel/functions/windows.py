@@ -8,13 +8,11 @@ reduced to that bound by partial aggregation before any window runs.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .numeric import col
+from .numeric import col, ratio
 
 BLOCK = 512
 
@@ -23,21 +21,97 @@ def series(by: str | list[str] = "ticker", order: str = "date") -> WindowSpec:
     return W.partitionBy(*([by] if isinstance(by, str) else by)).orderBy(order)
 
 
-def trailing(n: int, by: str | list[str] = "ticker", order: str = "date") -> WindowSpec:
-    return series(by, order).rowsBetween(-(n - 1), 0)
-
-
-def rolling(fn: Callable[[Column], Column], x: str | Column, n: int, by="ticker", order="date") -> Column:
-    """fn over the last n rows; NULL unless all n values are present."""
-    w = trailing(n, by, order)
-    return F.when(F.count(col(x)).over(w) == n, fn(col(x)).over(w))
-
-
-def rolling_pair(fn: Callable[[Column, Column], Column], x: Column, y: Column, n: int, by="ticker", order="date") -> Column:
-    """Two-column rolling statistic over n complete pairs."""
-    w = trailing(n, by, order)
-    both = x.isNotNull() & y.isNotNull()
-    return F.when(F.count(F.when(both, x)).over(w) == n, fn(x, y).over(w))
+def _merge(family: str, a: dict[str, str], b: dict[str, str], na: int, nb: int) -> dict[str, str]:
+    """SQL for the state of na+nb rows from the states of na newer and nb older rows."""
+    if family == "sum":
+        return {"s": f"{a['s']} + {b['s']}"}
+    if family in ("min", "max"):
+        # least/greatest skip NULL, a strict window must not
+        pick = "least" if family == "min" else "greatest"
+        return {"e": f"if(isnotnull({a['e']}) AND isnotnull({b['e']}), {pick}({a['e']}, {b['e']}), NULL)"}
+    share, cross = float(nb / (na + nb)), float(na * nb / (na + nb))
+    dx = f"({b['m']} - {a['m']})"
+    out = {"m": f"{a['m']} + {dx} * {share!r}D", "q": f"{a['q']} + {b['q']} + {dx} * {dx} * {cross!r}D"}
+    if family == "pair":
+        dy = f"({b['my']} - {a['my']})"
+        out |= {"my": f"{a['my']} + {dy} * {share!r}D", "qy": f"{a['qy']} + {b['qy']} + {dy} * {dy} * {cross!r}D", "c": f"{a['c']} + {b['c']} + {dx} * {dy} * {cross!r}D"}
+    return out
+
+
+_FAMILY = {"sum": "sum", "avg": "sum", "min": "min", "max": "max", "std": "mom", "var": "mom", "mean": "mom", "cov": "pair", "corr": "pair"}
+
+
+def _start(family: str, cols: tuple[str, ...]) -> dict[str, str]:
+    x = f"CAST({cols[0]} AS DOUBLE)"
+    if family == "sum":
+        return {"s": x}
+    if family in ("min", "max"):
+        return {"e": x}
+    if family == "mom":
+        return {"m": x, "q": f"if(isnotnull({x}), 0D, NULL)"}
+    y = f"CAST({cols[1]} AS DOUBLE)"
+    both = f"isnotnull({x}) AND isnotnull({y})"
+    return {"m": f"if({both}, {x}, NULL)", "my": f"if({both}, {y}, NULL)", **{f: f"if({both}, 0D, NULL)" for f in ("q", "qy", "c")}}
+
+
+def _finish(fn: str, s: dict[str, str], n: int) -> str:
+    return {
+        "sum": lambda: s["s"], "avg": lambda: f"{s['s']} / {n}D", "min": lambda: s["e"], "max": lambda: s["e"], "mean": lambda: s["m"],
+        "var": lambda: f"{s['q']} / {n - 1}D", "std": lambda: f"sqrt({s['q']} / {n - 1}D)", "cov": lambda: f"{s['c']} / {n - 1}D",
+        "corr": lambda: f"try_divide({s['c']}, sqrt({s['q']} * {s['qy']}))",
+    }[fn]()
+
+
+def rolling(df: DataFrame, specs: dict[str, tuple], by: str = "ticker", order: str = "date") -> DataFrame:
+    """Add strict rolling statistics: {out: (fn, column[, column2], n)}.
+
+    A value needs all n rows of the window, none of them NULL. Sliding window
+    frames cost n updates per row; here a window of n rows is put together from
+    blocks of 1, 2, 4, ... rows reached by `lag`, so the cost per row is
+    log2(n) whatever the length, every lag of one level shares one Window
+    operator, and all levels share one shuffle and sort. Means and variances
+    merge pairwise, which keeps full precision (no running-sum cancellation).
+    """
+    over = f"OVER (PARTITION BY {by} ORDER BY {order})"
+    keep = list(df.columns)
+    plan = []
+    for i, (out, spec) in enumerate(specs.items()):
+        fn, cols, n = spec[0], tuple(spec[1:-1]), spec[-1]
+        plan.append(dict(out=out, fn=fn, key=(_FAMILY[fn], cols), n=n, tag=f"_a{i}", have=0))
+    # outputs of one family, column and length share their state (mean and std, say)
+    first: dict[tuple, dict] = {}
+    for p in plan:
+        p["lead"] = first.setdefault((p["key"], p["n"]), p)
+    states = list(first.values())
+    blocks = {k: f"_b{i}" for i, k in enumerate(dict.fromkeys(p["key"] for p in states))}
+    parts = {k: list(_start(*k)) for k in blocks}
+    longest = {k: max(p["n"] for p in states if p["key"] == k) for k in blocks}
+    cur = [f"{c} AS {t}_{f}" for k, t in blocks.items() for f, c in _start(*k).items()]
+    width = 1
+    while width <= max(longest.values()):
+        live = [k for k in blocks if 2 * width <= longest[k]]
+        taking = [p for p in states if p["n"] & width]
+        df = df.selectExpr(*keep, *cur)
+        lags = [f"lag({blocks[k]}_{f}, {width}) {over} AS _l{blocks[k]}_{f}" for k in live for f in parts[k]]
+        lags += [f"lag({blocks[p['key']]}_{f}, {p['have']}) {over} AS _l{p['tag']}_{f}" for p in taking if p["have"] for f in parts[p["key"]]]
+        df = df.selectExpr("*", *lags) if lags else df
+        cur = []
+        for k in live:
+            m = _merge(k[0], {f: f"{blocks[k]}_{f}" for f in parts[k]}, {f: f"_l{blocks[k]}_{f}" for f in parts[k]}, width, width)
+            cur += [f"{c} AS {blocks[k]}_{f}" for f, c in m.items()]
+        for p in states:
+            own = {f: f"{p['tag']}_{f}" for f in parts[p["key"]]}
+            if not p["n"] & width:
+                cur += list(own.values()) if p["have"] else []
+                continue
+            src = {f: (f"_l{p['tag']}_{f}" if p["have"] else f"{blocks[p['key']]}_{f}") for f in own}
+            new = _merge(p["key"][0], own, src, p["have"], width) if p["have"] else src
+            cur += [f"{c} AS {own[f]}" for f, c in new.items()]
+            p["have"] += width
+        width *= 2
+    df = df.selectExpr(*keep, *cur)
+    outs = [_finish(p["fn"], {f: f"{p['lead']['tag']}_{f}" for f in parts[p["key"]]}, p["n"]) + f" AS {p['out']}" for p in plan]
+    return df.selectExpr(*keep, *outs)
 
 
 def lag(x: str | Column, n: int = 1, by="ticker", order="date") -> Column:
@@ -60,29 +134,21 @@ def ewm(df: DataFrame, specs: dict[str, tuple[str, float]], by: str = "ticker",
     and the value at the end of the earlier blocks decays by (1-a)^(j+1). Blocks
     keep the powers inside double range; the carry folds the block ends.
     """
-    base = series(by, order)
-    df = df.withColumn("_rn", F.row_number().over(base) - 1)
-    first = {o: F.min(F.when(F.col(x).isNotNull(), F.col("_rn"))).over(base.rowsBetween(W.unboundedPreceding, 0)) for o, (x, _) in specs.items()}
-    df = df.select("*", F.floor(F.col("_rn") / BLOCK).alias("_blk"), (F.col("_rn") % BLOCK).alias("_j"),
-                   *[f.alias(f"_first_{o}") for o, f in first.items()])
-    local = W.partitionBy(by, "_blk").orderBy("_rn").rowsBetween(W.unboundedPreceding, 0)
-    parts = []
-    for o, (x, a) in specs.items():
-        q = F.lit(1.0 - a)
-        coef = F.when(F.col("_rn") == F.col(f"_first_{o}"), F.lit(1.0)).otherwise(F.lit(float(a)))
-        term = F.coalesce(coef * F.col(x) * F.pow(q, -F.col("_j")), F.lit(0.0))
-        parts.append((F.pow(q, F.col("_j")) * F.sum(term).over(local)).alias(f"_loc_{o}"))
-    df = df.select("*", *parts)
-    ends = base.rowsBetween(W.unboundedPreceding, 0)
+    keep = list(df.columns)
+    over = f"OVER (PARTITION BY {by} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    local = f"OVER (PARTITION BY {by}, _blk ORDER BY _rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    df = df.selectExpr("*", f"row_number() OVER (PARTITION BY {by} ORDER BY {order}) - 1 AS _rn")
+    df = df.selectExpr("*", f"_rn DIV {BLOCK} AS _blk", f"_rn % {BLOCK} AS _j", *[f"min(if(isnotnull({x}), _rn, NULL)) {over} AS _f_{o}" for o, (x, _) in specs.items()])
+    terms = [f"coalesce(if(_rn = _f_{o}, 1D, {float(a)!r}D) * {x} * pow({1.0 - a!r}D, -_j), 0D) AS _t_{o}" for o, (x, a) in specs.items()]
+    df = df.selectExpr("*", *terms)
+    df = df.selectExpr("*", *[f"pow({1.0 - a!r}D, _j) * sum(_t_{o}) {local} AS _loc_{o}" for o, (x, a) in specs.items()])
+    # local sums at the ends of earlier blocks; the row that ends a block already holds its own
+    last = BLOCK - 1
+    df = df.selectExpr("*", *[f"collect_list(if(_j = {last}, _loc_{o}, NULL)) {over} AS _e_{o}" for o in specs])
     outs = []
     for o, (x, a) in specs.items():
         q = 1.0 - a
-        full = q**BLOCK
-        done = F.collect_list(F.when(F.col("_j") == BLOCK - 1, F.col(f"_loc_{o}"))).over(ends)
-        # the row that ends a block already holds its own local sum
-        before = F.when(F.col("_j") == BLOCK - 1, F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(done)
-        carry = F.aggregate(before, F.lit(0.0), lambda acc, e: acc * F.lit(full) + e)
-        y = F.col(f"_loc_{o}") + F.when(F.col("_blk") > 0, F.pow(F.lit(q), F.col("_j") + 1) * carry).otherwise(F.lit(0.0))
-        outs.append(F.when(F.col("_rn") >= F.col(f"_first_{o}"), y).alias(o))
-    df = df.select("*", *outs)
-    return df.drop("_rn", "_blk", "_j", *[f"_first_{o}" for o in specs], *[f"_loc_{o}" for o in specs])
+        before = f"if(_j = {last}, slice(_e_{o}, 1, greatest(size(_e_{o}) - 1, 0)), _e_{o})"
+        carry = f"aggregate({before}, 0D, (acc, e) -> acc * {q**BLOCK!r}D + e)"
+        outs.append(f"if(_rn >= _f_{o}, _loc_{o} + if(_blk > 0, pow({q!r}D, _j + 1) * {carry}, 0D), NULL) AS {o}")
+    return df.selectExpr(*keep, *outs)

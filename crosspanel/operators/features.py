@@ -1,4 +1,4 @@
-"""Per-ticker features. Each function returns named columns over the series window.
+"""Per-ticker features over the series window.
 
 All of them share one partitioning (ticker) and one order (date), so Spark runs
 the whole set after a single exchange and sort.
@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import EPS, flag, log_ratio, ratio
-from ..functions.windows import ewm, lag, rolling, rolling_pair, series
+from ..functions.windows import ewm, lag, rolling, series
 
 H, L, V = "high", "low", "volume"
 CALENDAR = ("day_of_week", "day_of_month", "month", "is_expiry_week")
@@ -34,6 +34,12 @@ def with_columns(df: DataFrame, cols: Cols) -> DataFrame:
     return df.select("*", *[c.alias(n) for n, c in cols.items()])
 
 
+def add_rolling(df: DataFrame, specs: dict[str, tuple], cols, drop: tuple[str, ...] = ()) -> DataFrame:
+    """Rolling helpers, the columns computed from them, then drop the helpers."""
+    return with_columns(rolling(df, specs), cols()).drop(*specs, *drop)
+
+
+# --- returns ---------------------------------------------------------------
 def log_returns(ns=(1, 2, 3, 5, 10, 21), price: str = "close") -> Cols:
     return {f"ret_{n}d": log_ratio(price, lag(price, n)) for n in ns}
 
@@ -42,30 +48,58 @@ def cumulative_returns(ns=(5, 10, 21, 63), price: str = "close", prefix: str = "
     return {f"{prefix}{n}{suffix}": ratio(price, lag(price, n)) - 1.0 for n in ns}
 
 
-def sma_distance(ns=(5, 10, 20, 50, 200), price: str = "close", eps: float = EPS) -> Cols:
-    return {f"dist_sma{n}": ratio(price, rolling(F.avg, price, n) + eps) - 1.0 for n in ns}
+# Each group below is (rolling specs, columns from them); the builder merges the
+# specs of all groups into one rolling pass.
+def sma_specs(ns=(5, 10, 20, 50, 200), price: str = "close") -> dict[str, tuple]:
+    return {f"_sma{n}": ("avg", price, n) for n in ns}
+
+
+def sma_columns(ns=(5, 10, 20, 50, 200), price: str = "close", eps: float = EPS) -> Cols:
+    return {f"dist_sma{n}": ratio(price, F.col(f"_sma{n}") + eps) - 1.0 for n in ns}
+
+
+def sma_distance(df: DataFrame, ns=(5, 10, 20, 50, 200), eps: float = EPS) -> DataFrame:
+    return add_rolling(df, sma_specs(ns), lambda: sma_columns(ns, eps=eps))
+
+
+def range_specs(ns=(10, 21, 63), price: str = "close") -> dict[str, tuple]:
+    return {f"_{f}{n}": (f, price, n) for n in ns for f in ("min", "max")}
 
 
-def range_position(ns=(10, 21, 63), price: str = "close") -> Cols:
-    out = {}
-    for n in ns:
-        lo, hi = rolling(F.min, price, n), rolling(F.max, price, n)
-        out[f"price_pos_{n}d"] = ratio(F.col(price) - lo, hi - lo + EPS)
-    return out
+def range_columns(ns=(10, 21, 63), price: str = "close") -> Cols:
+    return {f"price_pos_{n}d": ratio(F.col(price) - F.col(f"_min{n}"), F.col(f"_max{n}") - F.col(f"_min{n}") + EPS) for n in ns}
+
+
+def range_position(df: DataFrame, ns=(10, 21, 63)) -> DataFrame:
+    return add_rolling(df, range_specs(ns), lambda: range_columns(ns))
+
+
+def stochastic_specs(k: int = 14) -> dict[str, tuple]:
+    return {"_lo": ("min", L, k), "_hi": ("max", H, k)}
+
+
+def stochastic_columns() -> Cols:
+    return {"stoch_k": 100.0 * ratio(F.col("close") - F.col("_lo"), F.col("_hi") - F.col("_lo") + EPS)}
 
 
 def stochastic(df: DataFrame, k: int = 14, d: int = 3) -> DataFrame:
-    lo, hi = rolling(F.min, L, k), rolling(F.max, H, k)
-    df = with_columns(df, {"stoch_k": 100.0 * ratio(F.col("close") - lo, hi - lo + EPS)})
-    return with_columns(df, {"stoch_d": rolling(F.avg, "stoch_k", d)})
+    return rolling(add_rolling(df, stochastic_specs(k), stochastic_columns), {"stoch_d": ("avg", "stoch_k", d)})
+
 
+def bollinger_specs(n: int = 20, price: str = "close") -> dict[str, tuple]:
+    return {"_mid": ("mean", price, n), "_sd": ("std", price, n)}
 
-def bollinger(n: int = 20, price: str = "close") -> Cols:
-    mid, sd = rolling(F.avg, price, n), rolling(F.stddev_samp, price, n)
-    up, dn = mid + 2 * sd, mid - 2 * sd
-    return {"bb_pctb": ratio(F.col(price) - dn, up - dn + EPS), "bb_width": ratio(up - dn, mid + EPS)}
 
+def bollinger_columns(price: str = "close") -> Cols:
+    up, dn = F.col("_mid") + 2 * F.col("_sd"), F.col("_mid") - 2 * F.col("_sd")
+    return {"bb_pctb": ratio(F.col(price) - dn, up - dn + EPS), "bb_width": ratio(up - dn, F.col("_mid") + EPS)}
 
+
+def bollinger(df: DataFrame, n: int = 20) -> DataFrame:
+    return add_rolling(df, bollinger_specs(n), bollinger_columns)
+
+
+# --- oscillators -----------------------------------------------------------
 def true_range() -> Column:
     """Row 1 has no previous close: its range is high - low."""
     prev = lag("close")
@@ -87,8 +121,8 @@ def rsi_wilder(df: DataFrame, n: int = 14) -> DataFrame:
 
 
 def rsi_simple(df: DataFrame, n: int = 14) -> DataFrame:
-    df = with_columns(df, moves())
-    return with_columns(df, {f"rsi_{n}": rsi_from(rolling(F.avg, "_up", n), rolling(F.avg, "_dn", n))}).drop("_up", "_dn")
+    specs = {"_au": ("avg", "_up", n), "_ad": ("avg", "_dn", n)}
+    return add_rolling(with_columns(df, moves()), specs, lambda: {f"rsi_{n}": rsi_from(F.col("_au"), F.col("_ad"))}, ("_up", "_dn"))
 
 
 def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
@@ -115,21 +149,29 @@ def adx(df: DataFrame, n: int = 14) -> DataFrame:
     return ewm(df, {"adx": ("_dx", 1 / n)}).drop("_tr", "_pdm", "_ndm", "_etr", "_ep", "_en", "_dx")
 
 
-def realised_vol(ns=(10, 21, 63), ret: str = "ret_1d") -> Cols:
-    return {f"rvol_{n}d": rolling(F.stddev_samp, ret, n) for n in ns}
+# --- volatility and volume -------------------------------------------------
+def realised_vol(df: DataFrame, ns=(10, 21, 63), ret: str = "ret_1d") -> DataFrame:
+    return rolling(df, {f"rvol_{n}d": ("std", ret, n) for n in ns})
+
 
+def parkinson_term() -> Column:
+    return F.pow(log_ratio(H, L), 2.0) / (4.0 * math.log(2.0))
 
-def parkinson_vol(n: int = 21) -> Cols:
-    sq = F.pow(log_ratio(H, L), 2.0) / (4.0 * math.log(2.0))
-    return {f"park_vol_{n}": F.sqrt(rolling(F.avg, sq, n))}
 
+def parkinson_vol(df: DataFrame, n: int = 21) -> DataFrame:
+    return add_rolling(df.withColumn("_pk", parkinson_term()), {"_pkm": ("avg", "_pk", n)}, lambda: {f"park_vol_{n}": F.sqrt("_pkm")}, ("_pk",))
 
-def zscore_of(x: str, n: int) -> Column:
-    return ratio(F.col(x) - rolling(F.avg, x, n), rolling(F.stddev_samp, x, n) + EPS)
 
+def zscore_specs(x: str, n: int, tag: str) -> dict[str, tuple]:
+    return {f"_{tag}m": ("mean", x, n), f"_{tag}s": ("std", x, n)}
 
-def volume_zscore(n: int = 20) -> Cols:
-    return {f"vol_z{n}": zscore_of(V, n)}
+
+def zscore_column(x: str, tag: str) -> Column:
+    return ratio(F.col(x) - F.col(f"_{tag}m"), F.col(f"_{tag}s") + EPS)
+
+
+def volume_zscore(df: DataFrame, n: int = 20) -> DataFrame:
+    return add_rolling(df, zscore_specs(V, n, "v"), lambda: {f"vol_z{n}": zscore_column(V, "v")})
 
 
 def obv(df: DataFrame) -> DataFrame:
@@ -138,29 +180,44 @@ def obv(df: DataFrame) -> DataFrame:
 
 
 def obv_zscore(df: DataFrame, n: int = 20) -> DataFrame:
-    return obv(df).withColumn(f"obv_z{n}", zscore_of("obv", n)).drop("obv")
+    return add_rolling(obv(df), zscore_specs("obv", n, "o"), lambda: {f"obv_z{n}": zscore_column("obv", "o")}, ("obv",))
 
 
-def vwap_deviation(n: int = 20) -> Cols:
+def traded_terms() -> Cols:
     typical = (F.col("open") + F.col(H) + F.col(L) + F.col("close")) / 4.0
-    vwap = ratio(rolling(F.sum, typical * F.col(V), n), rolling(F.sum, V, n) + EPS)
-    return {"vwap_dev": ratio("close", vwap + EPS) - 1.0}
+    return {"_tpv": typical * F.col(V), "_cv": F.col("close") * F.col(V)}
+
+
+def vwap_specs(n: int = 20) -> dict[str, tuple]:
+    return {"_stpv": ("sum", "_tpv", n), "_sv20": ("sum", V, n)}
+
+
+def vwap_columns() -> Cols:
+    return {"vwap_dev": ratio("close", ratio("_stpv", F.col("_sv20") + EPS) + EPS) - 1.0}
+
+
+def vwap_deviation(df: DataFrame, n: int = 20) -> DataFrame:
+    return add_rolling(with_columns(df, traded_terms()), vwap_specs(n), vwap_columns, ("_tpv", "_cv"))
 
 
 def volume_roc(ns=(5, 21)) -> Cols:
     return {f"volume_roc_{n}d": log_ratio(F.col(V) + 1.0, lag(V, n) + 1.0) for n in ns}
 
 
-def dollar_volume(n: int = 20) -> Cols:
-    return {f"dollar_vol_{n}d": F.log1p(rolling(F.avg, F.col("close") * F.col(V), n))}
+def dollar_volume(df: DataFrame, n: int = 20) -> DataFrame:
+    return add_rolling(with_columns(df, traded_terms()), {"_mcv": ("avg", "_cv", n)}, lambda: {f"dollar_vol_{n}d": F.log1p("_mcv")}, ("_tpv", "_cv"))
+
+
+def return_volume_corr(df: DataFrame, n: int = 21, ret: str = "ret_1d", vz: str = "vol_z20") -> DataFrame:
+    return rolling(df, {f"ret_vol_corr_{n}d": ("corr", ret, vz, n)})
 
 
-def return_volume_corr(n: int = 21, ret: str = "ret_1d", vz: str = "vol_z20") -> Cols:
-    return {f"ret_vol_corr_{n}d": rolling_pair(F.corr, F.col(ret), F.col(vz), n)}
+def weak_breakout_column(n: int = 21) -> Cols:
+    return {f"weak_breakout_{n}d": flag((F.col("close") >= F.col(f"_max{n}")) & (F.col(V) < F.col("_vm")))}
 
 
-def weak_breakout(n: int = 21, m: int = 20) -> Cols:
-    return {f"weak_breakout_{n}d": flag((F.col("close") >= rolling(F.max, "close", n)) & (F.col(V) < rolling(F.avg, V, m)))}
+def weak_breakout(df: DataFrame, n: int = 21, m: int = 20) -> DataFrame:
+    return add_rolling(df, {f"_max{n}": ("max", "close", n), "_vm": ("mean", V, m)}, lambda: weak_breakout_column(n))
 
 
 def calendar_features(day: str = "date") -> Cols:
@@ -168,26 +225,34 @@ def calendar_features(day: str = "date") -> Cols:
     return {"day_of_week": dow, "day_of_month": dom, "month": F.month(day), "is_expiry_week": flag((dow == 3) & (dom >= 24))}
 
 
+# --- builders --------------------------------------------------------------
 def simple_return_features(df: DataFrame) -> DataFrame:
     """Lean price-only set: ret_5/10/21/63, vol_21, rsi_14 (simple mean), dist_sma20/50."""
-    df = with_columns(df, {**cumulative_returns(prefix="ret_", suffix=""), "_r1": ratio("close", lag("close")) - 1.0, **sma_distance((20, 50), eps=0.0)})
-    df = df.withColumn("vol_21", rolling(F.stddev_samp, "_r1", 21)).drop("_r1")
-    return rsi_simple(df)
+    df = with_columns(df, {**cumulative_returns(prefix="ret_", suffix=""), "_r1": ratio("close", lag("close")) - 1.0, **moves()})
+    specs = {**sma_specs((20, 50)), "vol_21": ("std", "_r1", 21), "_au": ("avg", "_up", 14), "_ad": ("avg", "_dn", 14)}
+    df = with_columns(rolling(df, specs), {**sma_columns((20, 50), eps=0.0), "rsi_14": rsi_from(F.col("_au"), F.col("_ad"))})
+    return df.drop("_r1", "_up", "_dn", "_au", "_ad", "_sma20", "_sma50")
 
 
 def ticker_features(bars: DataFrame) -> DataFrame:
-    """All per-ticker features; three dependent window passes over one exchange."""
-    base = {**log_returns(), **cumulative_returns(), **sma_distance(), **range_position(), **bollinger(), **parkinson_vol(), **volume_zscore(),
-            **vwap_deviation(), **volume_roc(), **dollar_volume(), **weak_breakout(), **calendar_features(), **moves(),
-            "_tr": true_range(), "_sv": F.signum(F.col("close") - lag("close")) * F.col(V),
-            "stoch_k": 100.0 * ratio(F.col("close") - rolling(F.min, L, 14), rolling(F.max, H, 14) - rolling(F.min, L, 14) + EPS)}
-    df = with_columns(bars, base)
-    df = with_columns(df, {"stoch_d": rolling(F.avg, "stoch_k", 3), **realised_vol(), **return_volume_corr(),
-                           "_obv": F.sum("_sv").over(series().rowsBetween(W.unboundedPreceding, 0))})
-    df = df.withColumn("obv_z20", zscore_of("_obv", 20))
+    """All per-ticker features over one exchange and one sort.
+
+    Lag columns first, then one shared rolling pass, the exponential means, and a
+    last rolling pass for the two features that need a rolling feature as input.
+    """
+    df = with_columns(bars, {**log_returns(), **cumulative_returns(), **volume_roc(), **calendar_features(), **moves(), **traded_terms(),
+                             "_tr": true_range(), "_pk": parkinson_term(), "_sv": F.signum(F.col("close") - lag("close")) * F.col(V)})
+    df = df.withColumn("_obv", F.sum("_sv").over(series().rowsBetween(W.unboundedPreceding, 0)))
+    df = rolling(df, {**sma_specs(), **range_specs(), **stochastic_specs(), **bollinger_specs(), **zscore_specs(V, 20, "v"), **zscore_specs("_obv", 20, "o"),
+                      **vwap_specs(), "_mcv": ("avg", "_cv", 20), "_pkm": ("avg", "_pk", 21), **{f"rvol_{n}d": ("std", "ret_1d", n) for n in (10, 21, 63)}})
+    df = with_columns(df, {**sma_columns(), **range_columns(), **stochastic_columns(), **bollinger_columns(), "vol_z20": zscore_column(V, "v"), "obv_z20": zscore_column("_obv", "o"),
+                           **vwap_columns(), "dollar_vol_20d": F.log1p("_mcv"), "park_vol_21": F.sqrt("_pkm"), **weak_breakout_column()})
+    done = [c for c in TICKER_FEATURES if c in df.columns]
+    df = df.select(*bars.columns, *done, "_up", "_dn", "_tr")
     df = ewm(df, {"_eu": ("_up", 1 / 14), "_ed": ("_dn", 1 / 14), "_atr": ("_tr", 1 / 14), "_ef": ("close", 2 / 13), "_es": ("close", 2 / 27)})
     df = df.withColumn("macd", F.col("_ef") - F.col("_es"))
     df = ewm(df, {"macd_signal": ("macd", 2 / 10)})
     df = with_columns(df, {"macd_hist": F.col("macd") - F.col("macd_signal"), "rsi_14": rsi_from(F.col("_eu"), F.col("_ed")),
                            "atr_norm": ratio("_atr", F.col("close") + EPS)})
+    df = rolling(df, {"stoch_d": ("avg", "stoch_k", 3), "ret_vol_corr_21d": ("corr", "ret_1d", "vol_z20", 21)})
     return df.select(*bars.columns, *TICKER_FEATURES)

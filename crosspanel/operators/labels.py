@@ -66,7 +66,7 @@ def triple_barrier(bars: DataFrame, h: int, up_mult: float = 2.0, dn_mult: float
 
 def volatility_barrier(bars: DataFrame, h: int, mult: float = 1.5) -> DataFrame:
     """Close-only barriers at +-mult * rolling std; ties and the unlabelled tail are 0."""
-    df = bars.withColumn("_r", ratio("close", lag("close")) - 1.0).withColumn("_v", rolling(F.stddev_samp, "_r", 21))
+    df = rolling(bars.withColumn("_r", ratio("close", lag("close")) - 1.0), {"_v": ("std", "_r", 21)})
     up, dn = F.col("close") * (1.0 + mult * F.col("_v")), F.col("close") * (1.0 - mult * F.col("_v"))
     t_up, t_dn = first_touch(h, up, dn, "close", "close")
     df = df.select("*", t_up.alias("_tu"), t_dn.alias("_td"), lead("close", h).isNotNull().alias("_ok"))

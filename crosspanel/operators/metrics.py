@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.numeric import finite, ratio, rnd
+from ..functions.numeric import ratio, rnd
 from ..functions.ordered import average_rank_in
 
 EULER_GAMMA = 0.5772156649015329
@@ -25,8 +25,8 @@ def spearman(df: DataFrame, a: str, b: str, by: list[str] | None = None, k: int
     k = k or (16 if by else POOLED_SEGMENTS)
     pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     r = average_rank_in(average_rank_in(pairs, by, a, "_ra", k=k, bounded=bounded), by, b, "_rb", k=k, bounded=bounded)
-    corr = F.when(F.stddev_pop("_ra") * F.stddev_pop("_rb") > 0, F.corr("_ra", "_rb"))
-    return r.groupBy(*by).agg(F.when(F.count(F.lit(1)) >= 2, finite(corr)).alias("ic"), F.count(F.lit(1)).alias("n"))
+    corr = ratio(F.covar_pop("_ra", "_rb"), F.stddev_pop("_ra") * F.stddev_pop("_rb"))
+    return r.groupBy(*by).agg(F.when(F.count(F.lit(1)) >= 2, corr).alias("ic"), F.count(F.lit(1)).alias("n"))
 
 
 def pooled_ic(preds: DataFrame, pred: str = "pred", target: str = "fwd_ret") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import EPS, log_ratio, ratio
-from ..functions.windows import lag, rolling, rolling_pair
+from ..functions.windows import lag, rolling
 from ..sources.panel import INDEX, VIX
 
 REGIME = ("nifty_dist_sma50", "nifty_dist_sma200", "nifty_ret_5d", "nifty_ret_21d", "vix", "vix_change_5d", "vix_z20")
@@ -21,17 +21,17 @@ def split_index(index_bars: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def index_features(idx: DataFrame) -> DataFrame:
     """One series of at most one row per calendar day, hence a constant window key."""
-    p, k = "nifty_close", dict(by="_one")
-    df = idx.withColumn("_one", F.lit(0))
-    cols = {f"nifty_dist_sma{n}": ratio(p, rolling(F.avg, p, n, **k)) - 1.0 for n in (50, 200)}
-    cols |= {f"nifty_ret_{n}d": log_ratio(p, lag(p, n, **k)) for n in (5, 21)}
-    return df.select("*", *[c.alias(n) for n, c in cols.items()]).drop("_one")
+    p = "nifty_close"
+    df = rolling(idx.withColumn("_one", F.lit(0)), {"_m50": ("avg", p, 50), "_m200": ("avg", p, 200)}, by="_one")
+    cols = {f"nifty_dist_sma{n}": ratio(p, F.col(f"_m{n}")) - 1.0 for n in (50, 200)}
+    cols |= {f"nifty_ret_{n}d": log_ratio(p, lag(p, n, by="_one")) for n in (5, 21)}
+    return df.select("date", p, *[c.alias(n) for n, c in cols.items()])
 
 
 def vix_features(vix: DataFrame) -> DataFrame:
-    k = dict(by="_one")
-    z = ratio(F.col("vix") - rolling(F.avg, "vix", 20, **k), rolling(F.stddev_samp, "vix", 20, **k) + EPS)
-    return vix.withColumn("_one", F.lit(0)).select("date", "vix", (ratio("vix", lag("vix", 5, **k)) - 1.0).alias("vix_change_5d"), z.alias("vix_z20"))
+    df = rolling(vix.withColumn("_one", F.lit(0)), {"_m": ("mean", "vix", 20), "_s": ("std", "vix", 20)}, by="_one")
+    change = ratio("vix", lag("vix", 5, by="_one")) - 1.0
+    return df.select("date", "vix", change.alias("vix_change_5d"), ratio(F.col("vix") - F.col("_m"), F.col("_s") + EPS).alias("vix_z20"))
 
 
 def regime_table(index_bars: DataFrame) -> DataFrame:
@@ -47,5 +47,6 @@ def attach_regime(panel: DataFrame, regime: DataFrame) -> DataFrame:
 
 def relative_features(panel: DataFrame, n: int = 63) -> DataFrame:
     """beta_63d and alpha_5d against the index over the ticker's own rows."""
-    beta = ratio(rolling_pair(F.covar_samp, F.col("ret_5d"), F.col("nifty_ret_5d"), n), rolling(F.var_samp, "nifty_ret_5d", n) + EPS)
-    return panel.withColumn(f"beta_{n}d", beta).withColumn("alpha_5d", F.col("ret_5d") - F.col(f"beta_{n}d") * F.col("nifty_ret_5d"))
+    df = rolling(panel, {"_cov": ("cov", "ret_5d", "nifty_ret_5d", n), "_var": ("var", "nifty_ret_5d", n)})
+    df = df.withColumn(f"beta_{n}d", ratio("_cov", F.col("_var") + EPS)).drop("_cov", "_var")
+    return df.withColumn("alpha_5d", F.col("ret_5d") - F.col(f"beta_{n}d") * F.col("nifty_ret_5d"))

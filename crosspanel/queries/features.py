@@ -23,22 +23,19 @@ LAGGED = [f"ret_{n}d" for n in (1, 2, 3, 5, 10, 21)]
 
 def _register_simple():
     # column expressions need an active session, so names are listed here
-    simple = {
+    columns = {
         "log_returns": (ft.log_returns, LAGGED, 6), "cumulative_returns": (ft.cumulative_returns, [f"cum_ret_{n}d" for n in (5, 10, 21, 63)], 6),
-        "sma_distance": (ft.sma_distance, [f"dist_sma{n}" for n in (5, 10, 20, 50, 200)], 6), "range_position": (ft.range_position, [f"price_pos_{n}d" for n in (10, 21, 63)], 6),
-        "bollinger": (ft.bollinger, ["bb_pctb", "bb_width"], 6), "parkinson_vol": (ft.parkinson_vol, ["park_vol_21"], 6), "volume_zscore": (ft.volume_zscore, ["vol_z20"], 6),
-        "vwap_deviation": (ft.vwap_deviation, ["vwap_dev"], 6), "volume_roc": (ft.volume_roc, ["volume_roc_5d", "volume_roc_21d"], 6),
-        "dollar_volume": (ft.dollar_volume, ["dollar_vol_20d"], 6), "weak_breakout": (ft.weak_breakout, ["weak_breakout_21d"], 0),
+        "volume_roc": (ft.volume_roc, ["volume_roc_5d", "volume_roc_21d"], 6),
     }
-    for name, (make, names, digits) in simple.items():
-        def run(spark, root, make=make, names=names, digits=digits):
-            return rounded(ft.with_columns(panel.bars(spark, root), make()), KEYS, names, digits)
-        query(_sql(names, digits), name)(run)
     frames = {
+        **{n: (lambda b, make=make: ft.with_columns(b, make()), names, d) for n, (make, names, d) in columns.items()},
+        "sma_distance": (ft.sma_distance, [f"dist_sma{n}" for n in (5, 10, 20, 50, 200)], 6), "range_position": (ft.range_position, [f"price_pos_{n}d" for n in (10, 21, 63)], 6),
+        "bollinger": (ft.bollinger, ["bb_pctb", "bb_width"], 6), "parkinson_vol": (ft.parkinson_vol, ["park_vol_21"], 6), "volume_zscore": (ft.volume_zscore, ["vol_z20"], 6),
+        "vwap_deviation": (ft.vwap_deviation, ["vwap_dev"], 6), "dollar_volume": (ft.dollar_volume, ["dollar_vol_20d"], 6), "weak_breakout": (ft.weak_breakout, ["weak_breakout_21d"], 0),
         "stochastic": (ft.stochastic, ["stoch_k", "stoch_d"], 5), "rsi_wilder": (ft.rsi_wilder, ["rsi_14"], 5), "macd": (ft.macd, ["macd", "macd_signal", "macd_hist"], 4),
         "atr_wilder": (ft.atr_wilder, ["atr_norm"], 6), "obv_zscore": (ft.obv_zscore, ["obv_z20"], 5),
-        "realised_vol": (lambda b: ft.with_columns(ft.with_columns(b, ft.log_returns((1,))), ft.realised_vol()), ["rvol_10d", "rvol_21d", "rvol_63d"], 6),
-        "return_volume_corr": (lambda b: ft.with_columns(ft.with_columns(b, {**ft.log_returns((1,)), **ft.volume_zscore()}), ft.return_volume_corr()), ["ret_vol_corr_21d"], 6),
+        "realised_vol": (lambda b: ft.realised_vol(ft.with_columns(b, ft.log_returns((1,)))), ["rvol_10d", "rvol_21d", "rvol_63d"], 6),
+        "return_volume_corr": (lambda b: ft.return_volume_corr(ft.volume_zscore(ft.with_columns(b, ft.log_returns((1,))))), ["ret_vol_corr_21d"], 6),
     }
     for name, (make, names, digits) in frames.items():
         def run(spark, root, make=make, names=names, digits=digits):
@@ -166,7 +163,7 @@ def _pct(c):
     return f"CASE WHEN {c} IS NOT NULL THEN {avg_rank(c, 'date')}/count({c}) OVER (PARTITION BY date) END"
 
 
-_FT = {**{c: (0 if c in ft.CALENDAR else 4) for c in _ALL}, **dict.fromkeys(_RK, 6)}
+_FT = {**{c: (0 if c in ft.CALENDAR else 2 if c == "rsi_14" else 4) for c in _ALL}, **dict.fromkeys(_RK, 6)}
 
 
 @query(f"WITH {FEATS}, {REGIME}, {REL}, z AS (SELECT ticker, date, {', '.join(f'{_z(c)} AS {c}' for c in _ALL)} FROM rel), "
