@@ -19,18 +19,26 @@ SEGMENTS = 16
 SALTS = 16
 
 
+def _step(k: int) -> int:
+    return max(1, int(k**0.5))
+
+
 def _cuts(value: Column, k: int) -> Column:
     probs = F.array(*[F.lit(i / k) for i in range(1, k)])
     return F.array_distinct(F.percentile_approx(value, probs, F.lit(max(100, 10 * k))))
 
 
-def _below(edges: Column, v: Column, k: int) -> Column:
-    """Number of edges < v; two short scans instead of one long one for many edges."""
-    if k <= 64:
-        return F.size(F.filter(edges, lambda e: e < v))
-    step = int(k**0.5)
-    coarse = F.size(F.filter(F.filter(edges, lambda e, i: i % step == step - 1), lambda e: e < v))
-    return coarse * step + F.size(F.filter(F.slice(edges, coarse * step + 1, step), lambda e: e < v))
+def _coarse(edges: Column, k: int) -> Column:
+    """Every sqrt(k)-th edge, worked out once per group."""
+    step = _step(k)
+    return F.filter(edges, lambda e, i: i % step == step - 1)
+
+
+def _below(edges: Column, coarse: Column, v: Column, k: int) -> Column:
+    """Number of edges < v: scan the coarse edges, then the few between two of them."""
+    step = _step(k)
+    at = F.size(F.filter(coarse, lambda e: e < v)) * step
+    return at + F.size(F.filter(F.slice(edges, at + 1, F.lit(step)), lambda e: e < v))
 
 
 def _attach(df: DataFrame, table: DataFrame, by: list[str], bounded: bool) -> DataFrame:
@@ -49,12 +57,16 @@ def _keyed(df: DataFrame, by: list[str]) -> tuple[DataFrame, list[str], bool]:
 def add_segments(df: DataFrame, by: list[str], key: str, tie: str | None = None, k: int = SEGMENTS, bounded: bool = False) -> DataFrame:
     """Add `_b1` (order of `key`; odd = one repeated value; -1 = NULL) and `_b2` (order of `tie`)."""
     exprs = [_cuts(F.col(key), k).alias("_e1")] + ([_cuts(F.col(tie), k).alias("_e2")] if tie else [])
-    df = _attach(df, df.groupBy(*by).agg(*exprs), by, bounded)
-    v = F.col(key)
-    b1 = F.when(v.isNull() | F.col("_e1").isNull(), F.lit(-1)).otherwise(
-        2 * _below(F.col("_e1"), v, k) + F.array_contains(F.col("_e1"), v).cast("int"))
-    b2 = F.when(F.col("_b1") % 2 == 0, F.lit(0)).otherwise(_below(F.col("_e2"), F.col(tie), k)) if tie else F.lit(0)
-    return df.withColumn("_b1", b1).withColumn("_b2", b2).drop("_e1", "_e2")
+    edges = df.groupBy(*by).agg(*exprs).withColumn("_c1", _coarse(F.col("_e1"), k))
+    edges = edges.withColumn("_c2", _coarse(F.col("_e2"), k)) if tie else edges
+    df = _attach(df, edges, by, bounded)
+    v, at = F.col(key), F.col("_at")
+    df = df.withColumn("_at", F.when(v.isNotNull() & F.col("_e1").isNotNull(), _below(F.col("_e1"), F.col("_c1"), v, k)))
+    # the next edge equals the value exactly when the value is itself an edge
+    b1 = F.coalesce(2 * at + F.coalesce(F.get("_e1", at) == v, F.lit(False)).cast("int"), F.lit(-1))
+    df = df.withColumn("_b1", b1)
+    b2 = F.when(F.col("_b1") % 2 == 0, F.lit(0)).otherwise(_below(F.col("_e2"), F.col("_c2"), F.col(tie), k)) if tie else F.lit(0)
+    return df.withColumn("_b2", b2).drop("_e1", "_e2", "_c1", "_c2", "_at")
 
 
 def _offsets(df: DataFrame, by: list[str], aggs: list[Column], names: list[str]) -> DataFrame:

@@ -1,6 +1,6 @@
 """Every query and its SQL, registered by module."""
 
-from . import features, labels, evaluation  # noqa: F401
+from . import accounts, evaluation, features, labels, tables  # noqa: F401
 from .base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -70,6 +70,12 @@ BARS = f"""bars AS (SELECT CAST(l_suppkey AS BIGINT) AS ticker, CAST(l_shipdate
   first(l_extendedprice/l_quantity {ORD}) AS open, max(l_extendedprice/l_quantity) AS high, min(l_extendedprice/l_quantity) AS low,
   last(l_extendedprice/l_quantity {ORD}) AS close, sum(l_quantity) AS volume FROM lineitem GROUP BY 1, 2)"""
 
+TRADES = f"""{BARS}, tr0 AS (SELECT *, CAST(volume AS BIGINT) AS shares FROM bars),
+trades AS (SELECT ticker*100000 + (date - DATE '1970-01-01') AS trade_id, ticker, ticker % 97 AS account, date AS entry_date, close AS ref_price, shares, close*0.97 AS stop_loss, close*1.04 AS target_price,
+  CAST(5 + shares % 7*2 AS INTEGER) AS horizon_days, 0.5 + (shares % 10)/100.0 AS prob_up, CASE WHEN shares % 2 = 1 THEN 'closed' ELSE 'open' END AS status,
+  CASE WHEN shares % 2 = 1 THEN date + CAST(1 + shares % 7 AS INTEGER) END AS exit_date, CASE WHEN shares % 2 = 1 THEN close*(1.0 + (shares % 21 - 10)/100.0) END AS exit_ref_price,
+  CASE WHEN shares % 2 = 1 THEN CASE shares % 3 WHEN 0 THEN 'stop' WHEN 1 THEN 'target' ELSE 'expired' END END AS exit_reason FROM tr0)"""
+
 INDEX = """idx0 AS (SELECT CAST(l_shipdate AS DATE) AS date, avg(l_extendedprice/l_quantity) AS nifty_close, stddev_samp(l_extendedprice/l_quantity) AS vix
   FROM lineitem GROUP BY 1), vix0 AS (SELECT date, vix FROM idx0 WHERE vix IS NOT NULL)"""
 

@@ -55,19 +55,18 @@ def ledger(spark: SparkSession, root: str) -> DataFrame:
 
 
 def trades(spark: SparkSession, root: str) -> DataFrame:
-    """Fills: one trade per line item; 'F' lines are closed after as many days as the line number."""
-    li = table(spark, root, "lineitem")
-    px = ratio("l_extendedprice", "l_quantity")
-    closed = F.col("l_linestatus") == "F"
-    return li.select(
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("trade_id"), F.col("l_suppkey").alias("ticker"), (F.col("l_orderkey") % 97).alias("account"),
-        F.to_date("l_shipdate").alias("entry_date"), px.alias("ref_price"), F.col("l_quantity").cast("long").alias("shares"),
-        (px * 0.97).alias("stop_loss"), (px * 1.04).alias("target_price"),
-        (5 + F.col("l_linenumber") * 2).cast("int").alias("horizon_days"), (0.5 + F.col("l_discount")).alias("prob_up"),
+    """Fills: one trade per bar, keyed by (ticker, day); odd share counts are closed within a week."""
+    b = bars(spark, root)
+    shares, close = F.col("volume").cast("long"), F.col("close")
+    closed = shares % 2 == 1
+    return b.select(
+        (F.col("ticker") * 100000 + F.unix_date("date")).alias("trade_id"), "ticker", (F.col("ticker") % 97).alias("account"),
+        F.col("date").alias("entry_date"), close.alias("ref_price"), shares.alias("shares"), (close * 0.97).alias("stop_loss"), (close * 1.04).alias("target_price"),
+        (5 + shares % 7 * 2).cast("int").alias("horizon_days"), (0.5 + (shares % 10) / 100.0).alias("prob_up"),
         F.when(closed, "closed").otherwise("open").alias("status"),
-        F.when(closed, F.date_add(F.to_date("l_shipdate"), F.col("l_linenumber"))).alias("exit_date"),
-        F.when(closed, px * (1.0 + (F.col("l_discount") - F.col("l_tax")))).alias("exit_ref_price"),
-        F.when(closed, F.when(F.col("l_returnflag") == "R", "stop").when(F.col("l_returnflag") == "A", "target").otherwise("expired")).alias("exit_reason"))
+        F.when(closed, F.date_add("date", (1 + shares % 7).cast("int"))).alias("exit_date"),
+        F.when(closed, close * (1.0 + (shares % 21 - 10) / 100.0)).alias("exit_ref_price"),
+        F.when(closed, F.when(shares % 3 == 0, "stop").when(shares % 3 == 1, "target").otherwise("expired")).alias("exit_reason"))
 
 
 def model_runs(spark: SparkSession, root: str) -> DataFrame:
