@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from statistics import NormalDist
+
 from pyspark.sql import functions as F
 
 from ..functions.numeric import rnd
@@ -109,6 +112,16 @@ def risk_ratios(spark, root):
     return rounded(metrics.return_stats(panel.strategy_returns(spark, root), ["strategy"], ppy=12.0), ["strategy"], ["Sharpe", "Sortino", "max_drawdown", "CAGR", "Calmar", "profit_factor", "hit_rate"])
 
 
+_HURDLE = (1 - metrics.EULER_GAMMA) * NormalDist().inv_cdf(1 - 1 / 50) + metrics.EULER_GAMMA * NormalDist().inv_cdf(1 - 1 / (50 * math.e))
+
+
+@query(f"WITH {SERIES}, {_stats_sql('dd', 'strategy', 12.0)}, z AS (SELECT strategy, n_periods, Sharpe/{12 ** 0.5!r} AS sr FROM st) SELECT strategy, n_periods, {r(f'sr/sqrt((1 + 0.5*sr*sr)/(n_periods - 1)) - {_HURDLE!r}', 5)} AS dsr_z FROM z")
+def deflated_sharpe_score(spark, root):
+    """Normal score of the deflated Sharpe; its probability needs a distribution function SQL lacks."""
+    s = metrics.return_stats(panel.strategy_returns(spark, root), ["strategy"], ppy=12.0)
+    return rounded(metrics.deflated_sharpe(s, 50, ppy=12.0), ["strategy", "n_periods"], ["dsr_z"], 5)
+
+
 @query()
 def deflated_sharpe(spark, root):
     s = metrics.return_stats(panel.strategy_returns(spark, root), ["strategy"], ppy=12.0)

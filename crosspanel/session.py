@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
-def local_session(cpus: int | str = "*", memory: str = "8g") -> SparkSession:
+def local_session(cpus: int | str = "*", memory: str = "8g", checkpoint_dir: str | None = None) -> SparkSession:
     """A local session for tests and the benchmark; a cluster brings its own."""
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("crosspanel")
         .config("spark.sql.shuffle.partitions", "8")
@@ -23,19 +23,29 @@ def local_session(cpus: int | str = "*", memory: str = "8g") -> SparkSession:
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    if checkpoint_dir:
+        builder = builder.config(CHECKPOINT_CONF, checkpoint_dir)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
+_fallback: dict[str, str] = {}
+
+
 def staging_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is set."""
-    root = spark.conf.get(CHECKPOINT_CONF, None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="crosspanel-stage-")
-        spark.conf.set(CHECKPOINT_CONF, root)
-    return root.rstrip("/")
+    """The shared folder the cluster names in spark.checkpoint.dir.
+
+    Only a local session without that setting gets a temporary folder; on a
+    cluster a machine-local folder would be lost with its machine.
+    """
+    root = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors share")
+    return _fallback.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="crosspanel-stage-"))
 
 
 def stage(df: DataFrame) -> DataFrame:
