@@ -41,6 +41,17 @@ def _below(edges: Column, coarse: Column, v: Column, k: int) -> Column:
     return at + F.size(F.filter(F.slice(edges, at + 1, F.lit(step)), lambda e: e < v))
 
 
+def _proxy(df: DataFrame, c: str) -> Column:
+    """A number that never decreases along the sort order of the column."""
+    kind = df.schema[c].dataType.simpleString()
+    if kind == "string":
+        head = F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6)), 12, "0")
+        return F.conv(head, 16, 10).cast("double")
+    if kind == "date":
+        return F.unix_date(c)
+    return F.unix_micros(c) if kind == "timestamp" else F.col(c)
+
+
 def _attach(df: DataFrame, table: DataFrame, by: list[str], bounded: bool) -> DataFrame:
     """Join a per-group table; broadcast only when the groups are calendar days or constants."""
     t = F.broadcast(table) if bounded else table
@@ -55,17 +66,21 @@ def _keyed(df: DataFrame, by: list[str]) -> tuple[DataFrame, list[str], bool]:
 
 
 def add_segments(df: DataFrame, by: list[str], key: str, tie: str | None = None, k: int = SEGMENTS, bounded: bool = False) -> DataFrame:
-    """Add `_b1` (order of `key`; odd = one repeated value; -1 = NULL) and `_b2` (order of `tie`)."""
-    exprs = [_cuts(F.col(key), k).alias("_e1")] + ([_cuts(F.col(tie), k).alias("_e2")] if tie else [])
+    """Add `_b1` (order of `key`; odd = one repeated value; -1 = NULL) and `_b2` (order of `tie`).
+
+    `key` is numeric (or a date); `tie` may also be a string.
+    """
+    v, t = _proxy(df, key), _proxy(df, tie) if tie else None
+    exprs = [_cuts(v, k).alias("_e1")] + ([_cuts(t, k).alias("_e2")] if tie else [])
     edges = df.groupBy(*by).agg(*exprs).withColumn("_c1", _coarse(F.col("_e1"), k))
     edges = edges.withColumn("_c2", _coarse(F.col("_e2"), k)) if tie else edges
     df = _attach(df, edges, by, bounded)
-    v, at = F.col(key), F.col("_at")
+    at = F.col("_at")
     df = df.withColumn("_at", F.when(v.isNotNull() & F.col("_e1").isNotNull(), _below(F.col("_e1"), F.col("_c1"), v, k)))
     # the next edge equals the value exactly when the value is itself an edge
     b1 = F.coalesce(2 * at + F.coalesce(F.get("_e1", at) == v, F.lit(False)).cast("int"), F.lit(-1))
     df = df.withColumn("_b1", b1)
-    b2 = F.when(F.col("_b1") % 2 == 0, F.lit(0)).otherwise(_below(F.col("_e2"), F.col("_c2"), F.col(tie), k)) if tie else F.lit(0)
+    b2 = F.when(F.col("_b1") % 2 == 0, F.lit(0)).otherwise(_below(F.col("_e2"), F.col("_c2"), t, k)) if tie else F.lit(0)
     return df.withColumn("_b2", b2).drop("_e1", "_e2", "_c1", "_c2", "_at")
 
 

@@ -73,7 +73,7 @@ def rolling(df: DataFrame, specs: dict[str, tuple], by: str = "ticker", order: s
     merge pairwise, which keeps full precision (no running-sum cancellation).
     """
     over = f"OVER (PARTITION BY {by} ORDER BY {order})"
-    keep = list(df.columns)
+    columns, keep = list(df.columns), [by, order, "_row"]
     plan = []
     for i, (out, spec) in enumerate(specs.items()):
         fn, cols, n = spec[0], tuple(spec[1:-1]), spec[-1]
@@ -87,7 +87,8 @@ def rolling(df: DataFrame, specs: dict[str, tuple], by: str = "ticker", order: s
     parts = {k: list(_start(*k)) for k in blocks}
     longest = {k: max(p["n"] for p in states if p["key"] == k) for k in blocks}
     cur = [f"{c} AS {t}_{f}" for k, t in blocks.items() for f, c in _start(*k).items()]
-    width = 1
+    df = pack(df, by, order, cur)
+    cur, width = [c.rsplit(" AS ", 1)[1] for c in cur], 1
     while width <= max(longest.values()):
         live = [k for k in blocks if 2 * width <= longest[k]]
         taking = [p for p in states if p["n"] & width]
@@ -109,9 +110,24 @@ def rolling(df: DataFrame, specs: dict[str, tuple], by: str = "ticker", order: s
             cur += [f"{c} AS {own[f]}" for f, c in new.items()]
             p["have"] += width
         width *= 2
-    df = df.selectExpr(*keep, *cur)
     outs = [_finish(p["fn"], {f: f"{p['lead']['tag']}_{f}" for f in parts[p["key"]]}, p["n"]) + f" AS {p['out']}" for p in plan]
-    return df.selectExpr(*keep, *outs)
+    return unpack(df.selectExpr(*keep, *cur), columns, by, order, outs)
+
+
+def pack(df: DataFrame, by: str, order: str, work: list[str]) -> DataFrame:
+    """Window keys, work columns, and everything else as one struct.
+
+    Each Window operator rewrites its rows field by field; a packed struct moves
+    as one block of bytes, so a long chain of windows does not pay for the
+    columns that only travel through it.
+    """
+    fields = ", ".join(f"'{c}', `{c}`" for c in df.columns if c not in (by, order))
+    return df.selectExpr(by, order, f"named_struct({fields}) AS _row", *work)
+
+
+def unpack(df: DataFrame, columns: list[str], by: str, order: str, outs: list[str]) -> DataFrame:
+    """The packed columns again; the keys stay the columns the shuffle was made on."""
+    return df.selectExpr(*[c if c in (by, order) else f"_row.`{c}` AS `{c}`" for c in columns], *outs)
 
 
 def lag(x: str | Column, n: int = 1, by="ticker", order="date") -> Column:
@@ -134,14 +150,16 @@ def ewm(df: DataFrame, specs: dict[str, tuple[str, float]], by: str = "ticker",
     and the value at the end of the earlier blocks decays by (1-a)^(j+1). Blocks
     keep the powers inside double range; the carry folds the block ends.
     """
-    keep = list(df.columns)
+    columns = list(df.columns)
+    df = pack(df, by, order, [f"{x} AS _x_{x}" for x in dict.fromkeys(x for x, _ in specs.values())])
     over = f"OVER (PARTITION BY {by} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     local = f"OVER (PARTITION BY {by}, _blk ORDER BY _rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     df = df.selectExpr("*", f"row_number() OVER (PARTITION BY {by} ORDER BY {order}) - 1 AS _rn")
-    df = df.selectExpr("*", f"_rn DIV {BLOCK} AS _blk", f"_rn % {BLOCK} AS _j", *[f"min(if(isnotnull({x}), _rn, NULL)) {over} AS _f_{o}" for o, (x, _) in specs.items()])
-    terms = [f"coalesce(if(_rn = _f_{o}, 1D, {float(a)!r}D) * {x} * pow({1.0 - a!r}D, -_j), 0D) AS _t_{o}" for o, (x, a) in specs.items()]
-    df = df.selectExpr("*", *terms)
-    df = df.selectExpr("*", *[f"pow({1.0 - a!r}D, _j) * sum(_t_{o}) {local} AS _loc_{o}" for o, (x, a) in specs.items()])
+    df = df.selectExpr("*", f"_rn DIV {BLOCK} AS _blk", f"_rn % {BLOCK} AS _j", *[f"min(if(isnotnull(_x_{x}), _rn, NULL)) {over} AS _f_{o}" for o, (x, _) in specs.items()])
+    terms = [f"coalesce(if(_rn = _f_{o}, 1D, {float(a)!r}D) * _x_{x} * pow({1.0 - a!r}D, -_j), 0D) AS _t_{o}" for o, (x, a) in specs.items()]
+    core = [by, order, "_row", "_rn", "_blk", "_j", *[f"_f_{o}" for o in specs]]
+    df = df.selectExpr(*core, *terms)
+    df = df.selectExpr(*core, *[f"pow({1.0 - a!r}D, _j) * sum(_t_{o}) {local} AS _loc_{o}" for o, (x, a) in specs.items()])
     # local sums at the ends of earlier blocks; the row that ends a block already holds its own
     last = BLOCK - 1
     df = df.selectExpr("*", *[f"collect_list(if(_j = {last}, _loc_{o}, NULL)) {over} AS _e_{o}" for o in specs])
@@ -151,4 +169,4 @@ def ewm(df: DataFrame, specs: dict[str, tuple[str, float]], by: str = "ticker",
         before = f"if(_j = {last}, slice(_e_{o}, 1, greatest(size(_e_{o}) - 1, 0)), _e_{o})"
         carry = f"aggregate({before}, 0D, (acc, e) -> acc * {q**BLOCK!r}D + e)"
         outs.append(f"if(_rn >= _f_{o}, _loc_{o} + if(_blk > 0, pow({q!r}D, _j + 1) * {carry}, 0D), NULL) AS {o}")
-    return df.selectExpr(*keep, *outs)
+    return unpack(df, columns, by, order, outs)

@@ -82,3 +82,12 @@ def test_segments_bound_the_largest_window(skewed):
     s = add_segments(df.where(F.col("v").isNotNull()), ["g"], "v", "id", k=16)
     big = s.where("g = 0").groupBy("_b1", "_b2").count().agg(F.max("count")).first()[0]
     assert big < 0.15 * s.where("g = 0").count()
+
+
+def test_string_ties_inside_a_hot_value(skewed):
+    pdf, df = skewed
+    d = df.where(F.col("v").isNotNull()).withColumn("name", F.concat(F.lit("T"), F.lpad((F.col("id") * 7919 % 6007).cast("string"), 5, "0")))
+    p = d.toPandas().sort_values(["g", "v", "name"])
+    p["rn_w"] = p.groupby("g").cumcount() + 1
+    got = row_number_in(d, ["g"], "v", "name").toPandas().merge(p[["id", "rn_w"]], on="id")
+    assert len(got) == len(p) and (got.rn == got.rn_w).all()
