@@ -1,6 +1,6 @@
 """Every query of this folder and its SQL."""
 
-from . import licenses, packing, pii  # noqa: F401
+from . import fingerprints, licenses, packing, pii  # noqa: F401
 from .base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
