@@ -1,6 +1,6 @@
 """Every query of this folder and its SQL."""
 
-from . import decontamination, fingerprints, licenses, packing, pii  # noqa: F401
+from . import decontamination, fingerprints, licenses, packing, pii, toxicity  # noqa: F401
 from .base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
