@@ -1,6 +1,6 @@
 """Every query of this folder and its SQL."""
 
-from . import decontamination, extraction, fingerprints, licenses, packing, pii, substrings, toxicity  # noqa: F401
+from . import decontamination, extraction, fingerprints, licenses, lines, packing, pii, substrings, toxicity  # noqa: F401
 from .base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
