@@ -36,6 +36,11 @@ def needed(a: int, b: int) -> int:
     return -(-PERCENT * (a + b) // (100 + PERCENT))
 
 
+def _order(gram: int) -> int:
+    """Place of a stored (signed) n-gram in the global order."""
+    return gram % (1 << 64)
+
+
 def prefix_length(n: int) -> int:
     """Two linked sets have a common n-gram among their first so many, in any one order."""
     return n - -(-PERCENT * n // 100) + 1
@@ -234,10 +239,11 @@ def _pairs(rows: Iterator[tuple]) -> Iterator[tuple]:
                         break
                     continue
                 need = needed(n, n2)
-                if 1 + min(n - pos, n2 - pos2) - 1 < need:
+                # at the first common n-gram no more than what follows can be shared
+                if min(n - pos, n2 - pos2) < need:
                     continue
                 # the first common n-gram of both heads, if any, is where a pair is looked at
-                if not heads.isdisjoint(head2) and min(heads.intersection(head2)) != gram:
+                if not heads.isdisjoint(head2) and min(heads.intersection(head2), key=_order) != gram:
                     continue
                 to = min(size, size2)
                 if (folded(bits, size, to) ^ folded(bits2, size2, to)).bit_count() > n + n2 - 2 * need:
