@@ -11,10 +11,12 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ..session import stage
 from .base import map_records, query, table
 
-# labelled rows the classifier is fitted on at most; statistics that choose its features use all of them
+# labelled rows the classifier is fitted on, about; statistics that choose its features use all of them
 MAX_FIT_ROWS = 20_000
 # features a model holds at most, the most telling first
 MAX_FEATURES = 20_000
@@ -28,6 +30,8 @@ STEPS = 400
 HOLD_OUT = 5
 # counts a task holds before it hands them on
 LOCAL_COUNTS = 400_000
+# labels that are broadcast at most (some 20 bytes each); more are joined by a shuffle
+BROADCAST_LABELS = 2_000_000
 
 # Words that name a group of people, by group; a counterfactual exchanges words of one line.
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
@@ -140,19 +144,27 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.ndarray
     return b, w
 
 
-def train(labelled: DataFrame, identity_terms: Sequence[Sequence[str]] = IDENTITY_TERMS) -> Model:
-    """A model from `labelled` (text, label 0/1; other rows are left out, a null text is empty).
+def _labelled(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """doc_id, text, label of the documents in `known` (doc_id and more)."""
+    small = known.count() <= BROADCAST_LABELS
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known) if small else known, "doc_id")
 
-    Shares of each feature among both labels come from all rows, each distinct
-    (text, label) once, so copies don't lend their words weight. The fit takes
-    the MAX_FIT_ROWS rows with the smallest hash. Texts that name a group are
-    paired with a copy that names another one, and the fit pays for any change
-    of score between them. Without rows of both labels the score is the share
-    of label 1, or 0.
+
+def train(docs: DataFrame, labels: DataFrame, identity_terms: Sequence[Sequence[str]] = IDENTITY_TERMS) -> Model:
+    """A model from `docs` (doc_id, text) and `labels` (doc_id, label 0/1; other rows are left out, a null text is empty).
+
+    A document with several labels takes the larger. Shares of each feature
+    among both labels come from all rows, each distinct (text, label) once, so
+    copies don't lend their words weight. The fit takes the rows with the
+    smallest hashes, about MAX_FIT_ROWS. Texts that name a group are paired with
+    a copy that names another one, and the fit pays for any change of score
+    between them. Without rows of both labels the score is 0 or 1, that of the
+    only label, and 0 without any.
     """
-    rows = labelled.where(F.col("label").isin(0, 1)).select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label"))
-    rows = rows.withColumn("_h", F.xxhash64("text", "label"))
-    rows = rows.dropDuplicates(["_h"])
+    known = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
+    hashed = _labelled(docs, stage(known)).select("doc_id", "label", F.xxhash64("text", "label").alias("_h"))
+    kept = stage(hashed.groupBy("_h", "label").agg(F.min("doc_id").alias("doc_id")))
+    rows = _labelled(docs, kept)
 
     def count(part):
         held: dict[int, Counter] = {0: Counter(), 1: Counter()}
@@ -184,17 +196,19 @@ def train(labelled: DataFrame, identity_terms: Sequence[Sequence[str]] = IDENTIT
     finally:
         counts.unpersist()
     index = {f: i for i, f in enumerate(chosen)}
-    kept = labelled.sparkSession.sparkContext.broadcast(index)
+    shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def encode(part):
-        index = kept.value
+        index = shared.value
         ids = lambda words: np.array(sorted(index[f] for f in features_of(words) if f in index), np.int32)
         for text, label in part:
             words = words_of(text)
             other = swapped(words, identity_terms)
             yield label, ids(words).tobytes(), ids(other).tobytes() if other is not None else None
 
-    sample = map_records(rows.orderBy("_h").limit(MAX_FIT_ROWS).select("text", "label").repartition(32), encode, "label int, ids binary, other binary").collect()
+    share = min(1.0, MAX_FIT_ROWS / (ones + zeros))
+    low = rows.where(F.col("_h") < int(-(1 << 63) + share * ((1 << 64) - 2048)))
+    sample = map_records(low.select("text", "label"), encode, "label int, ids binary, other binary").collect()
     ids = [np.frombuffer(r["ids"], np.int32) for r in sample]
     pairs = [(x, np.frombuffer(r["other"], np.int32)) for x, r in zip(ids, sample) if r["other"] is not None]
     bias, w = fit(ids, np.array([r["label"] for r in sample], float), pairs, len(chosen))
@@ -210,23 +224,22 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for key, text in rows:
             yield key, model.score(text)
 
-    return map_records(docs.select(id_col, text_col), run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, score double")
+    return map_records(docs.select(id_col, text_col), run, StructType([docs.schema[id_col], StructField("score", DoubleType())]))
 
 
 def held_out(doc_id):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % HOLD_OUT == 0
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Texts with their label, of the rows to learn from; a document with several labels takes the larger."""
-    known = labels.where(~held_out("doc_id")).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("label"))
-    return docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("_id")).select("text", "label")
+def open_labels(labels: DataFrame) -> DataFrame:
+    """doc_id, label of the rows to learn from."""
+    return labels.where(~held_out("doc_id")).select("doc_id", F.col("toxic").alias("label"))
 
 
 @query("op2_toxicity")
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document by a model learnt from the rows that are not held out."""
     docs = table(spark, sf_dir, "documents")
-    model = train(labelled(docs, table(spark, sf_dir, "labels")))
+    model = train(docs, open_labels(table(spark, sf_dir, "labels")))
     out = score(docs, model)
     return out.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
