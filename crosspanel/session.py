@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -12,6 +13,9 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 def local_session(cpus: int | str = "*", memory: str = "8g", checkpoint_dir: str | None = None) -> SparkSession:
     """A local session for tests and the benchmark; a cluster brings its own."""
+    # Python workers import this package, whatever folder the session starts in
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    os.environ["PYTHONPATH"] = os.pathsep.join(dict.fromkeys([root, *filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))]))
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("crosspanel")
@@ -45,7 +49,10 @@ def staging_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors share")
-    return _fallback.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="crosspanel-stage-"))
+    app = spark.sparkContext.applicationId
+    if app not in _fallback:
+        _fallback[app] = tempfile.mkdtemp(prefix="crosspanel-stage-")
+    return _fallback[app]
 
 
 def stage(df: DataFrame) -> DataFrame:
