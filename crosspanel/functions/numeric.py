@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,6 +42,3 @@ def clip(c: str | Column, lo: float, hi: float) -> Column:
 def log_ratio(a: str | Column, b: str | Column) -> Column:
     return F.log(ratio(a, b))
 
-
-def all_of(conds: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conds)

@@ -7,8 +7,6 @@ cuts a large date into segments, so no task ever holds a whole cross-section.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,17 +60,19 @@ def quantile_bucket(rank: Column, n: Column, k: int) -> Column:
     rank on an edge belongs to the lower bucket. Not ntile: sizes differ.
     """
     total = F.lit(0)
-    step = 1.0 / k
     for i in range(1, k):
-        q = i * step * 100.0 / 100.0
-        v = F.lit(q) * (n - 1)
-        p = F.floor(v).cast("double")
-        t = v - p
-        edge = F.when(t < 0.5, p + 1.0 + t).otherwise(p + 2.0 - (1.0 - t))
-        total = total + (rank > edge).cast("int")
+        total = total + (rank > _bucket_edge(n, i, k)).cast("int")
     return total
 
 
+def _bucket_edge(n: Column, i: int, k: int) -> Column:
+    q = i * (1.0 / k) * 100.0 / 100.0
+    v = F.lit(q) * (n - 1)
+    p = F.floor(v).cast("double")
+    t = v - p
+    return F.when(t < 0.5, p + 1.0 + t).otherwise(p + 2.0 - (1.0 - t))
+
+
 def bucketed(df: DataFrame, score: str, k: int, by: list[str] | None = None, segments: int = SEGMENTS) -> DataFrame:
     """Add rn, n and bucket q of the score order inside each group (default: date)."""
     r = row_number_in(df, by or ["date"], score, "ticker", k=segments, bounded=True)
@@ -80,9 +80,9 @@ def bucketed(df: DataFrame, score: str, k: int, by: list[str] | None = None, seg
 
 
 def basket_size(n: Column, k: int, top: bool = True) -> Column:
-    """Number of names in the top (or bottom) bucket, from n alone."""
-    edge = (n - 1) * ((k - 1) if top else 1)
-    return (n - 1 - F.floor(edge / k)) if top else (F.floor(edge / k) + 1)
+    """Number of names in the top (or bottom) bucket: the ranks beyond the very edge that cuts it."""
+    edge = F.floor(_bucket_edge(n, k - 1 if top else 1, k))
+    return n - edge if top else edge
 
 
 def conviction_weight(position: Column, size: Column) -> Column:
@@ -107,5 +107,3 @@ def regime_overlay(df: DataFrame, regime: str) -> DataFrame:
     """No longs on dates whose index regime is negative."""
     return df.withColumn("signal", F.when(F.coalesce(F.col(regime) < 0, F.lit(False)), "NEUTRAL").otherwise(F.col("signal")))
 
-
-LN2 = math.log(2.0)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import flag, log_ratio
+from ..functions.numeric import finite, flag, log_ratio
 from ..functions.windows import lag
 
 TOL = 1e-6
@@ -24,7 +26,8 @@ def ohlcv_rules() -> dict[str, Column]:
         "bad_high": F.col("high") < top - TOL,
         "bad_low": F.col("low") > bottom + TOL,
         "bad_volume": F.col("volume") < 0,
-        "missing": F.col("high").isNull() | F.col("low").isNull() | F.col("close").isNull(),
+        # NaN is as good as missing, and passes every comparison above
+        "missing": reduce(or_, [finite(F.col(c).cast("double")).isNull() for c in ("open", "high", "low", "close", "volume")]),
     }
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio, rnd
 from ..functions.windows import lag
+from ..session import stage
 from ..sources.tables import merge_rows
 from .metrics import spearman
 
@@ -62,17 +63,18 @@ def resolve(predictions: DataFrame, bars: DataFrame, as_of: date | str, default_
 
 
 def merge_resolution(predictions: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Predictions with the outcome columns filled in by natural key."""
+    """Predictions with new outcomes filled in by natural key; columns resolved before keep their values."""
     cols = ["outcome_date", "actual_close", "actual_fwd_ret", "hit_target", "hit_stop", "label_direction", "is_correct"]
-    o = outcomes.select(*KEY, *cols, F.lit(True).alias("_res"))
-    keep = [c for c in predictions.columns if c not in cols]
-    return predictions.select(*keep).join(o, KEY, "left").withColumn("outcome_resolved", F.coalesce("_res", "outcome_resolved", F.lit(False))).drop("_res")
+    o = outcomes.select(*KEY, *[F.col(c).alias(f"_new_{c}") for c in cols], F.lit(True).alias("_res"))
+    keep = [c for c in predictions.columns if c not in cols and c != "outcome_resolved"]
+    filled = [F.coalesce(f"_new_{c}", c).alias(c) if c in predictions.columns else F.col(f"_new_{c}").alias(c) for c in cols]
+    return predictions.join(o, KEY, "left").select(*keep, *filled, F.coalesce("_res", "outcome_resolved", F.lit(False)).alias("outcome_resolved"))
 
 
-def resolve_and_merge(predictions: DataFrame, outcomes: DataFrame, bars: DataFrame, as_of: date | str, default_horizon: int = 5) -> tuple[DataFrame, DataFrame]:
-    """New (predictions, outcomes) tables; running it again changes nothing."""
-    new = resolve(predictions, bars, as_of, default_horizon)
-    return merge_resolution(predictions, new), merge_rows(outcomes, new, KEY)
+def resolve_and_merge(predictions: DataFrame, outcomes: DataFrame, bars: DataFrame, as_of: date | str, default_horizon: int = 5) -> tuple[DataFrame, DataFrame, int]:
+    """New (predictions, outcomes) tables and the number resolved; a second run resolves none and changes nothing."""
+    new = stage(resolve(predictions, bars, as_of, default_horizon))
+    return merge_resolution(predictions, new), merge_rows(outcomes, new, KEY), new.count()
 
 
 def recent(outcomes: DataFrame, as_of: date | str, weeks: int) -> DataFrame:

@@ -157,14 +157,16 @@ def dynamic_multiples(q10: Column, q90: Column, price: Column, atr: Column, k: f
     return stop, target
 
 
-def exit_trades(trades: DataFrame, bars: DataFrame, max_horizon: int) -> DataFrame:
+def exit_trades(trades: DataFrame, bars: DataFrame) -> DataFrame:
     """First exit of each trade(ticker, entry_date, stop_loss, target_price, horizon_days).
 
     From the bar after entry: target on high, then stop on low, then the close of
     the horizon-th available bar; trades without enough bars stay open. Bars carry
-    their next max_horizon bars, so trades meet them by (ticker, date) equality.
+    their next bars, as many as the longest horizon of the trades, so trades meet
+    them by (ticker, date) equality.
     """
-    nxt = F.collect_list(F.struct("date", "high", "low", "close")).over(series().rowsBetween(1, max_horizon))
+    longest = trades.agg(F.max("horizon_days")).first()[0] or 1
+    nxt = F.collect_list(F.struct("date", "high", "low", "close")).over(series().rowsBetween(1, longest))
     path = bars.select("ticker", F.col("date").alias("entry_date"), nxt.alias("_path"))
     t = trades.join(path, ["ticker", "entry_date"]).withColumn("_path", F.slice("_path", F.lit(1), F.col("horizon_days")))
     up = F.array_position(F.transform("_path", lambda b: b["high"] >= F.col("target_price")), True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Margins of the promotion gate.
 SHARPE_MARGIN, IC_MARGIN, CALIB_TOL = 0.10, 0.005, 0.10
 
 

@@ -196,11 +196,11 @@ def signal_envelope(spark, root):
     return spark.read.schema("signal_count bigint, long_count bigint").json(f"{path}/envelope")
 
 
-@query(f"WITH {SIG}, {OPENED}, {LATEST} SELECT sg.ticker, {r('max(prob_up)')} AS prob_up, CAST(max(greatest(1, floor(50000000.0*0.05/(1000.0 + sg.ticker)))) AS BIGINT) AS default_shares, bool_or(sg.ticker IN (SELECT ticker FROM op WHERE status = 'open' AND entry_date >= DATE '2001-10-01')) AS already_open FROM sg WHERE signal = 'LONG' GROUP BY 1".replace("SELECT sg.ticker, " + r("max(prob_up)"), "SELECT sg.ticker, " + r("max(sg.prob_up)")))
+@query(f"WITH {SIG}, {OPENED}, {LATEST} SELECT sg.ticker, {r('max(prob_up)')} AS prob_up, CAST(max(greatest(1, floor(50000000.0*0.05/(1000.0 + sg.ticker)))) AS BIGINT) AS default_shares, bool_or(sg.ticker IN (SELECT ticker FROM op WHERE status = 'open')) AS already_open FROM sg WHERE signal = 'LONG' GROUP BY 1".replace("SELECT sg.ticker, " + r("max(prob_up)"), "SELECT sg.ticker, " + r("max(sg.prob_up)")))
 def size_orders(spark, root):
     s = _signals(spark, root).withColumn("entry_price", 1000.0 + F.col("ticker"))
     twice = s.unionByName(s.withColumn("prob_up", F.col("prob_up") - 0.01))
-    held = _opened(spark, root).where((F.col("status") == "open") & (F.col("entry_date") >= F.lit("2001-10-01").cast("date")))
+    held = _opened(spark, root).where(F.col("status") == "open")
     return accounting.size_orders(twice, held, 50_000_000.0).select("ticker", rnd("prob_up", 6).alias("prob_up"), "default_shares", "already_open")
 
 
@@ -255,8 +255,9 @@ def merge_resolution(spark, root):
     """Resolved twice: the second pass finds nothing due and leaves the table as it is."""
     j, b = _journal(spark, root), panel.bars(spark, root)
     empty = spark.createDataFrame([], outcomes.resolve(j, b, AS_OF).schema)
-    p1, o1 = outcomes.resolve_and_merge(j, empty, b, AS_OF)
-    return p1.select(*_K, "outcome_resolved", "outcome_date", "actual_fwd_ret", "is_correct")
+    p1, o1, _ = outcomes.resolve_and_merge(j, empty, b, AS_OF)
+    p2, _, _ = outcomes.resolve_and_merge(stage(p1), stage(o1), b, AS_OF)
+    return p2.select(*_K, "outcome_resolved", "outcome_date", "actual_fwd_ret", "is_correct")
 
 
 @query(f"WITH {OUTC}, q AS ({spearman_sql(f'(SELECT * FROM outcomes WHERE signal_date >= DATE {chr(39)}{AS_OF}{chr(39)} - 364) z', 'prob_up', 'actual_fwd_ret')}) SELECT {r('CASE WHEN n >= 5 THEN ic END', 5)} AS ic, n FROM q")
@@ -293,7 +294,7 @@ JR = f"{OUTC}, jr AS (SELECT j.*, o.ticker IS NOT NULL AS outcome_resolved, o.is
 @query(f"WITH {JR} SELECT {_SC}, {r('avg(CASE WHEN outcome_resolved THEN is_correct::INT END)')} AS hit_rate, {r('avg(CASE WHEN signal = ' + chr(39) + 'LONG' + chr(39) + ' THEN actual_fwd_ret END)')} AS mean_ret_long, {r('avg(CASE WHEN signal = ' + chr(39) + 'NEUTRAL' + chr(39) + ' THEN actual_fwd_ret END)')} AS mean_ret_neutral FROM jr")
 def journal_scorecard(spark, root):
     j = _journal(spark, root)
-    p, _ = outcomes.resolve_and_merge(j, spark.createDataFrame([], outcomes.resolve(j, panel.bars(spark, root), AS_OF).schema), panel.bars(spark, root), AS_OF)
+    p, _, _ = outcomes.resolve_and_merge(j, spark.createDataFrame([], outcomes.resolve(j, panel.bars(spark, root), AS_OF).schema), panel.bars(spark, root), AS_OF)
     return rounded(outcomes.scorecard(p), ["n_total", "n_pending", "n_resolved"], ["hit_rate", "mean_ret_long", "mean_ret_neutral"])
 
 

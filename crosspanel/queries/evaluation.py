@@ -130,7 +130,7 @@ def deflated_sharpe(spark, root):
 
 @query()
 def block_bootstrap(spark, root):
-    b = metrics.block_bootstrap(panel.strategy_returns(spark, root), ["strategy"], n_boot=200, block=10, ppy=12.0)
+    b = metrics.block_bootstrap(panel.strategy_returns(spark, root), ["strategy"], ppy=12.0)
     return rounded(b, ["strategy", "n_boot"], [c for c in b.columns if c not in ("strategy", "n_boot")])
 
 
@@ -299,18 +299,19 @@ def trailing_atr(spark, root):
     return rounded(portfolio.trailing_atr(panel.bars(spark, root)), ["ticker", "date"], ["atr20"], 3)
 
 
-H_EXIT = 5
-_PATH_UP = ", ".join(f"CASE WHEN {leadq('high', j)} >= close*1.04 THEN {j} END" for j in range(1, H_EXIT + 1))
-_PATH_DN = ", ".join(f"CASE WHEN {leadq('low', j)} <= close*0.97 THEN {j} END" for j in range(1, H_EXIT + 1))
-EXITS = f"""{BARS}, x0 AS (SELECT ticker, date AS entry_date, close, coalesce({_PATH_UP}) AS u, coalesce({_PATH_DN}) AS d, {leadq('close', H_EXIT)} AS lastc, {', '.join(f"{leadq('date', j)} AS d{j}" for j in range(1, H_EXIT + 1))} FROM bars),
+H_EXIT = 17
+_H = "CAST(5 + CAST(volume AS BIGINT) % 7*2 AS INTEGER)"
+_PATH_UP = ", ".join(f"CASE WHEN {j} <= {_H} AND {leadq('high', j)} >= close*1.04 THEN {j} END" for j in range(1, H_EXIT + 1))
+_PATH_DN = ", ".join(f"CASE WHEN {j} <= {_H} AND {leadq('low', j)} <= close*0.97 THEN {j} END" for j in range(1, H_EXIT + 1))
+EXITS = f"""{BARS}, x0 AS (SELECT ticker, date AS entry_date, close, coalesce({_PATH_UP}) AS u, coalesce({_PATH_DN}) AS d, {_H} AS h, CASE {_H} {' '.join(f"WHEN {j} THEN {leadq('close', j)}" for j in range(5, H_EXIT + 1, 2))} END AS lastc, {', '.join(f"{leadq('date', j)} AS d{j}" for j in range(1, H_EXIT + 1))} FROM bars),
 x1 AS (SELECT *, CASE WHEN u <= coalesce(d, 1000) THEN 'target' WHEN d IS NOT NULL THEN 'stop' WHEN lastc IS NOT NULL THEN 'expired' END AS exit_reason FROM x0),
-exits AS (SELECT *, CASE exit_reason WHEN 'target' THEN u WHEN 'stop' THEN d WHEN 'expired' THEN {H_EXIT} END AS exit_bar FROM x1)"""
+exits AS (SELECT *, CASE exit_reason WHEN 'target' THEN u WHEN 'stop' THEN d WHEN 'expired' THEN h END AS exit_bar FROM x1)"""
 
 
 def _exits(spark, root):
     b = panel.bars(spark, root)
-    t = b.select("ticker", F.col("date").alias("entry_date"), (F.col("close") * 0.97).alias("stop_loss"), (F.col("close") * 1.04).alias("target_price"), F.lit(H_EXIT).alias("horizon_days"))
-    return portfolio.exit_trades(t, b, H_EXIT)
+    t = b.select("ticker", F.col("date").alias("entry_date"), (F.col("close") * 0.97).alias("stop_loss"), (F.col("close") * 1.04).alias("target_price"), (5 + F.col("volume").cast("bigint") % 7 * 2).cast("int").alias("horizon_days"))
+    return portfolio.exit_trades(t, b)
 
 
 @query(f"WITH {EXITS} SELECT ticker, entry_date, exit_reason, CAST(exit_bar AS INTEGER) AS exit_bar, CASE exit_bar {' '.join(f'WHEN {j} THEN d{j}' for j in range(1, H_EXIT + 1))} END AS exit_date, "

@@ -9,6 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.numeric import finite
+from ..session import stage
+
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
@@ -49,16 +52,27 @@ def dedupe(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 
 def merge_rows(target: DataFrame, batch: DataFrame, keys: list[str], keep_last: list[Column] | None = None) -> DataFrame:
-    """Idempotent upsert: batch rows replace target rows of the same key."""
-    if keep_last:
-        batch = dedupe(batch, keys, keep_last)
-    kept = target.join(batch.select(*keys), keys, "left_anti")
-    return kept.unionByName(batch, allowMissingColumns=True)
+    """Idempotent upsert: batch rows replace target rows of the same key; keys may be NULL.
+
+    Of several batch rows of one key the first under `keep_last` stays; without
+    an order, the one with the smallest other columns, so the result is defined.
+    """
+    batch = dedupe(batch, keys, keep_last or [F.lit(0)])
+    return _without(target, batch, keys).unionByName(batch, allowMissingColumns=True)
+
+
+def _without(rows: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose key `other` lacks; a NULL key equals a NULL key."""
+    o = other.select(*[F.col(k).alias(f"_k_{k}") for k in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return rows.join(o, same, "left_anti")
 
 
 def new_rows(target: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of the batch whose key the target does not hold yet."""
-    return batch.join(target.select(*keys), keys, "left_anti")
+    """One row per key of the batch that the target does not hold yet."""
+    return _without(dedupe(batch, keys, [F.lit(0)]), target, keys)
 
 
 def replace_slice(target: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
@@ -76,19 +90,31 @@ def update_rows(df: DataFrame, values: dict, match: dict) -> DataFrame:
 
 
 def write_landing(df: DataFrame, path: str) -> None:
-    """Landing zone: Parquet partitioned by year and month of `date`."""
-    (df.withColumn("year", F.year("date")).withColumn("month", F.month("date"))
-       .repartition("year", "month", F.pmod(F.xxhash64("ticker"), F.lit(16)))
-       .write.mode("overwrite").partitionBy("year", "month").parquet(path))
+    """Landing zone: Parquet partitioned by year and month of `date`; files follow the data's size."""
+    _write_months(_with_month(df), path, "static")
+
 
+def _with_month(df: DataFrame) -> DataFrame:
+    return df.withColumn("year", F.year("date")).withColumn("month", F.month("date"))
 
-def append_landing(spark: SparkSession, existing_path: str, batch: DataFrame, out_path: str) -> None:
-    """Append a batch to a landing table, newest row per (ticker, date) wins; written to a new path."""
-    old = spark.read.parquet(existing_path).drop("year", "month")
-    write_landing(merge_rows(old, batch, ["ticker", "date"]), out_path)
+
+def _write_months(df: DataFrame, path: str, mode: str) -> None:
+    df.hint("rebalance", "year", "month").write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("year", "month").parquet(path)
+
+
+def append_landing(spark: SparkSession, path: str, batch: DataFrame, keep_last: list[Column] | None = None) -> None:
+    """Append a batch to a landing table, newest row per (ticker, date) wins; only months of the batch are rewritten.
+
+    The new months are written aside first, so a job that fails leaves the table as it was.
+    """
+    batch = stage(_with_month(batch))
+    months = batch.select("year", "month").distinct()
+    old = spark.read.parquet(path).join(months, ["year", "month"], "left_semi")
+    _write_months(stage(merge_rows(old, batch, ["ticker", "date"], keep_last)), path, "dynamic")
 
 
 # --- journals --------------------------------------------------------------
+# The fields of the stored files.
 SIGNAL_SCHEMA = T.StructType([
     T.StructField("ticker", T.StringType()), T.StructField("prob_up", T.DoubleType()),
     T.StructField("signal", T.StringType()), T.StructField("atr14", T.DoubleType()),
@@ -202,8 +228,8 @@ def wide_to_long(wide: DataFrame, date_col: str = "Date", sep: str = "|") -> Dat
 
 
 def clean_bars(raw: DataFrame) -> DataFrame:
-    """Types and filters of the feed: day dates, numeric or NULL, close present and positive."""
-    num = [F.col(c).try_cast("double").alias(c) for c in FIELDS if c in raw.columns]
+    """Types and filters of the feed: day dates, numeric or NULL, close present and positive; NaN and infinities are NULL."""
+    num = [finite(F.col(c).try_cast("double")).alias(c) for c in FIELDS if c in raw.columns]
     return raw.select("ticker", F.to_date("date").alias("date"), *num).where(F.col("close") > 0)
 
 

@@ -74,11 +74,35 @@ def test_forward_asof_and_idempotent_resolution(spark):
                               "run_id string, signal_date date, ticker long, signal string, prob_up double, entry_price double, stop_loss double, target_price double, horizon_days int").withColumn("outcome_resolved", F.lit(False))
     r = outcomes.resolve(p, b, "2024-06-01").collect()
     assert len(r) == 1 and r[0].exit_reason == "target" and r[0].is_correct and r[0].actual_close == 104.0 and r[0].outcome_date == D(2024, 1, 8)
-    p1, o1 = outcomes.resolve_and_merge(p, spark.createDataFrame([], outcomes.resolve(p, b, "2024-06-01").schema), b, "2024-06-01")
-    p2, o2 = outcomes.resolve_and_merge(p1, o1, b, "2024-06-01")
+    p1, o1, n1 = outcomes.resolve_and_merge(p, spark.createDataFrame([], outcomes.resolve(p, b, "2024-06-01").schema), b, "2024-06-01")
+    p2, o2, n2 = outcomes.resolve_and_merge(p1, o1, b, "2024-06-01")
+    assert (n1, n2) == (1, 0) and p2.columns == p1.columns
+    key = lambda r: (r.signal_date, r.ticker)
+    assert sorted(p1.collect(), key=key) == sorted(p2.collect(), key=key) and o1.collect() == o2.collect()
     assert o1.count() == o2.count() == 1 and p2.where("outcome_resolved").count() == 1
 
 
+def test_merges_keep_one_row_a_key(spark):
+    old = spark.createDataFrame([(1, None, 1.0)], "ticker long, date date, close double")
+    new = spark.createDataFrame([(1, None, 2.0), (1, None, 3.0), (2, D(2024, 1, 1), 5.0), (2, D(2024, 1, 1), 4.0)], old.schema)
+    got = tables.merge_rows(old, new, ["ticker", "date"], [-F.col("close")]).collect()
+    assert sorted((r.ticker, r.close) for r in got) == [(1, 3.0), (2, 5.0)]
+    assert tables.new_rows(old, new, ["ticker", "date"]).count() == 1
+    raw = spark.createDataFrame([("a", "2024-01-01", "NaN", "5"), ("a", "2024-01-02", "x", "NaN"), ("a", "2024-01-03", "inf", "7")], "ticker string, date string, open string, close string")
+    assert [(r.open, r.close) for r in tables.clean_bars(raw).orderBy("date").collect()] == [(None, 5.0), (None, 7.0)]
+
+
+def test_landing_append_touches_only_its_months(spark, tmp_path):
+    import os
+
+    path = str(tmp_path / "landing")
+    tables.write_landing(spark.createDataFrame([(1, D(2024, 1, 1), 1.0), (1, D(2024, 2, 1), 1.0)], "ticker long, date date, close double"), path)
+    before = {f for f in os.listdir(f"{path}/year=2024/month=1") if f.endswith(".parquet")}
+    tables.append_landing(spark, path, spark.createDataFrame([(1, D(2024, 2, 1), 9.0), (1, D(2024, 3, 1), 2.0)], "ticker long, date date, close double"))
+    assert {f for f in os.listdir(f"{path}/year=2024/month=1") if f.endswith(".parquet")} == before
+    assert sorted((r.month, r.close) for r in spark.read.parquet(path).collect()) == [(1, 1.0), (2, 9.0), (3, 2.0)]
+
+
 def test_journal_reader_falls_back_to_an_empty_table(spark, tmp_path):
     assert tables.read_journal(spark, str(tmp_path / "none.json"), tables.SIGNAL_SCHEMA).count() == 0
     (tmp_path / "p.json").write_text(json.dumps({"initial_capital": 5.0, "trades": [{"trade_id": "a", "ticker": "X", "shares": 3, "other": 1}], "ledger": [{"id": "1", "amount": 2.5}]}))

@@ -19,7 +19,7 @@ def test_quantile_bucket_equals_qcut(spark, k):
         want = pd.qcut(pd.Series(np.arange(1, n + 1, dtype=float)), k, labels=False)
         assert (g.q.to_numpy() == want.to_numpy()).all()
     top = got.groupby("n").q.agg(lambda q: (q == k - 1).sum())
-    if k == 5:
+    if True:
         sizes = spark.createDataFrame([(n,) for n in ns], "n long").select("n", cross.basket_size(F.col("n"), k).alias("m")).toPandas().set_index("n").m
         assert (sizes == top).all()
 
@@ -108,7 +108,14 @@ def bars(spark, bump=None, n=8, drop=()):
 
 def one_exit(spark, b):
     t = spark.createDataFrame([(1, dt.date(2024, 1, 1), 95.0, 110.0, 5)], "ticker long, entry_date date, stop_loss double, target_price double, horizon_days int")
-    return portfolio.exit_trades(t, b, 5).first()
+    return portfolio.exit_trades(t, b).first()
+
+
+def test_exit_bound_comes_from_the_trades(spark):
+    b = spark.createDataFrame([(1, dt.date(2024, 1, 1) + dt.timedelta(days=i), 112.0 if i == 8 else 101.0, 99.0, 100.0) for i in range(14)], "ticker long, date date, high double, low double, close double")
+    t = spark.createDataFrame([(1, dt.date(2024, 1, 1), 95.0, 110.0, 10), (1, dt.date(2024, 1, 2), 95.0, 110.0, 5)], "ticker long, entry_date date, stop_loss double, target_price double, horizon_days int")
+    got = {r.horizon_days: (r.exit_reason, r.exit_bar) for r in portfolio.exit_trades(t, b).collect()}
+    assert got == {10: ("target", 8), 5: ("expired", 5)}
 
 
 def test_exits_for_the_right_reason(spark):
