@@ -117,18 +117,38 @@ _HURDLE = (1 - metrics.EULER_GAMMA) * NormalDist().inv_cdf(1 - 1 / 50) + metrics
 
 @query(f"WITH {SERIES}, {_stats_sql('dd', 'strategy', 12.0)}, z AS (SELECT strategy, n_periods, Sharpe/{12 ** 0.5!r} AS sr FROM st) SELECT strategy, n_periods, {r(f'sr/sqrt((1 + 0.5*sr*sr)/(n_periods - 1)) - {_HURDLE!r}', 5)} AS dsr_z FROM z")
 def deflated_sharpe_score(spark, root):
-    """Normal score of the deflated Sharpe; its probability needs a distribution function SQL lacks."""
+    """Normal score of the deflated Sharpe; its probability is the next query's."""
     s = metrics.return_stats(panel.strategy_returns(spark, root), ["strategy"], ppy=12.0)
     return rounded(metrics.deflated_sharpe(s, 50, ppy=12.0), ["strategy", "n_periods"], ["dsr_z"], 5)
 
 
-@query()
+def _cdf(z: str) -> str:
+    t = f"(1.0/(1.0 + {metrics.CDF_T!r}*abs({z})))"
+    series = "0.0"
+    for b in reversed(metrics.CDF_B):
+        series = f"(({series} + {b!r})*{t})"
+    tail = f"(exp(-({z})*({z})/2.0)/{math.sqrt(2.0 * math.pi)!r}*{series})"
+    return f"(CASE WHEN {z} >= 0 THEN 1.0 - {tail} ELSE {tail} END)"
+
+
+@query(f"WITH {SERIES}, {_stats_sql('dd', 'strategy', 12.0)}, z AS (SELECT strategy, n_periods, Sharpe/{12 ** 0.5!r} AS sr FROM st), y AS (SELECT strategy, n_periods, sr/sqrt((1 + 0.5*sr*sr)/(n_periods - 1)) - {_HURDLE!r} AS z FROM z) "
+       f"SELECT strategy, n_periods, {r('z')} AS dsr_z, {r(_cdf('z'))} AS deflated_sharpe FROM y")
 def deflated_sharpe(spark, root):
     s = metrics.return_stats(panel.strategy_returns(spark, root), ["strategy"], ppy=12.0)
     return rounded(metrics.deflated_sharpe(s, 50, ppy=12.0), ["strategy", "n_periods"], ["dsr_z", "deflated_sharpe"])
 
 
-@query()
+_DRAWN = "PARTITION BY strategy, boot ORDER BY date ROWS UNBOUNDED PRECEDING"
+BOOT = f"""{SERIES}, sr AS (SELECT strategy, ret, row_number() OVER (PARTITION BY strategy ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY strategy) AS n FROM rets),
+b0 AS (SELECT strategy, n, unnest(range(1000)) AS boot FROM (SELECT DISTINCT strategy, n FROM sr WHERE n >= 40)),
+b1 AS (SELECT *, unnest(range(CAST(ceil(n/20.0) AS BIGINT))) AS blk FROM b0),
+b2 AS (SELECT *, CAST('0x' || substr(md5('42|' || strategy || '|' || boot || '|' || blk), 1, 8) AS BIGINT) % (n - 19) AS s, unnest(range(20)) AS o FROM b1),
+b3 AS (SELECT b2.strategy, boot, blk*20 + o AS date, sr.ret FROM b2 JOIN sr ON sr.strategy = b2.strategy AND sr.i = b2.s + b2.o WHERE blk*20 + o < b2.n),
+b4 AS (SELECT *, exp(sum(ln(1.0 + ret)) OVER ({_DRAWN})) AS equity FROM b3),
+b5 AS (SELECT *, (equity - max(equity) OVER ({_DRAWN}))/(max(equity) OVER ({_DRAWN}) + 1e-9) AS drawdown FROM b4), {_stats_sql('b5', 'strategy, boot', 12.0)}"""
+
+
+@query(f"WITH {BOOT} SELECT strategy, count(*) AS n_boot, " + ", ".join(f"{r(f'quantile_cont({c}, {p / 100})')} AS {n}_p{p:02d}" for n, c in (("sharpe", "Sharpe"), ("cagr", "CAGR"), ("max_drawdown", "max_drawdown")) for p in (5, 50, 95)) + " FROM st GROUP BY 1")
 def block_bootstrap(spark, root):
     b = metrics.block_bootstrap(panel.strategy_returns(spark, root), ["strategy"], ppy=12.0)
     return rounded(b, ["strategy", "n_boot"], [c for c in b.columns if c not in ("strategy", "n_boot")])

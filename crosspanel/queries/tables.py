@@ -313,10 +313,11 @@ def top_rows_per_ticker(spark, root):
     return row_number_in(li, ["ticker"], "o", "id").where(F.col("rn") <= 3).select("ticker", "l_orderkey", "l_linenumber")
 
 
-@query()
+@query("SELECT event_id, event_type, value FROM events ORDER BY md5('42|' || event_id), event_id LIMIT 500")
 def sample_rows(spark, root):
-    """At most 500 scored rows in seeded random order (a sampling operator)."""
-    return tables.table(spark, root, "events").select("event_id", "event_type", "value").orderBy(F.rand(42)).limit(500)
+    """500 rows in the order of a seeded digest of their id (a sampling operator)."""
+    e = tables.table(spark, root, "events").select("event_id", "event_type", "value")
+    return e.orderBy(F.md5(F.concat_ws("|", F.lit("42"), "event_id")), "event_id").limit(500)
 
 
 @query("SELECT upper(c_mktsegment) AS segment, left(c_name, 8) AS prefix, starts_with(c_name, 'Customer#0000') AS low, left(sha256(concat_ws('|', c_name, c_mktsegment)), 16) AS digest, printf('%s / %d', c_mktsegment, c_custkey) AS label FROM customer")
