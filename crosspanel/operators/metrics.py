@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio, rnd
 from ..functions.ordered import average_rank_in
+from ..session import stage
 
 EULER_GAMMA = 0.5772156649015329
 POOLED_SEGMENTS = 1024
@@ -18,11 +19,19 @@ POOLED_SEGMENTS = 1024
 
 # --- rank correlation ------------------------------------------------------
 def spearman(df: DataFrame, a: str, b: str, by: list[str] | None = None, k: int | None = None, bounded: bool = False) -> DataFrame:
-    """Spearman correlation of complete pairs per group (whole table when `by` is empty)."""
+    """Spearman correlation of complete pairs per group (whole table when `by` is empty).
+
+    The pairs are written once, as the ranking reads its input several times;
+    both columns are ranked in one pass, unpivoted, and paired again by row.
+    """
     by = by or []
     k = k or (16 if by else POOLED_SEGMENTS)
-    pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    r = average_rank_in(average_rank_in(pairs, by, a, "_ra", k=k, bounded=bounded), by, b, "_rb", k=k, bounded=bounded)
+    pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b"))
+    pairs = stage(pairs.withColumn("_id", F.monotonically_increasing_id()))
+    both = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("v")) for i, c in enumerate(("_a", "_b"))])
+    long = pairs.select(*by, "_id", F.explode(both).alias("_p")).select(*by, "_id", F.col("_p.i").alias("_i"), F.col("_p.v").alias("_v"))
+    r = average_rank_in(long, [*by, "_i"], "_v", "_rank", k=k, bounded=bounded or not by)
+    r = r.groupBy(*by, "_id").agg(*[F.max(F.when(F.col("_i") == i, F.col("_rank"))).alias(n) for i, n in enumerate(("_ra", "_rb"))])
     corr = ratio(F.covar_pop("_ra", "_rb"), F.stddev_pop("_ra") * F.stddev_pop("_rb"))
     return r.groupBy(*by).agg(F.when(F.count(F.lit(1)) >= 2, corr).alias("ic"), F.count(F.lit(1)).alias("n"))
 

@@ -168,19 +168,20 @@ def _signals(spark, root):
 
 
 _LVJ = f"{LEVELS}, {SIG}, j AS (SELECT sg.*, coalesce(close, 0.0) AS e, coalesce(atr14, coalesce(close, 0.0)*0.015) AS a FROM sg LEFT JOIN lv USING (ticker))"
-_OUT = ["ticker", "signal", "entry_price", "atr14", "stop_loss", "target_price", "risk_reward", "horizon_days"]
+_OUT = ["ticker", "signal", "entry_price", "atr14", "stop_loss", "target_price", "risk_reward", "horizon_days", "signal_date"]
 
 
-@query(f"WITH {_LVJ}, k AS (SELECT *, {r('e - 1.5*a', 2)} AS stop_loss, {r('e + 3.0*a', 2)} AS target_price FROM j) SELECT ticker, signal, {r('e', 2)} AS entry_price, {r('a', 2)} AS atr14, stop_loss, target_price, {r('(target_price - e)/nullif(e - stop_loss, 0)', 2)} AS risk_reward, 5 AS horizon_days FROM k")
+@query(f"WITH {_LVJ}, k AS (SELECT *, {r('e - 1.5*a', 2)} AS stop_loss, {r('e + 3.0*a', 2)} AS target_price FROM j) SELECT ticker, signal, {r('e', 2)} AS entry_price, {r('a', 2)} AS atr14, stop_loss, target_price, {r('(target_price - e)/nullif(e - stop_loss, 0)', 2)} AS risk_reward, 5 AS horizon_days, (SELECT max(date) FROM bars) AS signal_date FROM k")
 def enrich_signals(spark, root):
-    s = _signals(spark, root).drop("horizon_days")
-    return signals.enrich_fixed(s, signals.latest_levels(panel.bars(spark, root))).select(*_OUT)
+    s, bars = _signals(spark, root).drop("horizon_days"), panel.bars(spark, root)
+    return signals.enrich_fixed(s, signals.latest_levels(bars), signal_date=bars.select(F.max("date")).scalar()).select(*_OUT)
 
 
 @query(f"WITH {_LVJ}, k AS (SELECT *, coalesce(CASE WHEN abs(q10_star)*e/nullif(a, 0) IS NOT NULL THEN least(greatest(abs(q10_star)*e/nullif(a, 0), 0.8), 3.0) END, 0.8) AS sm, coalesce(CASE WHEN q90_star*e/nullif(a, 0) IS NOT NULL THEN least(greatest(greatest(q90_star, 0.0)*e/nullif(a, 0), 1.0), 6.0) END, 6.0) AS tm FROM j) "
-       f"SELECT ticker, signal, {r('e', 2)} AS entry_price, {r('a', 2)} AS atr14, {r('e - sm*a', 2)} AS stop_loss, {r('e + tm*a', 2)} AS target_price, {r('(CASE WHEN q90_star IS NOT NULL THEN greatest(q90_star, 0.0) END)/nullif(abs(q10_star), 0)', 2)} AS risk_reward, CAST(coalesce(horizon_days, 5) AS INTEGER) AS horizon_days FROM k")
+       f"SELECT ticker, signal, {r('e', 2)} AS entry_price, {r('a', 2)} AS atr14, {r('e - sm*a', 2)} AS stop_loss, {r('e + tm*a', 2)} AS target_price, {r('(CASE WHEN q90_star IS NOT NULL THEN greatest(q90_star, 0.0) END)/nullif(abs(q10_star), 0)', 2)} AS risk_reward, CAST(coalesce(horizon_days, 5) AS INTEGER) AS horizon_days, (SELECT max(date) FROM bars) AS signal_date FROM k")
 def enrich_signals_dynamic(spark, root):
-    return signals.enrich_dynamic(_signals(spark, root), signals.latest_levels(panel.bars(spark, root))).select(*_OUT)
+    bars = panel.bars(spark, root)
+    return signals.enrich_dynamic(_signals(spark, root), signals.latest_levels(bars), signal_date=bars.select(F.max("date")).scalar()).select(*_OUT)
 
 
 @query(f"WITH {SIG} SELECT count(*) AS n_signals, count(*) FILTER (signal = 'LONG') AS n_long, count(*) FILTER (signal = 'NEUTRAL') AS n_neutral, {r('avg(prob_up) FILTER (signal = ' + chr(39) + 'LONG' + chr(39) + ')')} AS avg_long_confidence FROM sg")

@@ -156,17 +156,58 @@ def json_props(spark, root):
     return e.groupBy(F.to_date(F.substring(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), 1, 10)).alias("day"), "event_type", F.col("p.k").alias("k")).agg(F.count(F.lit(1)).alias("n"))
 
 
+DOCUMENT_ROWS = 2000
+
+
+def _portfolio_files(spark, rows, row, name):
+    """Portfolio documents of an account written as JSON: each holds some DOCUMENT_ROWS rows, however large the account."""
+    slices = F.greatest(F.ceil(F.count(F.lit(1)) / DOCUMENT_ROWS), F.lit(1))
+    sizes = rows.groupBy("account").agg(slices.alias("slices"))
+    cut = rows.join(sizes, "account").withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")))
+    docs = cut.groupBy("account", "slice").agg(F.collect_list(row).alias(name), F.first(F.col("account") * 1000.0).alias("initial_capital"))
+    docs = docs.withColumn("cash", F.when(F.col("account") % 2 == 0, F.col("account") * 10.0))
+    path = f"{staging_root(spark)}/portfolio-{uuid.uuid4().hex}"
+    docs.write.mode("overwrite").json(path)
+    return spark.read.schema(tables.PORTFOLIO_SCHEMA).json(path)
+
+
 @query(f"WITH {TRADES} SELECT CAST(trade_id AS VARCHAR) AS trade_id, CAST(ticker AS VARCHAR) AS ticker, shares FROM trades")
 def portfolio_trades(spark, root):
-    """Nested portfolio files (one per account) written as JSON and exploded back to trades."""
-    t = panel.trades(spark, root)
+    """Nested portfolio files written as JSON and exploded back to trades."""
+    t = panel.trades(spark, root).withColumn("id", F.col("trade_id"))
     row = F.struct(F.col("trade_id").cast("string").alias("trade_id"), F.col("ticker").cast("string").alias("ticker"), F.col("shares"), F.lit("x").alias("unknown_field"))
-    # a file holds one slice of an account, so no document grows with the account
-    docs = t.withColumn("slice", F.pmod(F.xxhash64("trade_id"), F.lit(64))).groupBy("account", "slice").agg(F.collect_list(row).alias("trades"))
-    path = f"{staging_root(spark)}/portfolio-{uuid.uuid4().hex}"
-    docs.write.mode("overwrite").json(path)
-    back = spark.read.schema(tables.PORTFOLIO_SCHEMA).json(path)
-    return tables.portfolio_trades(back).select("trade_id", "ticker", "shares")
+    return tables.portfolio_trades(_portfolio_files(spark, t, row, "trades")).select("trade_id", "ticker", "shares")
+
+
+def _funds(spark, root):
+    """Orders as entries of an append-only statement."""
+    o = tables.table(spark, root, "orders")
+    return o.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 7).alias("account"), F.col("o_orderstatus").alias("type"), F.col("o_totalprice").alias("amount"))
+
+
+@query(f"SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus AS type, {r('o_totalprice', 2)} AS amount FROM orders")
+def portfolio_ledger(spark, root):
+    """The same files' ledger entries."""
+    row = F.struct(F.col("id").cast("string").alias("id"), "type", "amount")
+    return tables.portfolio_ledger(_portfolio_files(spark, _funds(spark, root), row, "ledger")).select("id", "type", rnd("amount", 2).alias("amount"))
+
+
+@query("SELECT DISTINCT o_custkey % 7 * 1000.0 AS initial_capital, CASE WHEN o_custkey % 7 % 2 = 0 THEN o_custkey % 7 * 10.0 ELSE o_custkey % 7 * 1000.0 END AS cash, 0.05 AS position_size_pct FROM orders"
+       .replace("o_custkey % 7 * 1000.0", "CAST(o_custkey % 7 * 1000 AS DOUBLE)").replace("o_custkey % 7 * 10.0", "CAST(o_custkey % 7 * 10 AS DOUBLE)").replace("0.05 AS", "CAST(0.05 AS DOUBLE) AS"))
+def portfolio_header(spark, root):
+    """Header fields of portfolio files, with their defaults."""
+    row = F.struct(F.col("id").cast("string").alias("id"), "type", "amount")
+    return tables.portfolio_header(_portfolio_files(spark, _funds(spark, root), row, "ledger")).distinct()
+
+
+@query(f"SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 'run-b' ELSE 'run-a' END AS run_id, {r('CASE WHEN o_orderstatus = ' + chr(39) + 'F' + chr(39) + ' THEN o_totalprice + 1 ELSE o_totalprice END', 2)} AS amount, count(*) AS n FROM orders GROUP BY 1, 2, 3")
+def sync_ledger(spark, root):
+    """Idempotent by id: entries synced again replace their older row, and a repeated sync changes nothing."""
+    e = _funds(spark, root)
+    first = tables.stamp_run(e, "run-a")
+    again = tables.stamp_run(e.where(F.col("type") == "F").withColumn("amount", F.col("amount") + 1), "run-b")
+    m = tables.merge_rows(tables.merge_rows(first, again, ["id"]), again.unionByName(again), ["id"])
+    return m.groupBy("id", "run_id", rnd("amount", 2).alias("amount")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT o_orderpriority AS signal, count(*) AS n, " + r("sum(o_totalprice)", 2) + " AS total FROM orders GROUP BY 1")
