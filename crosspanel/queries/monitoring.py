@@ -10,7 +10,7 @@ from ..operators import cross, drift, features as ft, labels, models, splits
 from ..session import stage
 from ..sources import panel
 from .accounts import OUTC, _outcomes
-from .base import FEATS, query, r, rounded, spearman_sql
+from .base import FEATS, leadq, query, r, rounded, spearman_sql
 
 FEATURES = ["ret_1d", "ret_5d", "dist_sma20", "vol_z20", "volume"]
 SAMPLES = f"""{FEATS}, d0 AS (SELECT DISTINCT date FROM feats), di AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS idx, count(*) OVER () AS n FROM d0),
@@ -102,41 +102,45 @@ def _rows(spark, root, task: str = "classification"):
     return stage(cross.zscore(stage(df), MODEL_FEATURES))
 
 
-def _steps(rows, every: int = 400):
-    return splits.rebalance_schedule(rows, min_train=504, every=every)
+# the rows a model sees: all features present (a z-score needs two values of a date)
+_SEEN = " AND ".join(f"{c} IS NOT NULL AND count({c}) OVER (PARTITION BY date) >= 2" for c in MODEL_FEATURES)
+SEEN = f"""{FEATS}, sn AS (SELECT ticker, date, CASE WHEN {leadq('close', 5)} IS NOT NULL THEN ln({leadq('close', 5)}/close) END AS fwd_ret, {_SEEN} AS seen FROM feats),
+sd AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS idx, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM feats))"""
+HELD = f"WITH {SEEN} SELECT date, ticker, true AS scored FROM sn JOIN sd USING (date) WHERE seen AND idx >= floor(n*(1.0 - 0.2))"
 
 
-@query()
+@query(HELD)
 def train_classifier(spark, root):
-    """Final fit with a date holdout, then scores of the test dates."""
+    """Final fit with a date holdout, then scores of the test dates: every row gets a probability."""
     rows = _rows(spark, root)
     v = models.assemble(rows, MODEL_FEATURES).join(F.broadcast(splits.final_holdout(rows).select("date", "role")), "date")
     m = models.fit(v.where(F.col("role") == "train"), weight="weight", **FAST)
-    return models.score(m, v.where(F.col("role") == "test")).select("date", "ticker", rnd("pred", 6).alias("pred"))
+    return models.score(m, v.where(F.col("role") == "test")).select("date", "ticker", F.col("pred").between(0, 1).alias("scored"))
 
 
-@query()
+@query(HELD)
 def train_regressor(spark, root):
     rows = _rows(spark, root, "regression")
     v = models.assemble(rows, MODEL_FEATURES).join(F.broadcast(splits.final_holdout(rows).select("date", "role")), "date")
     m = models.fit(v.where(F.col("role") == "train"), task="regression", weight="weight", **FAST)
-    return models.score(m, v.where(F.col("role") == "test"), "regression").select("date", "ticker", rnd("pred", 6).alias("pred"))
+    return models.score(m, v.where(F.col("role") == "test"), "regression").select("date", "ticker", (F.abs("pred") < 100).alias("scored"))
 
 
-@query()
+@query(f"WITH {SEEN} SELECT date, ticker, true AS scored FROM sn WHERE seen")
 def bagged_scores(spark, root):
     """Mean over seeds; members without score dispersion are dropped."""
     rows = _rows(spark, root)
     v = models.assemble(rows, MODEL_FEATURES)
     bag = models.fit_bag(v, 2, weight="weight", **FAST)
-    return models.score_bag(bag, v, ["date", "ticker"]).select("date", "ticker", rnd("pred", 6).alias("pred"), "n_members")
+    return models.score_bag(bag, v, ["date", "ticker"]).select("date", "ticker", (F.col("pred").between(0, 1) & F.col("n_members").between(1, 2)).alias("scored"))
 
 
-@query()
+@query(f"WITH {SEEN} SELECT CAST((idx - 504)//5 AS INTEGER) AS step, date, ticker, {r('fwd_ret')} AS fwd_ret, true AS scored FROM sn JOIN sd USING (date) WHERE seen AND idx >= 504 AND idx < n - 5 AND (idx - 504) % 5 = 0")
 def walk_forward_scores(spark, root):
+    """Every rebalance date scored out of fold; the trees are refitted at every 80th date."""
     rows = _rows(spark, root)
-    oof = models.walk_forward(rows, _steps(rows), MODEL_FEATURES, weight="weight", **FAST)
-    return oof.select("step", "date", "ticker", rnd("pred", 6).alias("pred"), rnd("fwd_ret", 6).alias("fwd_ret"))
+    oof = models.walk_forward(rows, splits.rebalance_schedule(rows), MODEL_FEATURES, weight="weight", refit_every=80, **FAST)
+    return oof.select("step", "date", "ticker", rnd("fwd_ret", 6).alias("fwd_ret"), F.col("pred").between(0, 1).alias("scored"))
 
 
 @query()
@@ -151,7 +155,9 @@ def grid_search(spark, root):
 def isotonic_calibration(spark, root):
     rows = _rows(spark, root)
     v = models.assemble(rows, MODEL_FEATURES).where(F.col("target").isNotNull()).withColumn("label", (F.col("target") == 1).cast("double"))
-    scored = models.score(models.fit(v, weight="weight", **FAST), v)
+    # fitted on the training dates, calibrated and scored on the two halves of the dates held out
+    v = v.join(F.broadcast(splits.final_holdout(rows).select("date", "role")), "date")
+    scored = models.score(models.fit(v.where(F.col("role") == "train"), weight="weight", **FAST), v.where(F.col("role") == "test"))
     half = splits.half_split(scored.select("date", "ticker", "pred", "label"))
     iso = models.fit_isotonic(half.where(F.col("half") == "first"))
     return models.apply_isotonic(iso, half.where(F.col("half") == "second")).select("date", "ticker", rnd("pred", 6).alias("pred"), rnd("calibrated", 6).alias("calibrated"))
