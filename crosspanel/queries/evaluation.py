@@ -123,12 +123,13 @@ def deflated_sharpe_score(spark, root):
 
 
 def _cdf(z: str) -> str:
-    t = f"(1.0/(1.0 + {metrics.CDF_T!r}*abs({z})))"
-    series = "0.0"
-    for b in reversed(metrics.CDF_B):
-        series = f"(({series} + {b!r})*{t})"
-    tail = f"(exp(-({z})*({z})/2.0)/{math.sqrt(2.0 * math.pi)!r}*{series})"
-    return f"(CASE WHEN {z} >= 0 THEN 1.0 - {tail} ELSE {tail} END)"
+    x = f"abs({z})"
+    poly = lambda cs: "(" + " + ".join(f"{c!r}*pow({x}, {len(cs) - 1 - i})" for i, c in enumerate(cs)) + ")"
+    far = f"({x} + 0.65)"
+    for k in (4, 3, 2, 1):
+        far = f"({x} + {k}/{far})"
+    tail = f"(exp(-{x}*{x}/2.0)*CASE WHEN {x} < {metrics.CDF_FAR!r} THEN {poly(metrics.CDF_N)}/{poly(metrics.CDF_D)} ELSE 1.0/{far}/{math.sqrt(2.0 * math.pi)!r} END)"
+    return f"(CASE WHEN {z} > 0 THEN 1.0 - {tail} ELSE {tail} END)"
 
 
 @query(f"WITH {SERIES}, {_stats_sql('dd', 'strategy', 12.0)}, z AS (SELECT strategy, n_periods, Sharpe/{12 ** 0.5!r} AS sr FROM st), y AS (SELECT strategy, n_periods, sr/sqrt((1 + 0.5*sr*sr)/(n_periods - 1)) - {_HURDLE!r} AS z FROM z) "
