@@ -14,12 +14,13 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = ["bars", "labelled_features", "ticker_features", "feature_table", "triple_barrier", "sample_weights", "cross_percentile_rank", "quantile_buckets", "daily_ic", "pooled_ic",
-            "period_returns", "backtest", "cost_sensitivity", "trade_exits", "running_balance", "realised_equity", "asof_forward_join", "resolve_outcomes", "weekly_ic", "feature_drift", "cusum"]
+            "period_returns", "backtest", "cost_sensitivity", "trade_exits", "running_balance", "realised_equity", "asof_forward_join", "resolve_outcomes", "weekly_ic", "feature_drift", "cusum",
+            "train_classifier", "score_latest", "walk_forward_scores"]
 
 
 def main() -> None:
     from crosspanel.queries import QUERIES
-    from crosspanel.session import local_session
+    from crosspanel.session import local_session, release
 
     root = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = local_session(os.environ.get("BENCH_CPUS", "8"), os.environ.get("BENCH_MEMORY", "8g"))
@@ -36,6 +37,7 @@ def main() -> None:
         except Exception as e:  # noqa: BLE001
             errors[name] = f"{type(e).__name__}: {str(e)[:300]}"
         times[name] = round(time.time() - t, 3)
+        release(spark)
         print(f"{name}: {times[name]}s {errors.get(name, '')}", file=sys.stderr, flush=True)
     out = {"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": os.path.basename(root.rstrip("/")).removeprefix("sf")}
     if errors:

@@ -55,6 +55,9 @@ def staging_root(spark: SparkSession) -> str:
     return _fallback[app]
 
 
+_staged: dict[str, list[str]] = {}
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back.
 
@@ -64,4 +67,24 @@ def stage(df: DataFrame) -> DataFrame:
     """
     path = f"{staging_root(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _staged.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def staged(spark: SparkSession) -> int:
+    """Number of tables this application has staged and not released."""
+    return len(_staged.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, since: int = 0, keep_last: bool = False) -> None:
+    """Delete what this application has staged after the first `since` tables (all but the newest with `keep_last`).
+
+    Call it when results are written: frames that still read a staged table fail afterwards.
+    """
+    paths = _staged.pop(spark.sparkContext.applicationId, [])
+    kept = paths[:since] + (paths[since:][-1:] if keep_last else [])
+    for path in paths[since : len(paths) - (len(kept) - min(since, len(paths)))]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    if kept:
+        _staged[spark.sparkContext.applicationId] = kept

@@ -52,7 +52,7 @@ def compare(spark_df, con, sql):
 
 def main():
     from __spark_entry__ import oracle_sql, queries
-    from crosspanel.session import local_session
+    from crosspanel.session import local_session, release
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
     names = sys.argv[2:]
@@ -72,6 +72,7 @@ def main():
                 rows, msg = df.count(), ""
         except Exception as e:  # noqa: BLE001
             msg, rows = f"{type(e).__name__}: {str(e)[:600]}", -1
+        release(spark)
         failed += bool(msg)
         print(f"{'FAIL' if msg else 'ok  '} {n:32s} rows={rows} {'oracle' if n in sql else 'rows-only'} {time.time() - t:5.1f}s {msg}", flush=True)
     print("failed:", failed)
