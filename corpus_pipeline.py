@@ -19,7 +19,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from crosspanel.llm import decontamination, jaccard, lines, packing, toxicity  # noqa: E402
 from crosspanel.llm.base import table  # noqa: E402
-from crosspanel.session import stage  # noqa: E402
+from crosspanel.session import release, stage, staged  # noqa: E402
 
 # a score from here on rejects a document
 TOXIC_SCORE = 0.5
@@ -90,8 +90,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table, each written as Parquet and read again."""
+    """All stages over the documents table, each written as Parquet and read again.
+
+    Once a stage's result is written, tables staged on the way to it are deleted.
+    """
+    since = staged(spark)
     docs = table(spark, sf_dir, "documents")
     for _, step in STAGES:
         docs = stage(step(spark, docs, sf_dir))
+        release(spark, since, keep_last=True)
     return docs
