@@ -45,7 +45,12 @@ def _proxy(df: DataFrame, c: str) -> Column:
     """A number that never decreases along the sort order of the column."""
     kind = df.schema[c].dataType.simpleString()
     if kind == "string":
-        head = F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6)), 12, "0")
+        # the six bytes after what all values begin with, which names of one pattern share
+        data = F.encode(c, "UTF-8")
+        lo, hi = F.min(data), F.max(data)
+        same = F.filter(F.sequence(F.lit(1), F.greatest(F.least(F.length(lo), F.length(hi)), F.lit(1))), lambda i: F.substring(lo, F.lit(1), i) == F.substring(hi, F.lit(1), i))
+        begin = df.select(F.coalesce(F.when(lo == hi, F.lit(0)).otherwise(F.size(same)), F.lit(0))).first()[0]
+        head = F.rpad(F.hex(F.substring(data, begin + 1, 6)), 12, "0")
         return F.conv(head, 16, 10).cast("double")
     if kind == "date":
         return F.unix_date(c)

@@ -91,3 +91,13 @@ def test_string_ties_inside_a_hot_value(skewed):
     p["rn_w"] = p.groupby("g").cumcount() + 1
     got = row_number_in(d, ["g"], "v", "name").toPandas().merge(p[["id", "rn_w"]], on="id")
     assert len(got) == len(p) and (got.rn == got.rn_w).all()
+
+
+def test_string_ties_with_a_common_beginning_are_cut(spark):
+    from crosspanel.functions.ordered import add_segments
+
+    df = spark.range(4000).select(F.lit(0).alias("g"), F.lit(1.0).alias("v"), F.format_string("Customer#%09d", F.col("id")).alias("name"))
+    cut = add_segments(df, ["g"], "v", "name").groupBy("_b1", "_b2").count().collect()
+    assert len(cut) > 4 and max(r["count"] for r in cut) < 2000
+    got = row_number_in(df, ["g"], "v", "name").collect()
+    assert [r.rn for r in sorted(got, key=lambda r: r.name)] == list(range(1, 4001))
