@@ -18,16 +18,16 @@ WINDOW_WORDS = 13
 # words of an anchor; of the anchors in a window the one with the smallest hash stands for it
 ANCHOR_WORDS = 5
 # an anchor in more documents is routed by whole windows, which are pre-aggregated
-HOT_DOCUMENTS = 1000
+HOT_DOCUMENTS = 10_000
 # words of one automaton, give or take the segments of one anchor
 SHARD_WORDS = 60_000
-# rows of a small side that are broadcast at most, some 50 bytes each
+# rows of a small side that are broadcast at most, some 50 bytes each, and bytes of all spans
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 32 << 20
 # words and hashes a task remembers
 REMEMBERED_WORDS = 500_000
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_MULTIPLIERS = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) % (1 << 64) | 1 for i in range(WINDOW_WORDS)], np.uint64)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -40,33 +40,49 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+# odd and unrelated: multipliers in proportion would give rearranged words the same sum
+_MULTIPLIERS = _mix(np.arange(1, WINDOW_WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+class _Known(dict):
+    def __missing__(self, word: str) -> int:
+        value = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return value
+
+
 class Hasher:
     """64-bit hashes of word sequences; words seen before are looked up."""
 
     def __init__(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Known()
 
     def words(self, words: list[str]) -> np.ndarray:
-        known = self.known
-        if len(known) > REMEMBERED_WORDS:
-            known.clear()
-        try:
-            return np.array([known[w] for w in words], np.uint64)
-        except KeyError:
-            for w in set(words):
-                if w not in known:
-                    known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
-            return np.array([known[w] for w in words], np.uint64)
+        if len(self.known) > REMEMBERED_WORDS:
+            self.known.clear()
+        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
 
     @staticmethod
     def grams(hashes: np.ndarray, n: int) -> np.ndarray:
         m = len(hashes) - n + 1
-        total = np.zeros(max(m, 0), np.uint64)
-        for i in range(n if m > 0 else 0):
-            total += _mix(hashes[i : i + m] * _MULTIPLIERS[i])
+        if m <= 0:
+            return np.zeros(0, np.uint64)
+        total = hashes[:m] * _MULTIPLIERS[0]
+        for i in range(1, n):
+            total += hashes[i : i + m] * _MULTIPLIERS[i]
         return _mix(total)
 
 
+def _leftmost_minima(x: np.ndarray, span: int) -> np.ndarray:
+    """Place of the leftmost smallest value of every `span` values, from windows of 1, 2, 4, ... values."""
+    value, place, width = x, np.arange(len(x)), 1
+    while width < span:
+        by = min(width, span - width)
+        a, b, ia, ib = value[:-by], value[by:], place[:-by], place[by:]
+        right = b < a
+        value, place, width = np.where(right, b, a), np.where(right, ib, ia), width + by
+    return place
+
+
 def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each window the place of its anchor, and the hash of every possible anchor.
 
@@ -75,10 +91,7 @@ def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """
     grams = Hasher.grams(hashes, ANCHOR_WORDS)
     span = WINDOW_WORDS - ANCHOR_WORDS + 1
-    if len(grams) < span:
-        return np.zeros(0, np.int64), grams
-    views = np.lib.stride_tricks.sliding_window_view(grams, span)
-    return views.argmin(axis=1) + np.arange(len(views)), grams
+    return (_leftmost_minima(grams, span) if len(grams) >= span else np.zeros(0, np.int64)), grams
 
 
 class Automaton:
@@ -160,7 +173,7 @@ class Automaton:
 
 
 def _shared_anchors(docs: DataFrame) -> DataFrame:
-    """anchor, doc, mark of every document (doc, version, text), where more than one document has the anchor.
+    """anchor, doc of every document (doc, text), where more than one document has the anchor.
 
     A task that meets an anchor in several of its documents knows it to be
     shared: these rows (mark 1) go on by themselves, and one row without a
@@ -169,44 +182,43 @@ def _shared_anchors(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, found, ids, versions = Hasher(), [], [], []
+        hasher, found, ids = Hasher(), [], []
         for batch in batches:
-            for doc, version, text in zip(*[c.to_pylist() for c in batch.columns]):
+            for doc, text in zip(*[c.to_pylist() for c in batch.columns]):
                 places, grams = anchors(hasher.words(words_of(text)))
                 if len(places):
-                    found.append(np.unique(grams[places]))
+                    found.append(np.unique(grams[places[np.append(True, places[1:] != places[:-1])]]))
                     ids.append(doc)
-                    versions.append(version)
         if not found:
             return
         sizes = [len(x) for x in found]
         anchor = np.concatenate(found).view(np.int64)
-        doc, version = np.repeat(np.array(ids, np.int64), sizes), np.repeat(np.array(versions, np.int64), sizes)
-        order = np.lexsort((doc, anchor))
-        anchor, doc, version = anchor[order], doc[order], version[order]
-        new = np.append(True, anchor[1:] != anchor[:-1])
-        start = np.flatnonzero(new)
-        end = np.append(start[1:], len(anchor)) - 1
-        several = doc[start] != doc[end]
-        mark = np.repeat(several, end - start + 1).astype(np.int32)
+        doc = np.repeat(np.array(ids, np.int64), sizes)
+        order = np.argsort(anchor, kind="stable")
+        anchor, doc = anchor[order], doc[order]
+        start = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
+        several = np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start)
+        mark = np.repeat(several, np.diff(np.append(start, len(anchor)))).astype(np.int32)
         told = anchor[start[several]]
         for at in range(0, len(anchor), 200_000):
             part = slice(at, at + 200_000)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[part]), pa.array(doc[part]), pa.array(version[part]), pa.array(mark[part])], names)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[part]), pa.array(doc[part]), pa.array(mark[part])], names)
         for at in range(0, len(told), 200_000):
             part = told[at : at + 200_000]
-            none = pa.nulls(len(part), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(part), none, none, pa.array(np.full(len(part), 2, np.int32))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.nulls(len(part), pa.int64()), pa.array(np.full(len(part), 2, np.int32))], names)
 
-    names = ["anchor", "doc", "version", "mark"]
-    rows = docs.select("doc", "version", "text").mapInArrow(run, "anchor bigint, doc bigint, version bigint, mark int")
+    names = ["anchor", "doc", "mark"]
+    rows = docs.select("doc", "text").mapInArrow(run, "anchor bigint, doc bigint, mark int")
     w = Window.partitionBy("anchor", F.when(F.col("mark") == 1, F.col("doc")).otherwise(F.lit(-1)))
     rows = rows.withColumn("_lo", F.min("doc").over(w)).withColumn("_hi", F.max("doc").over(w)).withColumn("_told", F.max("mark").over(w))
-    return rows.where((F.col("mark") == 1) | (F.col("mark") == 0) & ((F.col("_told") == 2) | (F.col("_lo") < F.col("_hi")))).select("anchor", "doc", "version")
+    return rows.where((F.col("mark") == 1) | (F.col("mark") == 0) & ((F.col("_told") == 2) | (F.col("_lo") < F.col("_hi")))).select("anchor", "doc")
 
 
 def _segments(texts: DataFrame) -> DataFrame:
-    """What is to be compared: runs of windows by their anchor (words), or single windows of hot anchors (hashes)."""
+    """What is to be compared: runs of windows by their anchor (words), or single windows of hot anchors (hashes).
+
+    What a document repeats is one row with all its places.
+    """
 
     def run(rows):
         hasher = Hasher()
@@ -214,44 +226,65 @@ def _segments(texts: DataFrame) -> DataFrame:
             words = words_of(text)
             hashes = hasher.words(words)
             places, grams = anchors(hashes)
-            cold, hot = set(cold), set(hot)
+            border = np.append(0, np.flatnonzero(np.diff(places)) + 1)
+            ends = np.append(border[1:], len(places))
+            keys = grams[places[border]].view(np.int64)
+            chosen = np.isin(keys, np.array(cold, np.int64))
+            found: dict[tuple, list[int]] = {}
+            for key, a, b in zip(keys[chosen].tolist(), border[chosen].tolist(), ends[chosen].tolist()):
+                found.setdefault((key, " ".join(words[a : b + WINDOW_WORDS - 1])), []).append(a)
+            for (key, run), starts in found.items():
+                yield False, key, 0, doc, version, starts, run
             if hot:
                 one, two = Hasher.grams(hashes, WINDOW_WORDS).view(np.int64), Hasher.grams(hashes ^ np.uint64(0x5555555555555555), WINDOW_WORDS).view(np.int64)
-            border = np.append(0, np.flatnonzero(np.diff(places)) + 1)
-            keys = grams[places[border]].view(np.int64).tolist()
-            for key, a, b in zip(keys, border.tolist(), [*border[1:].tolist(), len(places)]):
-                if key in cold:
-                    yield False, key, 0, doc, version, a, " ".join(words[a : b + WINDOW_WORDS - 1])
-                elif key in hot:
+                chosen = np.isin(keys, np.array(hot, np.int64))
+                found = {}
+                for a, b in zip(border[chosen].tolist(), ends[chosen].tolist()):
                     for s in range(a, b):
-                        yield True, int(one[s]), int(two[s]), doc, version, s, None
+                        found.setdefault((int(one[s]), int(two[s])), []).append(s)
+                for (key, other), starts in found.items():
+                    yield True, key, other, doc, version, starts, None
 
-    return map_records(texts, run, "hot boolean, key bigint, other bigint, doc bigint, version bigint, start int, words string")
+    return map_records(texts, run, "hot boolean, key bigint, other bigint, doc bigint, version bigint, starts array<int>, words string")
 
 
 def _judge(rows: Iterator[tuple]) -> Iterator[tuple]:
-    """Windows of segments, sorted by anchor, that a document with a smaller id has too.
+    """Runs of windows of segments, sorted by anchor, that a document with a smaller id has too.
 
     Reference shards are cut between anchors, so each shard's automaton holds all
-    that its segments can match.
+    that its segments can match. Segments of an anchor that are all equal match
+    each other as they are.
     """
 
     def shard(held: list[tuple]) -> Iterator[tuple]:
         numbers: dict[str, int] = {}
         lowest: dict[str, int] = {}
-        for _, doc, _, _, words in held:
+        versions: dict[int, set[str]] = {}
+        for key, doc, _, _, words in held:
+            versions.setdefault(key, set()).add(words)
             if doc < lowest.get(words, 1 << 62):
                 lowest[words] = doc
-        coded = {s: [numbers.setdefault(w, len(numbers)) for w in s.split(" ")] for s in lowest}
+        alike = {s for v in versions.values() if len(v) == 1 for s in v}
+        coded = {s: [numbers.setdefault(w, len(numbers)) for w in s.split(" ")] for s in lowest if s not in alike}
         automaton = Automaton()
         for s, words in coded.items():
             automaton.add(words, lowest[s])
         automaton.finish()
         firsts = {s: automaton.statistics(words, WINDOW_WORDS) for s, words in coded.items()}
-        for _, doc, version, start, words in held:
-            for i, first in enumerate(firsts[words]):
+        for _, doc, version, starts, words in held:
+            if words in alike:
+                if lowest[words] < doc:
+                    yield doc, version, starts, words.count(" ") + 2 - WINDOW_WORDS
+                continue
+            at, mine = -1, firsts[words]
+            for i, first in enumerate(mine):
                 if first < doc:
-                    yield doc, version, start + i
+                    at = i if at < 0 else at
+                elif at >= 0:
+                    yield doc, version, [s + at for s in starts], i - at
+                    at = -1
+            if at >= 0:
+                yield doc, version, [s + at for s in starts], len(mine) - at
 
     held, size, key = [], 0, None
     for row in rows:
@@ -265,21 +298,34 @@ def _judge(rows: Iterator[tuple]) -> Iterator[tuple]:
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """doc, version, starts (array) of the windows of `docs` (doc, version, text) that a smaller doc has too."""
+    """doc, version, spans (words covered) of the windows of `docs` (doc, version, text) that a smaller doc has too."""
     shared = stage(_shared_anchors(docs))
     hot = stage(shared.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT_DOCUMENTS).select("anchor", F.lit(True).alias("hot")))
     few = hot.count() <= BROADCAST_ROWS
     flagged = shared.join(F.broadcast(hot) if few else hot, "anchor", "left")
     anchor = F.col("anchor")
-    by_doc = flagged.groupBy("doc", "version").agg(F.collect_list(F.when(F.col("hot").isNull(), anchor)).alias("cold"), F.collect_list(F.when(F.col("hot"), anchor)).alias("warm"))
-    segments = stage(_segments(docs.select("doc", "version", "text").join(by_doc, ["doc", "version"])))
-    cold = segments.where(~F.col("hot")).select("key", "doc", "version", "start", "words")
+    by_doc = flagged.groupBy("doc").agg(F.collect_list(F.when(F.col("hot").isNull(), anchor)).alias("cold"), F.collect_list(F.when(F.col("hot"), anchor)).alias("warm"))
+    segments = stage(_segments(docs.select("doc", "version", "text").join(by_doc, "doc").select("doc", "version", "text", "cold", "warm")))
+    cold = segments.where(~F.col("hot")).select("key", "doc", "version", "starts", "words")
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    found = map_records(cold.repartition(n, "key").sortWithinPartitions("key"), _judge, "doc bigint, version bigint, start int")
-    warm = segments.where("hot").select("key", "other", "doc", "version", "start")
+    found = map_records(cold.repartition(n, "key").sortWithinPartitions("key"), _judge, "doc bigint, version bigint, starts array<int>, n int")
+    warm = segments.where("hot").select("key", "other", "doc", "version", "starts")
     first = warm.groupBy("key", "other").agg(F.min("doc").alias("first"))
-    found = found.unionByName(warm.join(first, ["key", "other"]).where(F.col("first") < F.col("doc")).select("doc", "version", "start"))
-    return found.groupBy("doc", "version").agg(F.sort_array(F.collect_list("start")).alias("starts"))
+    found = found.unionByName(warm.join(first, ["key", "other"]).where(F.col("first") < F.col("doc")).select("doc", "version", "starts", F.lit(1).alias("n")))
+    return map_records(found.groupBy("doc", "version").agg(F.collect_list(F.struct("starts", "n")).alias("runs")), _merge, "doc bigint, version bigint, spans binary")
+
+
+def _merge(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """The words that a document's runs of windows cover, as pairs of first word and end."""
+    for doc, version, runs in rows:
+        spans: list[int] = []
+        for start, n in sorted((s, r["n"]) for r in runs for s in r["starts"]):
+            end = start + n + WINDOW_WORDS - 1
+            if spans and start <= spans[-1]:
+                spans[-1] = max(spans[-1], end)
+            else:
+                spans += [start, end]
+        yield doc, version, np.array(spans, "<i4").tobytes()
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -299,24 +345,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     few = copies.count() <= BROADCAST_ROWS
     rows = rows.join(F.broadcast(copies) if few else copies, "version", "left").withColumn("later", F.coalesce(F.col("first") < F.col("doc"), F.lit(False)))
     ranges = stage(repeated_windows(rows.where(~F.col("later") & F.col("doc").isNotNull()).select("doc", "version", "text")))
-    small = ranges.agg(F.sum(F.size("starts") + 8)).collect()[0][0] or 0
-    ranges = F.broadcast(ranges) if small <= 20 * BROADCAST_ROWS else ranges
+    small = (ranges.agg(F.sum(F.length("spans") + 40)).collect()[0][0] or 0) <= BROADCAST_BYTES
+    ranges = F.broadcast(ranges) if small else ranges
 
     def run(parts):
-        for doc, text, later, starts in parts:
+        for doc, text, later, spans in parts:
             words = words_of(text)
             n, kept = len(words), words
             if later and n >= WINDOW_WORDS:
                 kept = []
-            elif starts:
-                gone = np.zeros(n + 1, np.int32)
-                at = np.array(starts, np.int64)
-                np.add.at(gone, at, 1)
-                np.add.at(gone, at + WINDOW_WORDS, -1)
-                kept = [w for w, g in zip(words, np.cumsum(gone[:-1]).tolist()) if not g]
+            elif spans:
+                kept, at = [], 0
+                for start, end in np.frombuffer(spans, "<i4").reshape(-1, 2).tolist():
+                    kept += words[at:start]
+                    at = end
+                kept += words[at:]
             yield doc, n, n - len(kept), " ".join(kept)
 
-    out = rows.join(ranges, ["doc", "version"], "left").select("doc", "text", "later", "starts")
+    out = rows.join(ranges, ["doc", "version"], "left").select("doc", "text", "later", "spans")
     return map_records(out, run, f"`{id_col}` bigint, n_words bigint, n_removed bigint, text string")
 
 
