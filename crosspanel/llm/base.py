@@ -40,11 +40,9 @@ def lower_ascii(col):
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-_LOWER = {c: c + 32 for c in range(65, 91)}
-
-
 def lower_ascii_text(text: str) -> str:
-    return text.lower() if text.isascii() else text.translate(_LOWER)
+    """The same for a string: bytes know no letters but those of ASCII."""
+    return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
 def map_records(df: DataFrame, fn: Callable[[Iterator[tuple]], Iterable[tuple]], schema: str | StructType) -> DataFrame:

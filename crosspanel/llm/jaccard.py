@@ -21,8 +21,10 @@ PERCENT = 85
 FREQUENT_SHARE = 1 / 1000
 # a task names n-grams that so many of its documents have
 FREQUENT_LOCAL = 8
-# sets of one tree, rows of one side of a posting block
-TREE_SETS, BLOCK_ROWS = 3000, 2000
+# n-grams of the sets of one tree (some 50 bytes each), rows of one side of a posting block
+TREE_GRAMS, BLOCK_ROWS = 600_000, 2000
+# the parity bits that pairs are tested by before whole sets travel: 2 to this power times as many
+FINER = 3
 # a posting carries so many of its set's first n-grams
 HEAD = 8
 # document ids that are broadcast at most (8 bytes each); more are joined by a shuffle
@@ -58,9 +60,12 @@ def shingles(text: str | None, hasher: Hasher, frequent: np.ndarray) -> np.ndarr
     return found
 
 
-def parity(grams: np.ndarray) -> bytes:
-    """Per bucket of n-grams, whether their number is odd. Two sets differ in at least as many n-grams as these bits."""
-    bits = max(128, 1 << (len(grams) // 2).bit_length())
+def parity(grams: np.ndarray, finer: int = 0) -> bytes:
+    """Per bucket of n-grams, whether their number is odd. Two sets differ in at least as many n-grams as these bits.
+
+    One to two buckets an n-gram, or `finer` times the power of two of that.
+    """
+    bits = max(128, 1 << len(grams).bit_length()) << finer
     odd = np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -172,7 +177,7 @@ def _frequent(docs: DataFrame) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, frequent) -> DataFrame:
-    """doc, n, set id, prefix of the set and its parity bits."""
+    """doc, n, set id, n-gram of the smallest hash, prefix of the set and its parity bits."""
 
     def run(rows):
         hasher = Hasher()
@@ -181,9 +186,10 @@ def _sketches(docs: DataFrame, frequent) -> DataFrame:
             n = len(grams)
             one, two = np.frombuffer(xxhash.xxh3_128_digest(grams.tobytes()), "<i8").tolist()
             head = grams[: prefix_length(n)].view(np.int64).tolist() if n else []
-            yield doc, version, n, one, two, head, parity(grams) if n else b""
+            low = int((grams & ~_FREQUENT).min()) if n else 0
+            yield doc, version, n, one, two, low, head, parity(grams) if n else b""
 
-    return map_records(docs.select("doc", "version", "text"), run, "doc bigint, version bigint, n int, one bigint, two bigint, head array<bigint>, bits binary")
+    return map_records(docs.select("doc", "version", "text"), run, "doc bigint, version bigint, n int, one bigint, two bigint, low bigint, head array<bigint>, bits binary")
 
 
 def _texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
@@ -193,19 +199,20 @@ def _texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, frequent, extra: list[str], kinds: str) -> DataFrame:
-    """`extra` columns and the whole set of each row, as bytes of the ordered n-grams."""
+    """`extra` columns, finer parity bits and the whole set of each row, as bytes of the ordered n-grams."""
 
     def run(rows):
         hasher = Hasher()
         for text, *row in rows:
-            yield (*row, shingles(text, hasher, frequent.value).tobytes())
+            grams = shingles(text, hasher, frequent.value)
+            yield (*row, parity(grams, FINER), grams.tobytes())
 
-    return map_records(docs.select("text", *extra), run, f"{kinds}, grams binary")
+    return map_records(docs.select("text", *extra), run, f"{kinds}, fine binary, grams binary")
 
 
 def _tree_join(rows: Iterator[tuple]) -> Iterator[tuple]:
-    """All links among sets of one first n-gram, shortest first; large groups are cut into trees of TREE_SETS sets."""
-    tree, held, key = None, [], None
+    """All links among sets of one smallest hash, shortest first; large groups are cut into trees of TREE_GRAMS n-grams."""
+    tree, held, key, size = None, [], None, 0
 
     def done() -> Iterator[tuple]:
         chunk = held[0]
@@ -213,10 +220,11 @@ def _tree_join(rows: Iterator[tuple]) -> Iterator[tuple]:
             yield me, chunk, held[tree.find(i)]
 
     for first, salt, _, me, raw in rows:
-        if tree is None or (first, salt) != key or len(held) >= TREE_SETS:
+        if tree is None or (first, salt) != key or size >= TREE_GRAMS:
             if held:
                 yield from done()
-            tree, held, key = PrefixTree(), [], (first, salt)
+            tree, held, key, size = PrefixTree(), [], (first, salt), 0
+        size += len(raw) // 8
         tree.add(np.frombuffer(raw, np.uint64).tolist())
         held.append(me)
     if held:
@@ -257,7 +265,7 @@ def _pairs(rows: Iterator[tuple]) -> Iterator[tuple]:
             if p not in seen:
                 seen.add(p)
                 yield p
-        if len(seen) > 500_000:
+        if len(seen) > 200_000:
             seen.clear()
 
     for gram, one, two, own, n, me, pos, comp, chunk, head, bits in rows:
@@ -296,8 +304,8 @@ def components(edges: DataFrame) -> DataFrame:
 def link_sets(docs: DataFrame) -> DataFrame:
     """doc, version, n_shingles, root (smallest doc reachable by links) of `docs` (doc, version, text).
 
-    Sets that are equal are one from the start. Sets of one first n-gram meet
-    whole in a prefix tree. Any other linked pair has a common n-gram in its two
+    Sets that are equal are one from the start. Sets with the same smallest hash,
+    as most near copies have, meet whole in a prefix tree. Any other linked pair has a common n-gram in its two
     prefixes: these postings carry parity bits, which rule out unlike sets, and
     only sets of different components are compared further, by their whole sets.
     """
@@ -306,13 +314,14 @@ def link_sets(docs: DataFrame) -> DataFrame:
     sketches = stage(_sketches(docs, frequent))
     me = F.struct("doc", "version")
     # equal sets: one row each, named by a number in the order of its smallest document
-    same = sketches.where(F.col("n") > 0).groupBy("one", "two", "n", "head", "bits").agg(F.min(me).alias("me"))
-    sets = stage(same.select("one", "two", "n", "head", "bits", F.col("me.doc").alias("doc"), F.col("me.version").alias("version")).withColumn("me", F.monotonically_increasing_id()))
-    first = F.get("head", 0)
-    sizes = sets.groupBy(first.alias("first")).agg(F.count("*").alias("sets")).where(F.col("sets") > 1)
-    salt = F.pmod(F.coalesce(F.get("head", 1), F.lit(0)), F.ceil(F.col("sets") / TREE_SETS))
-    met = stage(sets.select("doc", "version", "me", "n", "head", first.alias("first")).join(sizes, "first").select("doc", "version", "me", "first", salt.alias("salt")))
-    whole = _sets(_texts_of(docs, met), frequent, ["first", "salt", "me"], "first bigint, salt bigint, me bigint").dropDuplicates(["me"])
+    same = sketches.where(F.col("n") > 0).groupBy("one", "two", "n", "low", "head", "bits").agg(F.min(me).alias("me"))
+    sets = stage(same.select("one", "two", "n", "low", "head", "bits", F.col("me.doc").alias("doc"), F.col("me.version").alias("version")).withColumn("me", F.monotonically_increasing_id()))
+    sizes = sets.groupBy(F.col("low").alias("first")).agg(F.count("*").alias("sets"), F.sum("n").alias("grams")).where(F.col("sets") > 1)
+    # a large group is dealt out by another n-gram, which near copies often share too
+    salt = F.pmod(F.coalesce(F.element_at("head", -1), F.lit(0)), F.ceil(F.col("grams") / TREE_GRAMS))
+    met = stage(sets.select("doc", "version", "me", "head", F.col("low").alias("first")).join(sizes, "first").select("doc", "version", "me", "first", salt.alias("salt")))
+    # in trees n-grams are in the order of their hashes alone, so near copies share their beginnings
+    whole = _sets(_texts_of(docs, met), spark.sparkContext.broadcast(np.zeros(0, np.uint64)), ["first", "salt", "me"], "first bigint, salt bigint, me bigint").dropDuplicates(["me"])
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = whole.withColumn("n", F.length("grams")).select("first", "salt", "n", "me", "grams").repartition(parts, "first", "salt").sortWithinPartitions("first", "salt", "n", "me")
     trees = stage(map_records(ordered, _tree_join, "me bigint, chunk bigint, comp bigint"))
@@ -334,8 +343,21 @@ def link_sets(docs: DataFrame) -> DataFrame:
     ends = pairs.select(F.col("a").alias("me")).union(pairs.select(F.col("b").alias("me"))).distinct()
     ends = stage(known.select("me", "doc", "version", "comp").join(ends, "me"))
     whole = stage(_sets(_texts_of(docs, ends), frequent, ["me", "comp"], "me bigint, comp bigint").dropDuplicates(["me"]))
-    side = lambda c: whole.select(F.col("me").alias(c), F.col("comp").alias(f"comp_{c}"), F.col("grams").alias(f"grams_{c}"))
-    tested = pairs.join(side("a"), "a").join(side("b"), "b").where(F.col("comp_a") != F.col("comp_b"))
+    side = lambda c, *more: whole.select(F.col("me").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in more])
+
+    def like(part):
+        for a, b, m, n, x, y in part:
+            to = 8 * min(len(x), len(y))
+            odd = folded(int.from_bytes(x, "little"), 8 * len(x), to) ^ folded(int.from_bytes(y, "little"), 8 * len(y), to)
+            if odd.bit_count() <= m + n - 2 * needed(m, n):
+                yield a, b
+
+    # the finer bits first: few pairs are left whose whole sets have to meet
+    size = (F.length("grams") / 8).cast("int")
+    first, second = [whole.select(F.col("me").alias(c), F.col("fine").alias(f"fine_{c}"), size.alias(f"size_{c}")) for c in "ab"]
+    tested = pairs.join(first, "a").join(second, "b").select("a", "b", "size_a", "size_b", "fine_a", "fine_b")
+    pairs = stage(map_records(tested, like, "a bigint, b bigint"))
+    tested = pairs.join(side("a", "comp", "grams"), "a").join(side("b", "comp", "grams"), "b").where(F.col("comp_a") != F.col("comp_b"))
 
     def verify(part):
         for a, b, x, y in part:

@@ -208,6 +208,15 @@ def test_substrings_empty(empty):
     assert substrings.remove_repeats(empty).count() == 0
 
 
+def test_hashes_tell_rearranged_words_apart():
+    from itertools import product
+
+    h = substrings.Hasher()
+    for n in (2, 4, 5):
+        texts = list(product("xyz", repeat=n))
+        assert len({int(h.grams(h.words(list(t)), n)[0]) for t in texts}) == len(texts)
+
+
 def test_automaton_against_search():
     rng = random.Random(4)
     for _ in range(20):
@@ -398,9 +407,9 @@ def near_rows(rng):
     return out
 
 
-@pytest.mark.parametrize("sizes", [(3000, 2000), (3, 2)])
+@pytest.mark.parametrize("sizes", [(600_000, 2000), (200, 2)])
 def test_jaccard_components(spark, rows, monkeypatch, sizes):
-    monkeypatch.setattr(jaccard, "TREE_SETS", sizes[0])
+    monkeypatch.setattr(jaccard, "TREE_GRAMS", sizes[0])
     monkeypatch.setattr(jaccard, "BLOCK_ROWS", sizes[1])
     monkeypatch.setattr(jaccard, "FREQUENT_SHARE", 0.1)
     mine = [(1000 + k, *r) for k, *r in near_rows(random.Random(21))] + [r for r in rows if r[0] != 3]
