@@ -19,8 +19,8 @@ SHINGLE_WORDS = 4
 PERCENT = 85
 # an n-gram in this share of the documents, or more, is frequent and ordered after all others
 FREQUENT_SHARE = 1 / 1000
-# a task names n-grams that so many of its documents have
-FREQUENT_LOCAL = 8
+# a task names n-grams that so many of its documents have, among each so many n-grams it reads
+FREQUENT_LOCAL, FREQUENT_BATCH = 8, 1_000_000
 # n-grams of the sets of one tree (some 50 bytes each), rows of one side of a posting block
 TREE_GRAMS, BLOCK_ROWS = 600_000, 2000
 # the parity bits that pairs are tested by before whole sets travel: 2 to this power times as many
@@ -160,15 +160,21 @@ def _frequent(docs: DataFrame) -> np.ndarray:
     """
 
     def run(rows):
-        hasher, none, found = Hasher(), np.zeros(0, np.uint64), []
-        n = 0
+        hasher, none, found, size = Hasher(), np.zeros(0, np.uint64), [], 0
+
+        def named():
+            grams, counts = np.unique(np.concatenate(found), return_counts=True)
+            often = counts >= max(FREQUENT_LOCAL, len(found) * FREQUENT_SHARE)
+            return zip(grams[often].astype(np.int64).tolist(), counts[often].tolist())
+
         for (text,) in rows:
-            n += 1
             found.append(shingles(text, hasher, none))
+            size += len(found[-1])
+            if size >= FREQUENT_BATCH:
+                yield from named()
+                found, size = [], 0
         if found:
-            grams, counts = np.unique(np.concatenate(found), return_counts=True)
-            often = counts >= max(FREQUENT_LOCAL, n * FREQUENT_SHARE)
-            yield from zip(grams[often].astype(np.int64).tolist(), counts[often].tolist())
+            yield from named()
 
     counts = map_records(docs.select("text"), run, "gram bigint, n bigint")
     least = docs.count() * FREQUENT_SHARE

@@ -25,7 +25,7 @@ SHARD_WORDS = 60_000
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 32 << 20
 # words and hashes a task remembers
-REMEMBERED_WORDS = 500_000
+REMEMBERED_WORDS = 100_000
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 

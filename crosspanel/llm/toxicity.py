@@ -29,7 +29,7 @@ BALANCE = 0.5
 STEPS = 400
 HOLD_OUT = 5
 # counts a task holds before it hands them on
-LOCAL_COUNTS = 400_000
+LOCAL_COUNTS = 150_000
 # labels that are broadcast at most (some 20 bytes each); more are joined by a shuffle
 BROADCAST_LABELS = 2_000_000
 
