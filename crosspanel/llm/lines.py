@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +15,9 @@ from .base import map_records, query, table
 
 # lines of a run that is looked for, and of the window whose smallest hash is a fingerprint
 RUN_LINES = 3
-# line starts that are broadcast at most, 8 bytes each
+# words from which a run of fewer lines is looked for too
+RUN_WORDS = 50
+# runs that are broadcast at most, 8 bytes each
 BROADCAST_STARTS = 5_000_000
 # White space that does not count at the ends of a line
 BLANKS = " \t\r\x0b\x0c"
@@ -24,52 +28,61 @@ def lines_of(text: str) -> list[tuple[int, str]]:
     return [(i, s) for i, x in enumerate(text.split("\n")) if (s := x.strip(BLANKS))]
 
 
-def _fingerprints(docs: DataFrame, size: int) -> DataFrame:
-    """A row per fingerprint: its hash, place, the first window it stands for and the hashes of these windows.
+def _fingerprints(docs: DataFrame, size: int, words: int | None) -> DataFrame:
+    """A row per fingerprint: its hash, place, the lines of a window, the first window it stands for and the hashes of these windows.
 
     Every window of `size` lines selects its leftmost smallest line hash, so two
     equal windows select the same line, and any run of `size` lines that occurs
-    twice has a fingerprint in common.
+    twice has a fingerprint in common. A run of fewer lines and at least `words`
+    words is a window and a fingerprint of its own.
     """
 
     def run(rows):
         for doc, version, text in rows:
             lines = [s.encode() for _, s in lines_of(text)]
+            digests = [xxhash.xxh128_digest(s) for s in lines]
+            if words is not None:
+                before = [0, *accumulate(len(s.split()) for s in lines)]
+                for n in range(1, size):
+                    for a in range(len(lines) - n + 1):
+                        if before[a + n] - before[a] >= words:
+                            one, two = np.frombuffer(xxhash.xxh128_digest(b"".join(digests[a : a + n])), "<i8").tolist()
+                            yield one, doc, version, n, a, [one], [two]
             if len(lines) < size:
                 continue
-            digests = [xxhash.xxh128_digest(s) for s in lines]
             hashes = np.frombuffer(b"".join(digests), "<u8")[::2]
             views = np.lib.stride_tricks.sliding_window_view(hashes, size)
             places = views.argmin(axis=1) + np.arange(len(views))
             border = np.append(0, np.flatnonzero(np.diff(places)) + 1)
             for a, b in zip(border.tolist(), [*border[1:].tolist(), len(places)]):
                 both = [np.frombuffer(xxhash.xxh128_digest(b"".join(digests[s : s + size])), "<i8") for s in range(a, b)]
-                yield int(hashes[places[a]].astype(np.int64)), doc, version, a, [int(x[0]) for x in both], [int(x[1]) for x in both]
+                yield int(hashes[places[a]].astype(np.int64)), doc, version, size, a, [int(x[0]) for x in both], [int(x[1]) for x in both]
 
-    return map_records(docs.select("doc", "version", "text"), run, "print bigint, doc bigint, version bigint, start int, one array<bigint>, two array<bigint>")
+    return map_records(docs.select("doc", "version", "text"), run, "print bigint, doc bigint, version bigint, n int, start int, one array<bigint>, two array<bigint>")
 
 
-def repeated_runs(docs: DataFrame, size: int) -> DataFrame:
-    """doc, version, starts (array, in lines that are not blank) of windows that an earlier place has too."""
+def repeated_runs(docs: DataFrame, size: int, words: int | None = RUN_WORDS) -> DataFrame:
+    """doc, version, runs (array of start and n, in lines that are not blank) of windows that an earlier place has too."""
     place = F.struct("doc", "version", "start")
-    prints = stage(_fingerprints(docs, size))
+    prints = stage(_fingerprints(docs, size, words))
     shared = prints.groupBy("print").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where(F.col("lo") < F.col("hi")).select("print")
     met = prints.join(shared, "print")
     # extension both ways: the windows around a shared fingerprint, each against its earliest place
-    met = met.select("doc", "version", F.col("start").alias("from"), F.posexplode(F.arrays_zip("one", "two")).alias("i", "w"))
-    met = met.select("doc", "version", (F.col("from") + F.col("i")).alias("start"), "w.one", "w.two")
+    met = met.select("doc", "version", "n", F.col("start").alias("from"), F.posexplode(F.arrays_zip("one", "two")).alias("i", "w"))
+    met = met.select("doc", "version", "n", (F.col("from") + F.col("i")).alias("start"), "w.one", "w.two")
     met = stage(met)
     first = met.groupBy("one", "two").agg(F.min(place).alias("first"))
     later = met.join(first, ["one", "two"]).where(F.col("first") < place)
-    return later.groupBy("doc", "version").agg(F.sort_array(F.collect_list("start")).alias("starts"))
+    return later.groupBy("doc", "version").agg(F.sort_array(F.collect_list(F.struct("start", "n"))).alias("runs"))
 
 
-def remove_runs(docs: DataFrame, size: int = RUN_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_runs(docs: DataFrame, size: int = RUN_LINES, id_col: str = "doc_id", text_col: str = "text", words: int | None = RUN_WORDS) -> DataFrame:
     """Every row of `docs`, with `text_col` less its later repeated runs, n_lines, n_removed (lines that are not blank).
 
-    A run of `size` or more lines (white space at their ends and blank lines
-    aside) is repeated when the same lines stand in the same order at an earlier
-    place: a smaller id, or the same id and further up. All lines of later runs
+    A run of `size` or more lines, or of fewer that have at least `words` words
+    together (white space at line ends and blank lines aside; words None: no
+    such runs), is repeated when the same lines stand in the same order at an
+    earlier place: a smaller id, or the same id and further up. All lines of later runs
     go; other lines, blank ones too, stay as they are. Of different texts with
     one id, that with the smaller hash is earlier; rows equal in id and text are
     not earlier than each other. Rows without an id are neither changed nor
@@ -78,26 +91,26 @@ def remove_runs(docs: DataFrame, size: int = RUN_LINES, id_col: str = "doc_id",
     text = F.coalesce(F.col(text_col), F.lit(""))
     whole = docs.withColumn("__doc", F.col(id_col).cast("bigint")).withColumn("__version", F.xxhash64(text))
     rows = whole.where(F.col("__doc").isNotNull()).select(F.col("__doc").alias("doc"), F.col("__version").alias("version"), text.alias("text"))
-    found = stage(repeated_runs(rows, size))
-    small = (found.agg(F.sum(F.size("starts") + 8)).collect()[0][0] or 0) <= BROADCAST_STARTS
-    found = found.select(F.col("doc").alias("__doc"), F.col("version").alias("__version"), F.col("starts").alias("__starts"))
+    found = stage(repeated_runs(rows, size, words))
+    small = (found.agg(F.sum(F.size("runs") + 8)).collect()[0][0] or 0) <= BROADCAST_STARTS
+    found = found.select(F.col("doc").alias("__doc"), F.col("version").alias("__version"), F.col("runs").alias("__runs"))
     joined = whole.join(F.broadcast(found) if small else found, ["__doc", "__version"], "left")
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     at = names.index(text_col)
 
     def run(parts):
-        for *row, starts in parts:
+        for *row, runs in parts:
             text = row[at]
             lines = lines_of(text) if text else []
             gone: set[int] = set()
-            for s in starts or ():
-                gone.update(i for i, _ in lines[s : s + size])
+            for r in runs or ():
+                gone.update(i for i, _ in lines[r["start"] : r["start"] + r["n"]])
             if gone:
                 row[at] = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
             yield (*row, len(lines), len(gone))
 
     kind = StructType([*[docs.schema[c] for c in names], StructField("n_lines", LongType()), StructField("n_removed", LongType())])
-    return map_records(joined.select(*[F.col(f"`{c}`") for c in names], "__starts"), run, kind)
+    return map_records(joined.select(*[F.col(f"`{c}`") for c in names], "__runs"), run, kind)
 
 
 _TRIM = "trim(x, concat(' ', chr(9), chr(11), chr(12), chr(13)))"
@@ -113,6 +126,6 @@ SELECT doc_id, CAST(count(*) FILTER (WHERE line) AS BIGINT) AS n_lines, CAST(cou
 
 @query("op6_line_dedup", SQL)
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the runs of lines that stand at an earlier place."""
-    out = remove_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Every document without the runs of lines that stand at an earlier place; by lines only, as its SQL says."""
+    out = remove_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), words=None)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

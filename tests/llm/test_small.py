@@ -290,6 +290,21 @@ def test_line_runs(spark, empty):
     assert {"version", "start", "source"} <= set(got.columns) and lines.remove_runs(empty).count() == 0
 
 
+def test_line_runs_of_many_words(spark):
+    long, other = " ".join(f"w{i}" for i in range(50)), " ".join(f"v{i}" for i in range(49))
+    half = [" ".join(f"{c}{i}" for i in range(25)) for c in "ab"]
+    short = [" ".join(f"{c}{i}" for i in range(24)) for c in "cd"]
+    rows = [(1, long), (2, f"head\n {long}\ntail"), (3, "\n\n".join(["one", *half, "two"])), (4, "\n".join([half[0], half[1] + "\t", "end"])), (5, half[0]), (6, half[1] + "\n" + half[0])]
+    rows += [(7, other), (8, other), (9, "\n".join(short)), (10, "\n".join(short)), (11, f"{long}\nx"), (12, f"{long}\nx")]
+    df = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in rows], SCHEMA).repartition(4)
+    texts = dict(rows)
+    want = texts | {2: "head\ntail", 4: "end", 11: "x", 12: ""}
+    assert {r.doc_id: r.text for r in lines.remove_runs(df).collect()} == want
+    assert {r.doc_id: r.n_removed for r in lines.remove_runs(df).where("n_removed > 0").collect()} == {2: 1, 4: 2, 11: 1, 12: 2}
+    # the rule of the query's SQL: by lines only
+    assert {r.doc_id: r.text for r in lines.remove_runs(df, words=None).collect()} == texts
+
+
 # --- fingerprints ----------------------------------------------------------
 def test_fingerprints(spark, docs, empty):
     rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
