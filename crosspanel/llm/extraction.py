@@ -15,6 +15,8 @@ from .base import map_records, query, table
 
 # Element names by what they mean for the text inside them.
 RAW = frozenset("script style noscript template textarea iframe title svg math object canvas".split())
+# of these, elements whose text holds no marks: only their own end tag ends them
+PLAIN = frozenset("script style noscript textarea iframe title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
@@ -39,6 +41,7 @@ LINKS, SENTENCE, HEADED, BASE = -4.0, 0.8, 0.4, -1.6
 SAME_PARENT, SAME_GRANDPARENT, APART = 1.2, 0.6, 0.2
 
 _MARK = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>", re.S)
+_END = {x: re.compile(rf"</{x}(?=[\s/>])[^>]*(?:>|\Z)", re.I | re.A) for x in PLAIN}
 _NAME = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 _ATTR = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
@@ -101,13 +104,19 @@ def blocks_of(page: str) -> list[Block]:
             held.clear()
         linked = 0
 
-    for m in _MARK.finditer(page):
+    scan = 0
+    while m := _MARK.search(page, scan):
+        scan = m.end()
+        opened = m[2].lower() if m[2] and not m[1] and not (m[3] or "").endswith("/") else ""
+        if opened in PLAIN:
+            end = _END[opened].search(page, scan)
+            scan = end.end() if end else len(page)
         if skip_to:
             if m[2] and m[1] and m[2].lower() == skip_to:
-                skip_to, at = "", m.end()
+                skip_to, at = "", scan
             continue
         text_at(page[at : m.start()])
-        at = m.end()
+        at = scan
         if not m[2]:
             continue
         tag = m[2].lower()
@@ -126,7 +135,7 @@ def blocks_of(page: str) -> list[Block]:
             elif tag == "hr":
                 close()
         elif tag in RAW:
-            if not (m[3] or "").endswith("/"):
+            if opened and tag not in PLAIN:
                 skip_to = tag
         else:
             if tag in BLOCK:

@@ -165,6 +165,19 @@ def test_extraction(spark):
     assert extraction.extract_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "raw",
+    ["<script>for(i=0;i<n;i++){f()}</script>", "<script>if(a<b)s='it</script>", '<script>var q="<a";</script >', "<script><!-- if (i<n) f()</script>", "<STYLE>a:before{content:'<p'}</Style>", "<svg><script>i<n</script><path d='M0'/></svg>", "<script>x='</scripts>'+'<b'</script\n>"],
+)
+def test_extraction_of_pages_with_code(raw):
+    said = "The text of the page stands here, and it has quite a few words in it."
+    for page in (f"{raw}<p>{said}</p>", f"<p>{said}</p>{raw}<p>It's {said}</p>"):
+        texts = [b.text for b in extraction.blocks_of(page)]
+        assert texts in ([said], [said, f"It's {said}"]), texts
+    assert extraction.main_text(f"<article><p>{said}</p>{raw}<p>{said}</p></article>")[0] == f"{said} {said}"
+    assert [b.text for b in extraction.blocks_of(f"<p>{said}</p><script>never ended <p>{said}")] == [said]
+
+
 def test_min_cut_is_minimal():
     rng = random.Random(3)
     for _ in range(40):
