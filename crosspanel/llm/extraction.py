@@ -43,7 +43,8 @@ SAME_PARENT, SAME_GRANDPARENT, APART = 1.2, 0.6, 0.2
 _MARK = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>", re.S)
 _END = {x: re.compile(rf"</{x}(?=[\s/>])[^>]*(?:>|\Z)", re.I | re.A) for x in PLAIN}
 _NAME = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
-_ATTR = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+# name and value of an attribute, whatever it is called
+_ATTR = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
 
 
 @dataclass

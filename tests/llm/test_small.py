@@ -178,6 +178,20 @@ def test_extraction_of_pages_with_code(raw):
     assert [b.text for b in extraction.blocks_of(f"<p>{said}</p><script>never ended <p>{said}")] == [said]
 
 
+@pytest.mark.parametrize("attrs", ['data-id="related-4"', 'data-hidden="false"', 'title="a hidden class=sidebar"', "data-role=navigation", "x-style='display:none'", "href=/a?id=related"])
+def test_extraction_goes_by_whole_attribute_names(attrs):
+    assert extraction._prior_of("p", f" {attrs}", False) == (0.0, False)
+    assert extraction._prior_of("p", f" {attrs} id=related-4", False) == (extraction.NAMED_BOILERPLATE, True)
+    said = "The text of the page stands here, and it has quite a few words in it."
+    assert extraction.main_text(f"<div><p {attrs}>{said}</p></div>")[0] == said
+
+
+def test_extraction_reads_names_and_values():
+    for attrs in (" hidden", " a=1 HIDDEN=''", ' style="x:1; display: none"', " Aria-Hidden = 'true'"):
+        assert extraction._prior_of("p", attrs, False) == (extraction.HIDDEN, False)
+    assert extraction._prior_of("div", " ROLE=Navigation", False) == (extraction.IN_BOILERPLATE, True)
+
+
 def test_min_cut_is_minimal():
     rng = random.Random(3)
     for _ in range(40):
