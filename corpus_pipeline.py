@@ -2,9 +2,11 @@
 
 1. toxicity: documents that the classifier rejects go; it learns from labels of rows that are not held out.
 2. line dedup: later repeated runs of lines go; a document that they leave empty goes with them.
-3. n-gram Jaccard join: of each group of near-equal documents the smallest id stays.
+3. n-gram Jaccard join: of each group of near-equal documents the smallest id stays, once.
 4. benchmark decontamination: documents with a benchmark window go.
 5. packing: the rest in sequences of at most 2048 tokens, with one mixture of sources throughout.
+
+Each text is decided on by itself, also if several texts share an id.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 import os
 import sys
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -27,14 +29,19 @@ TOXIC_SCORE = 0.5
 BROADCAST_DECISIONS = 1_000_000
 
 
-def _without(docs: DataFrame, gone: DataFrame, version: bool = False) -> DataFrame:
-    """Rows of `docs` whose id (and text, by its hash) is not in `gone` (__doc, and __version); rows without an id stay."""
+def _version() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def _at() -> Column:
+    return (F.col("doc_id") == F.col("__doc")) & (_version() == F.col("__version"))
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of `docs` whose id and text, by its hash, are not in `gone` (__doc, __version); rows without an id stay."""
     gone = stage(gone.where(F.col("__doc").isNotNull()).distinct())
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_DECISIONS else gone
-    at = F.col("doc_id") == F.col("__doc")
-    if version:
-        at &= F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__version")
-    return docs.join(gone, at, "left_anti")
+    return docs.join(gone, _at(), "left_anti")
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +52,9 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     verdict only if their texts are equal.
     """
     model = toxicity.train(docs, toxicity.open_labels(table(spark, sf_dir, "labels")))
-    scored = toxicity.score(docs.withColumn("__key", F.struct("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("version"))), model, "__key")
+    scored = toxicity.score(docs.withColumn("__key", F.struct("doc_id", _version().alias("version"))), model, "__key")
     bad = scored.where(F.col("score") >= TOXIC_SCORE).select(F.col("__key.doc_id").alias("__doc"), F.col("__key.version").alias("__version"))
-    return _without(docs, bad, version=True)
+    return _without(docs, bad)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,15 +68,27 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents, the one with the smallest id."""
-    found = jaccard.jaccard_components(docs)
-    return _without(docs, found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("__doc")))
+    """Of each component of linked documents, the one with the smallest id.
+
+    Of linked texts with one id, that with the smaller hash stays, of rows equal
+    in id and text the one smallest in its other columns. Texts without words
+    and rows without an id are linked with nothing and all stay.
+    """
+    found = stage(jaccard.link_sets(jaccard.keyed(docs.where(F.col("doc_id").isNotNull()))).where(F.col("n_shingles") > 0))
+    named = found.withColumnsRenamed({"doc": "__doc", "version": "__version"})
+    kept = _without(docs, named.where((F.col("root") != F.col("__doc")) | (F.col("root_version") != F.col("__version"))).select("__doc", "__version"))
+    again = stage(named.groupBy("__doc", "__version").count().where(F.col("count") > 1).select("__doc", "__version"))
+    if again.isEmpty():
+        return kept
+    rows = kept.join(again, _at(), "left_semi")
+    one = rows.groupBy("doc_id", _version().alias("__version")).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("__row")).select("__row.*")
+    return _without(kept, again).unionByName(one)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents in which a window of a benchmark item occurs."""
-    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.where("contaminated").select(F.col("doc_id").alias("__doc")))
+    found = decontamination.mark_windows(docs, table(spark, sf_dir, "benchmark"))
+    return _without(docs, found.where(F.size("hits") > 0).select(F.col("doc_id").alias("__doc"), _version().alias("__version")))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

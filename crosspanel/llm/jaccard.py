@@ -308,7 +308,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def link_sets(docs: DataFrame) -> DataFrame:
-    """doc, version, n_shingles, root (smallest doc reachable by links) of `docs` (doc, version, text).
+    """doc, version, n_shingles, root and root_version (smallest doc, then version reachable by links) of `docs` (doc, version, text).
 
     Sets that are equal are one from the start. Sets with the same smallest hash,
     as most near copies have, meet whole in a prefix tree. Any other linked pair has a common n-gram in its two
@@ -374,10 +374,10 @@ def link_sets(docs: DataFrame) -> DataFrame:
     found = map_records(tested.select("comp_a", "comp_b", "grams_a", "grams_b"), verify, "a bigint, b bigint")
     roots = components(found)
     # back to documents: a component's smallest document, by set, by equal sets
-    top = known.select("me", "doc", "comp").join(roots.withColumnRenamed("node", "comp"), "comp", "left").select("me", "doc", F.coalesce("root", F.col("comp")).alias("top"))
-    least = top.groupBy("top").agg(F.min("doc").alias("root"))
-    by_set = sets.select("one", "two", "me").join(top.select("me", "top"), "me").join(least, "top").select("one", "two", "root")
-    return sketches.join(by_set, ["one", "two"], "left").select("doc", "version", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("root", F.col("doc")).alias("root"))
+    top = known.select("me", "doc", "version", "comp").join(roots.withColumnRenamed("node", "comp"), "comp", "left").select("me", "doc", "version", F.coalesce("root", F.col("comp")).alias("top"))
+    least = top.groupBy("top").agg(F.min(F.struct("doc", "version")).alias("r"))
+    by_set = sets.select("one", "two", "me").join(top.select("me", "top"), "me").join(least, "top").select("one", "two", F.col("r.doc").alias("root"), F.col("r.version").alias("root_version"))
+    return sketches.join(by_set, ["one", "two"], "left").select("doc", "version", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("root", F.col("doc")).alias("root"), F.coalesce("root_version", F.col("version")).alias("root_version"))
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

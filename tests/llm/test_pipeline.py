@@ -64,3 +64,23 @@ def test_empty_and_odd_documents(spark):
             docs = corpus_pipeline.stage(step(spark, docs, ROOT))
         assert docs.count() == len(rows)
         assert corpus_pipeline.STAGES[-1][1](spark, docs, ROOT).count() >= len(rows)
+
+
+def test_texts_of_one_id_are_judged_apart(spark):
+    words = lambda c, n=60: " ".join(f"{c}{i}" for i in range(n))
+    near = words("g") + " more"
+    item = spark.read.parquet(f"{ROOT}/benchmark.parquet").where("length(text) > 0").orderBy("item_id").first().text
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    make = lambda rows: spark.createDataFrame([(k, t, lang, "s", 1) for k, t, lang in rows], schema).repartition(3)
+    rows = [(1, words("a"), "en"), (1, words("b"), "en"), (8, words("b"), "en"), (5, words("a"), "en"), (5, words("c"), "en")]
+    rows += [(7, words("d"), "fr"), (7, words("d"), "en"), (7, words("d"), "en"), (9, words("g"), "en"), (9, near, "en")]
+    rows += [(2, None, "en"), (2, None, "en"), (2, " ", "en"), (None, words("a"), "en"), (None, words("a"), "en")]
+    got = sorted(((r.doc_id, r.text, r.lang) for r in corpus_pipeline.keep_one_of_near_copies(spark, make(rows), ROOT).collect()), key=repr)
+    nine = [x for x in got if x[0] == 9]
+    assert len(nine) == 1 and nine[0] in rows
+    want = [rows[0], rows[1], rows[4], rows[6], *rows[10:], nine[0]]
+    assert got == sorted(want, key=repr)
+
+    rows = [(1, f"{words('a')} {item}", "en"), (1, words("b"), "en"), (2, words("b"), "en"), (3, item, "en"), (None, item, "en")]
+    got = {(r.doc_id, r.text) for r in corpus_pipeline.drop_contaminated(spark, make(rows), ROOT).collect()}
+    assert got == {(1, words("b")), (2, words("b")), (None, item)}
