@@ -35,6 +35,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# keys with at least this share of all rows are hot; there can't be more of them than its inverse
+HOT_KEYS = 1000
+
+
+def join_by_weight(rows: DataFrame, keys: DataFrame, on: str, weight: str, total: int) -> DataFrame:
+    """`rows` left-joined to `keys`, one row a value of `on`, of which `weight` counts the rows.
+
+    Values with a thousandth of all rows or more, a thousand at most, are
+    broadcast, so that no task gets all rows of one. The rest goes by a shuffle.
+    `on` is never null; `weight` is left out of the result.
+    """
+    is_hot = F.col(weight) * HOT_KEYS >= total
+    hot = F.broadcast(keys.where(is_hot).drop(weight))
+    cold = rows.join(hot.select(on), on, "left_anti").join(keys.where(~is_hot).drop(weight), on, "left")
+    return rows.join(hot, on).unionByName(cold)
+
+
 def lower_ascii(col):
     """A-Z lower-cased, every other character as it is."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
