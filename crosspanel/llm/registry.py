@@ -1,6 +1,6 @@
 """Every query of this folder and its SQL."""
 
-from . import decontamination, extraction, filters, fingerprints, jaccard, licenses, lines, packing, pii, substrings, toxicity  # noqa: F401
+from . import decontamination, extraction, filters, fingerprints, jaccard, licenses, lines, links, packing, pii, substrings, toxicity, tries  # noqa: F401
 from .base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
