@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import clip, ratio, rnd
 from ..functions.windows import lag, series
+from ..session import stage
 from .costs import typical_cost_fraction
 from .cross import basket_size, bucketed, conviction_weight
 from .features import true_range
 from .metrics import return_stats, summarise
+from .passage import extreme_tree, first_touch
 
 
 @dataclass(frozen=True)
@@ -161,23 +163,24 @@ def exit_trades(trades: DataFrame, bars: DataFrame) -> DataFrame:
     """First exit of each trade(ticker, entry_date, stop_loss, target_price, horizon_days).
 
     From the bar after entry: target on high, then stop on low, then the close of
-    the horizon-th available bar; trades without enough bars stay open. Bars carry
-    their next bars, as many as the longest horizon of the trades, so trades meet
-    them by (ticker, date) equality.
+    the horizon-th available bar; trades without enough bars stay open, trades
+    without a bar at entry are left out. The first touch comes from trees of
+    block extremes, so one trade with a long horizon costs a few more levels and
+    no longer rows.
     """
     longest = trades.agg(F.max("horizon_days")).first()[0] or 1
-    nxt = F.collect_list(F.struct("date", "high", "low", "close")).over(series().rowsBetween(1, longest))
-    path = bars.select("ticker", F.col("date").alias("entry_date"), nxt.alias("_path"))
-    t = trades.join(path, ["ticker", "entry_date"]).withColumn("_path", F.slice("_path", F.lit(1), F.col("horizon_days")))
-    up = F.array_position(F.transform("_path", lambda b: b["high"] >= F.col("target_price")), True)
-    dn = F.array_position(F.transform("_path", lambda b: b["low"] <= F.col("stop_loss")), True)
-    t = t.withColumn("_u", F.when(up > 0, up)).withColumn("_d", F.when(dn > 0, dn))
-    hit = F.least("_u", "_d")
-    reason = F.when(F.col("_u") <= F.coalesce("_d", F.lit(10**9)), "target").when(F.col("_d").isNotNull(), "stop").when(F.size("_path") >= F.col("horizon_days"), "expired")
-    t = t.withColumn("exit_reason", reason).withColumn("exit_bar", F.when(F.col("exit_reason").isNotNull(), F.coalesce(hit, F.col("horizon_days"))).cast("int"))
-    at = F.get("_path", F.col("exit_bar") - 1)
+    levels = extreme_tree(bars, longest)
+    path = levels[0].select("ticker", F.col("date").alias("entry_date"), F.col("at").alias("_at"))
+    t = stage(trades.join(path, ["ticker", "entry_date"]).withColumn("_id", F.monotonically_increasing_id()))
+    asked = t.select("_id", "ticker", (F.col("_at") + 1).alias("first"), (F.col("_at") + F.col("horizon_days")).cast("bigint").alias("last"), "target_price", "stop_loss")
+    t = t.join(first_touch(asked, levels, "_id"), "_id", "left").withColumn("_end", F.coalesce("hit_at", F.col("_at") + F.col("horizon_days")))
+    bar = levels[0].select(F.col("ticker").alias("_ticker"), F.col("at").alias("_bar"), F.struct("date", "high", "close").alias("_exit"))
+    t = t.join(bar, (F.col("ticker") == F.col("_ticker")) & (F.col("_end") == F.col("_bar")), "left")
+    at = F.col("_exit")
+    reason = F.when(at.isNull(), None).when(F.col("hit_at").isNull(), "expired").when(at["high"] >= F.col("target_price"), "target").otherwise("stop")
+    t = t.withColumn("exit_reason", reason).withColumn("exit_bar", F.when(at.isNotNull(), F.col("_end") - F.col("_at")).cast("int"))
     price = F.when(F.col("exit_reason") == "target", F.col("target_price")).when(F.col("exit_reason") == "stop", F.col("stop_loss")).otherwise(at["close"])
-    return t.withColumn("exit_date", at["date"]).withColumn("exit_price", price).drop("_path", "_u", "_d")
+    return t.withColumn("exit_date", at["date"]).withColumn("exit_price", price).select(*trades.columns, "exit_reason", "exit_bar", "exit_date", "exit_price")
 
 
 def exit_counts(exits: DataFrame) -> DataFrame:
