@@ -12,15 +12,19 @@ from ..session import stage
 from ..sources import panel
 
 
+def raw_features(bars: DataFrame, index_bars: DataFrame | None = None) -> DataFrame:
+    """Ticker, regime and relative features before any cross-sectional step."""
+    df = ticker_features(bars)
+    return df if index_bars is None else regime.relative_features(regime.attach_regime(df, regime.regime_table(index_bars)))
+
+
 def build_features(bars: DataFrame, index_bars: DataFrame | None = None, staged: bool = True) -> tuple[DataFrame, list[str]]:
     """Full feature table and its ordered feature list.
 
     One shuffle by ticker for every window; the result is staged once, and the
     per-date passes (moments, ranks) then read only the columns they need.
     """
-    df = ticker_features(bars)
-    if index_bars is not None:
-        df = regime.relative_features(regime.attach_regime(df, regime.regime_table(index_bars)))
+    df = raw_features(bars, index_bars)
     meta = {"date", "ticker", "open", "high", "low", "close", "volume", "spike_flag"}
     feats = [c for c in df.columns if c not in meta]
     df = stage(df) if staged else df

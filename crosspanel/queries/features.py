@@ -166,8 +166,14 @@ def _pct(c):
 _FT = {**{c: (0 if c in ft.CALENDAR else 2 if c == "rsi_14" else 4) for c in _ALL}, **dict.fromkeys(_RK, 6)}
 
 
-@query(f"WITH {FEATS}, {REGIME}, {REL}, z AS (SELECT ticker, date, {', '.join(f'{_z(c)} AS {c}' for c in _ALL)} FROM rel), "
-       f"k AS (SELECT *, {', '.join(f'{_pct(c)} AS {c}_rank' for c in ft.RANKED)} FROM z) SELECT ticker, date, {rs(_FT)} FROM k")
+ALL_FEATURES = [*_ALL, *_RK]
+RAW_FEATURES = _ALL
+RAW_TABLE = f"{FEATS}, {REGIME}, {REL}"
+# every feature of the table, standardised where the table is
+Z_TABLE = f"{FEATS}, {REGIME}, {REL}, z0 AS (SELECT ticker, date, {', '.join(f'{_z(c)} AS {c}' for c in _ALL)} FROM rel), z AS (SELECT *, {', '.join(f'{_pct(c)} AS {c}_rank' for c in ft.RANKED)} FROM z0)"
+
+
+@query(f"WITH {Z_TABLE} SELECT ticker, date, {rs(_FT)} FROM z")
 def feature_table(spark, root):
     df, names = build_features(panel.bars(spark, root), panel.index_bars(spark, root))
     assert names == [*_ALL, *_RK]

@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import rnd
 from ..functions.ordered import quantiles_in
-from ..operators import cross, drift, features as ft, labels, models, splits
+from ..operators import drift, features as ft, horizon, isotonic, labels, metrics, models, profiles, splits, surface
+from ..plans.assembly import build_features, momentum_predictions, raw_features
 from ..session import stage
 from ..sources import panel
 from .accounts import OUTC, _outcomes
-from .base import FEATS, leadq, query, r, rounded, spearman_sql
+from .base import FEATS, PREDS, leadq, query, r, rounded, spearman_sql
+from .features import ALL_FEATURES, RAW_FEATURES, RAW_TABLE, Z_TABLE
 
 FEATURES = ["ret_1d", "ret_5d", "dist_sma20", "vol_z20", "volume"]
 SAMPLES = f"""{FEATS}, d0 AS (SELECT DISTINCT date FROM feats), di AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS idx, count(*) OVER () AS n FROM d0),
@@ -18,6 +20,19 @@ hv AS (SELECT f.*, CASE WHEN idx < n // 2 THEN 'ref' ELSE 'cur' END AS sample FR
 smp AS ({' UNION ALL '.join(f"SELECT '{c}' AS feature, sample, CAST({c} AS DOUBLE) AS v FROM hv WHERE {c} IS NOT NULL" for c in FEATURES)})"""
 
 
+# all features of the feature table, before any cross-sectional step
+ALL_SAMPLES = f"""{RAW_TABLE}, d0 AS (SELECT DISTINCT date FROM bars), di AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS idx, count(*) OVER () AS n FROM d0),
+hv AS MATERIALIZED (SELECT f.*, CASE WHEN idx < n // 2 THEN 'ref' ELSE 'cur' END AS sample FROM rel f JOIN di USING (date)),
+smp AS MATERIALIZED (SELECT * FROM ({' UNION ALL '.join(f"SELECT '{c}' AS feature, sample, CAST({c} AS DOUBLE) AS v FROM hv WHERE {c} IS NOT NULL" for c in RAW_FEATURES)}) WHERE NOT isnan(v))"""
+
+
+def _halves(spark, root):
+    """The wide table of both samples, and the stored profile that places its bins."""
+    df = raw_features(panel.bars(spark, root), panel.index_bars(spark, root)).select("date", *RAW_FEATURES)
+    df = stage(drift.halves(df))
+    return df, stage(profiles.profile(df, RAW_FEATURES))
+
+
 def _samples(spark, root):
     df = ft.with_columns(panel.bars(spark, root), ft.log_returns((1, 5)))
     df = ft.volume_zscore(ft.sma_distance(df, (20,)))
@@ -36,7 +51,7 @@ def exact_quantiles(spark, root):
 
 
 _EDGES = "[" + ", ".join(f"quantile_cont(v, {i / 10})" for i in range(11)) + "]"
-PSI = f"""{SAMPLES}, eg AS (SELECT feature, list_sort(list_distinct({_EDGES})) AS e FROM smp WHERE sample = 'ref' GROUP BY feature),
+PSI = f"""{ALL_SAMPLES}, eg AS (SELECT feature, list_sort(list_distinct({_EDGES})) AS e FROM smp WHERE sample = 'ref' GROUP BY feature),
 bk AS (SELECT s.feature, len(list_filter(e[2:len(e) - 1], lambda x: x <= v)) AS b, count(*) FILTER (sample = 'ref') AS rr, count(*) FILTER (sample = 'cur') AS cc FROM smp s JOIN eg USING (feature) GROUP BY 1, 2),
 tt AS (SELECT feature, sum(rr) AS nr, sum(cc) AS nc FROM bk GROUP BY 1), gr AS (SELECT feature, unnest(range(0, CAST(len(e) - 1 AS BIGINT))) AS b FROM eg),
 pp AS (SELECT feature, greatest(coalesce(rr, 0)/nr, 1e-6) AS pr, greatest(coalesce(cc, 0)/nc, 1e-6) AS pc FROM gr LEFT JOIN bk USING (feature, b) JOIN tt USING (feature)),
@@ -48,17 +63,20 @@ ks AS (SELECT feature, max(abs(fr - fc)) AS ks FROM cu GROUP BY 1)"""
 
 @query(f"WITH {PSI} SELECT feature, {r('psi', 5)} AS psi FROM psi")
 def population_stability(spark, root):
-    return rounded(drift.population_stability(_samples(spark, root)), ["feature"], ["psi"], 5)
+    df, known = _halves(spark, root)
+    return rounded(profiles.compare(df, RAW_FEATURES, known), ["feature"], ["psi"], 5)
 
 
-@query(f"WITH {SAMPLES}, {KS} SELECT feature, {r('ks')} AS ks FROM ks")
+@query(f"WITH {ALL_SAMPLES}, {KS} SELECT feature, {r('ks')} AS ks FROM ks")
 def ks_statistic(spark, root):
-    return rounded(drift.ks_statistic(_samples(spark, root)), ["feature"], ["ks"])
+    df, known = _halves(spark, root)
+    return rounded(profiles.compare(df, RAW_FEATURES, known), ["feature"], ["ks"])
 
 
 @query(f"WITH {PSI}, {KS} SELECT feature, {r('psi', 4)} AS psi, {r('ks', 4)} AS ks, CASE WHEN psi > 0.25 THEN 'RETRAIN' WHEN psi > 0.20 THEN 'WATCH' ELSE 'ok' END AS flag FROM psi JOIN ks USING (feature)")
 def feature_drift(spark, root):
-    return drift.feature_drift(_samples(spark, root))
+    df, known = _halves(spark, root)
+    return profiles.feature_drift(df, RAW_FEATURES, known)
 
 
 def _cusum_sql(src: str, by: str, order: str, threshold: float = 5.0) -> str:
@@ -82,7 +100,8 @@ def concept_drift(spark, root):
 def drift_report(spark, root):
     from ..operators.metrics import calibration_error
 
-    f = drift.feature_drift(_samples(spark, root))
+    df, known = _halves(spark, root)
+    f = profiles.feature_drift(df, RAW_FEATURES, known)
     c = drift.cusum(panel.error_stream(spark, root), ["stream"], "event_id", "event_id")
     e = panel.error_stream(spark, root).withColumn("y", F.lit(1.0))
     rep = drift.drift_report(f, c, calibration_error(e, "err", "y"))
@@ -90,86 +109,156 @@ def drift_report(spark, root):
 
 
 # --- model jobs ------------------------------------------------------------
-MODEL_FEATURES = ["ret_1d", "ret_5d", "ret_21d", "dist_sma20", "vol_z20"]
-FAST = dict(maxIter=2, maxDepth=3)
+# trees of one fit; seeds of a bag; rebalance dates that one refit scores (the reference step is 5 dates)
+TREES = dict(maxIter=20, maxDepth=4)
+SEEDS = 3
+REFIT_EVERY = 5
+WALK_TREES = dict(maxIter=5, maxDepth=4)
+SURFACE_REFIT_EVERY = 25
+# settings of the searches; a setting's rounds and depth are what the trees here have
+GRID = [dict(maxIter=i, maxDepth=d, stepSize=s) for i in (5, 10) for d in (2, 3, 4) for s in (0.1, 0.3)]
+HORIZONS = [5, 21, 63]
 
 
 def _rows(spark, root, task: str = "classification"):
-    """Model table: scored features, labels, weights; staged because fits scan it repeatedly."""
-    df = labels.add_labels(panel.bars(spark, root), 5, "triple_barrier" if task == "classification" else "forward_return")
-    df = ft.volume_zscore(ft.sma_distance(ft.with_columns(df, ft.log_returns((1, 5, 21))), (20,)))
-    df = labels.sample_weights(df, 5).select("ticker", "date", *MODEL_FEATURES, "fwd_ret", "target", "weight")
-    return stage(cross.zscore(stage(df), MODEL_FEATURES))
+    """(rows, features): the whole feature table with labels and weights; staged because fits scan it repeatedly."""
+    bars = panel.bars(spark, root)
+    marked = labels.add_labels(bars, 5, "triple_barrier" if task == "classification" else "forward_return")
+    marked = labels.sample_weights(marked, 5).select("ticker", "date", "fwd_ret", "target", "weight")
+    table, names = build_features(bars, panel.index_bars(spark, root))
+    rows = table.select("ticker", "date", *[F.col(c).cast("double").alias(c) for c in names]).join(marked, ["ticker", "date"])
+    return stage(rows), names
+
+
+# the rows a model sees: all features present
+SEEN = f"""{Z_TABLE}, sf AS (SELECT ticker, date, {leadq('close', 5)} AS later, close FROM bars),
+sn AS (SELECT z.ticker, z.date, CASE WHEN later IS NOT NULL THEN ln(later/close) END AS fwd_ret, {' AND '.join(f'{c} IS NOT NULL AND NOT isnan(CAST({c} AS DOUBLE))' for c in ALL_FEATURES)} AS seen FROM z JOIN sf USING (ticker, date)),
+sd AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS idx, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM bars))"""
+HELD = f"WITH {SEEN} SELECT date, ticker, true AS scored FROM sn JOIN sd USING (date) WHERE seen AND idx >= floor(n*(1.0 - 0.2))"
 
 
-# the rows a model sees: all features present (a z-score needs two values of a date)
-_SEEN = " AND ".join(f"{c} IS NOT NULL AND count({c}) OVER (PARTITION BY date) >= 2" for c in MODEL_FEATURES)
-SEEN = f"""{FEATS}, sn AS (SELECT ticker, date, CASE WHEN {leadq('close', 5)} IS NOT NULL THEN ln({leadq('close', 5)}/close) END AS fwd_ret, {_SEEN} AS seen FROM feats),
-sd AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS idx, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM feats))"""
-HELD = f"WITH {SEEN} SELECT date, ticker, true AS scored FROM sn JOIN sd USING (date) WHERE seen AND idx >= floor(n*(1.0 - 0.2))"
+def _held_out(rows, names):
+    return models.assemble(rows, names).join(F.broadcast(splits.final_holdout(rows).select("date", "role")), "date")
 
 
 @query(HELD)
 def train_classifier(spark, root):
     """Final fit with a date holdout, then scores of the test dates: every row gets a probability."""
-    rows = _rows(spark, root)
-    v = models.assemble(rows, MODEL_FEATURES).join(F.broadcast(splits.final_holdout(rows).select("date", "role")), "date")
-    m = models.fit(v.where(F.col("role") == "train"), weight="weight", **FAST)
+    rows, names = _rows(spark, root)
+    v = _held_out(rows, names)
+    m = models.fit(v.where(F.col("role") == "train"), weight="weight", **TREES)
     return models.score(m, v.where(F.col("role") == "test")).select("date", "ticker", F.col("pred").between(0, 1).alias("scored"))
 
 
 @query(HELD)
 def train_regressor(spark, root):
-    rows = _rows(spark, root, "regression")
-    v = models.assemble(rows, MODEL_FEATURES).join(F.broadcast(splits.final_holdout(rows).select("date", "role")), "date")
-    m = models.fit(v.where(F.col("role") == "train"), task="regression", weight="weight", **FAST)
+    rows, names = _rows(spark, root, "regression")
+    v = _held_out(rows, names)
+    m = models.fit(v.where(F.col("role") == "train"), task="regression", weight="weight", **TREES)
     return models.score(m, v.where(F.col("role") == "test"), "regression").select("date", "ticker", (F.abs("pred") < 100).alias("scored"))
 
 
 @query(f"WITH {SEEN} SELECT date, ticker, true AS scored FROM sn WHERE seen")
 def bagged_scores(spark, root):
     """Mean over seeds; members without score dispersion are dropped."""
-    rows = _rows(spark, root)
-    v = models.assemble(rows, MODEL_FEATURES)
-    bag = models.fit_bag(v, 2, weight="weight", **FAST)
-    return models.score_bag(bag, v, ["date", "ticker"]).select("date", "ticker", (F.col("pred").between(0, 1) & F.col("n_members").between(1, 2)).alias("scored"))
+    rows, names = _rows(spark, root)
+    v = stage(models.assemble(rows, names))
+    bag = models.fit_bag(v, SEEDS, weight="weight", **TREES)
+    return models.score_bag(bag, v, ["date", "ticker"]).select("date", "ticker", (F.col("pred").between(0, 1) & F.col("n_members").between(1, SEEDS)).alias("scored"))
 
 
 @query(f"WITH {SEEN} SELECT CAST((idx - 504)//5 AS INTEGER) AS step, date, ticker, {r('fwd_ret')} AS fwd_ret, true AS scored FROM sn JOIN sd USING (date) WHERE seen AND idx >= 504 AND idx < n - 5 AND (idx - 504) % 5 = 0")
 def walk_forward_scores(spark, root):
-    """Every rebalance date scored out of fold; the trees are refitted at every 80th date."""
-    rows = _rows(spark, root)
-    oof = models.walk_forward(rows, splits.rebalance_schedule(rows), MODEL_FEATURES, weight="weight", refit_every=80, **FAST)
+    """Every rebalance date scored out of fold; concurrent refits at every REFIT_EVERY-th date."""
+    rows, names = _rows(spark, root)
+    oof = models.walk_forward(rows, splits.rebalance_schedule(rows), names, weight="weight", refit_every=REFIT_EVERY, **WALK_TREES)
     return oof.select("step", "date", "ticker", rnd("fwd_ret", 6).alias("fwd_ret"), F.col("pred").between(0, 1).alias("scored"))
 
 
-@query()
+@query("SELECT CAST(range AS INTEGER) AS grid_id, true AS in_range, CAST(8 AS BIGINT) AS n_folds FROM range(4)")
 def grid_search(spark, root):
-    rows = _rows(spark, root, "regression")
-    folds = splits.purged_folds(rows, n_splits=2)
-    g = models.grid_search(rows, folds, MODEL_FEATURES, [dict(maxIter=1, maxDepth=2), dict(maxIter=2, maxDepth=3)], weight="weight")
-    return g.select("grid_id", rnd("mean_ic", 6).alias("mean_ic"), "n_folds")
+    """The first four settings on all folds."""
+    rows, names = _rows(spark, root, "regression")
+    g = models.grid_search(rows, splits.purged_folds(rows), names, GRID[:4], weight="weight")
+    return g.select("grid_id", F.col("mean_ic").between(-1, 1).alias("in_range"), "n_folds")
+
+
+@query(f"SELECT CAST(rung AS INTEGER) AS rung, n_settings, n_folds, n_promoted, true AS best_first FROM (VALUES (0, 12::BIGINT, 2::BIGINT, 6::BIGINT), (1, 6, 4, 3), (2, 3, 8, 1)) t(rung, n_settings, n_folds, n_promoted)")
+def halving_search(spark, root):
+    """Twelve settings, halved as they meet more of the eight folds; a row a rung."""
+    rows, names = _rows(spark, root, "regression")
+    table, _ = models.halving_search(rows, splits.purged_folds(rows), names, GRID, weight="weight")
+    worst, best = F.min(F.when(F.col("promoted"), F.col("mean_ic"))), F.max(F.when(~F.col("promoted"), F.col("mean_ic")))
+    return table.groupBy("rung").agg(F.count(F.lit(1)).alias("n_settings"), F.max("n_folds").alias("n_folds"), F.count_if("promoted").alias("n_promoted"), (worst >= best).alias("best_first"))
+
+
+def _surface(spark, root):
+    """Forest quantiles by horizon, the horizon chosen from them, and the return at it; names of the features."""
+    rows, names = _rows(spark, root, "regression")
+    grid = labels.forward_return_grid(panel.bars(spark, root), HORIZONS).select("ticker", "date", *[f"fwd_ret_{h}" for h in HORIZONS])
+    rows = stage(rows.drop("fwd_ret").join(grid, ["ticker", "date"]))
+    plan = splits.rebalance_schedule(rows, h=max(HORIZONS))
+    s = stage(surface.walk_forward_surface(rows, plan, names, HORIZONS, weight="weight", refit_every=SURFACE_REFIT_EVERY))
+    keys = ["step", "date", "ticker"]
+    chosen = horizon.select_horizon(horizon.surface_wide(s, keys), keys, HORIZONS)
+    return s, horizon.realised_at(chosen.join(grid, ["date", "ticker"]), HORIZONS)
+
+
+@query(f"WITH {SEEN} SELECT CAST((idx - 504)//5 AS INTEGER) AS step, date, ticker, h, true AS ordered FROM sn JOIN sd USING (date), (SELECT unnest([5, 21, 63]) AS h) WHERE seen AND idx >= 504 AND idx < n - 63 AND (idx - 504) % 5 = 0")
+def quantile_surface(spark, root):
+    """Out-of-fold 10, 50 and 90 % quantiles for every horizon, rebalance date and ticker; here, that they are in order."""
+    s, _ = _surface(spark, root)
+    w = horizon.surface_wide(s, ["step", "date", "ticker"])
+    return w.select("step", "date", "ticker", "h", ((F.col("q10") <= F.col("q50")) & (F.col("q50") <= F.col("q90"))).alias("ordered"))
 
 
 @query()
+def surface_calibration(spark, root):
+    """Coverage by tau, and the distribution of the horizons that the forests choose."""
+    _, chosen = _surface(spark, root)
+    chosen = stage(chosen)
+    c = metrics.quantile_calibration(chosen, {0.1: "q10_star", 0.5: "q50_star", 0.9: "q90_star"}).select(F.concat(F.lit("tau "), F.col("tau")).alias("what"), F.col("realised_rate").alias("share"), F.col("n").alias("n_rows"))
+    d = horizon.horizon_distribution(chosen, HORIZONS).select(F.concat(F.lit("horizon "), F.col("h")).alias("what"), rnd("fraction", 6).alias("share"), "n_rows")
+    return c.unionByName(d)
+
+
+# a score of few values: the return of five days in units of its date's spread, in tenths
+ISO = f"""{PREDS}, i1 AS (SELECT ticker, date, round_even(greatest(least(pred, 4.0), -4.0)*20, 0)/20 + 0.0 AS p, (fwd_ret > 0)::INT AS y FROM preds WHERE pred IS NOT NULL AND fwd_ret IS NOT NULL),
+idd AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS idx, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM i1)),
+ih AS MATERIALIZED (SELECT i1.*, idx < floor(n/2) AS first_half FROM i1 JOIN idd USING (date)),
+ix AS (SELECT p, sum(y) AS s, count(*) AS w, row_number() OVER (ORDER BY p) AS k FROM ih WHERE first_half GROUP BY p),
+cu AS MATERIALIZED (SELECT k, p, sum(s) OVER (ORDER BY k) AS cs, sum(w) OVER (ORDER BY k) AS cw, s, w FROM ix),
+mm AS (SELECT a.k AS a, b.k AS i, min((b.cs - a.cs + a.s)/(b.cw - a.cw + a.w)) OVER (PARTITION BY a.k ORDER BY b.k DESC) AS low FROM cu a JOIN cu b ON b.k >= a.k),
+ft AS MATERIALIZED (SELECT i AS k, max(low) AS v FROM mm GROUP BY i), fx AS MATERIALIZED (SELECT p, v FROM ft JOIN cu USING (k)),
+h2 AS (SELECT * FROM ih WHERE NOT first_half), lo AS (SELECT h2.*, fx.p AS p0, fx.v AS v0 FROM h2 ASOF LEFT JOIN fx ON h2.p >= fx.p),
+up AS (SELECT lo.*, fx.p AS p1, fx.v AS v1 FROM lo ASOF LEFT JOIN fx ON lo.p <= fx.p)"""
+
+
+@query(f"WITH {ISO} SELECT date, ticker, {r('p')} AS pred, {r('CASE WHEN p0 IS NULL THEN v1 WHEN p1 IS NULL OR p1 = p0 THEN v0 ELSE v0 + (v1 - v0)*(p - p0)/(p1 - p0) END')} AS calibrated FROM up")
 def isotonic_calibration(spark, root):
-    rows = _rows(spark, root)
-    v = models.assemble(rows, MODEL_FEATURES).where(F.col("target").isNotNull()).withColumn("label", (F.col("target") == 1).cast("double"))
-    # fitted on the training dates, calibrated and scored on the two halves of the dates held out
-    v = v.join(F.broadcast(splits.final_holdout(rows).select("date", "role")), "date")
-    scored = models.score(models.fit(v.where(F.col("role") == "train"), weight="weight", **FAST), v.where(F.col("role") == "test"))
-    half = splits.half_split(scored.select("date", "ticker", "pred", "label"))
-    iso = models.fit_isotonic(half.where(F.col("half") == "first"))
-    return models.apply_isotonic(iso, half.where(F.col("half") == "second")).select("date", "ticker", rnd("pred", 6).alias("pred"), rnd("calibrated", 6).alias("calibrated"))
+    """Calibrated on the older half of the dates, applied to the newer; in SQL by the max-min formula."""
+    p = momentum_predictions(spark, root).where(F.col("pred").isNotNull() & F.col("fwd_ret").isNotNull())
+    score = rnd(F.greatest(F.least("pred", F.lit(4.0)), F.lit(-4.0)) * 20, 0) / 20 + F.lit(0.0)
+    half = stage(splits.half_split(p.select("date", "ticker", score.alias("pred"), (F.col("fwd_ret") > 0).cast("double").alias("label"))))
+    iso = isotonic.fit_isotonic(half.where(F.col("half") == "first"))
+    out = isotonic.apply_isotonic(iso, half.where(F.col("half") == "second"))
+    return out.select("date", "ticker", rnd("pred", 6).alias("pred"), rnd("calibrated", 6).alias("calibrated"))
 
 
-@query()
+@query(f"SELECT 'run-1' AS run_id, unnest({ALL_FEATURES!r}) AS feature_name, true AS in_range, CAST({len(ALL_FEATURES)} AS BIGINT) AS n_ranks, true AS whole")
 def feature_importance(spark, root):
-    m = models.fit(models.assemble(_rows(spark, root), MODEL_FEATURES), weight="weight", **FAST)
-    f = models.feature_importance(spark, m, MODEL_FEATURES, "run-1")
-    return f.select("run_id", "feature_name", rnd("importance_score", 6).alias("importance_score"), "importance_rank")
+    """One row a feature: its importance lies between 0 and 1, ranks are distinct, all add up to one."""
+    rows, names = _rows(spark, root)
+    m = models.fit(models.assemble(rows, names), weight="weight", **TREES)
+    f = stage(models.feature_importance(spark, m, names, "run-1", n=len(names)))
+    whole = f.groupBy("run_id").agg(F.count_distinct("importance_rank").alias("n_ranks"), (F.abs(F.sum("importance_score") - 1) < 1e-6).alias("whole"))
+    return f.join(whole, "run_id").select("run_id", "feature_name", F.col("importance_score").between(0, 1).alias("in_range"), "n_ranks", "whole")
 
 
-@query()
+@query(f"WITH {SEEN} SELECT date, ticker, true AS scored, greatest(1, count(*) OVER () // 5) AS n_long FROM sn JOIN sd USING (date) WHERE seen AND idx = n - 1")
 def score_latest(spark, root):
-    return models.score_latest(_rows(spark, root), MODEL_FEATURES, weight="weight", **FAST).select("date", "ticker", rnd("prob_up", 6).alias("prob_up"), "signal")
+    """Scores of the newest date by a model of all labelled rows; a fifth of them, one at least, is LONG."""
+    rows, names = _rows(spark, root)
+    s = stage(models.score_latest(rows, names, weight="weight", **TREES))
+    n = s.groupBy("date").agg(F.count_if(F.col("signal") == "LONG").alias("n_long"))
+    return s.join(F.broadcast(n), "date").select("date", "ticker", F.col("prob_up").between(0, 1).alias("scored"), "n_long")

@@ -25,6 +25,8 @@ def local_session(cpus: int | str = "*", memory: str = "8g", checkpoint_dir: str
         # wide projections beyond the JIT method limit run faster outside whole-stage code
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.driver.memory", memory)
+        # concurrent fits share the cores instead of queueing
+        .config("spark.scheduler.mode", "FAIR")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
@@ -58,9 +60,18 @@ def staging_root(spark: SparkSession) -> str:
 _staged: dict[str, list[str]] = {}
 
 
-def stage(df: DataFrame) -> DataFrame:
+def _part_files(spark: SparkSession, path: str) -> list[str]:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    return sorted(f.getPath().toString() for f in found if f.getPath().getName().startswith("part-"))
+
+
+def stage(df: DataFrame, in_order: bool = False) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back.
 
+    With `in_order` the files are read by name, so that equal tables come in
+    equal partitions whatever order the file system lists them in.
+
     Used where several passes follow one expensive result (window features that
     are then aggregated per date and joined back). Later passes read only the
     columns they need, and lost executors never recompute the windows.
@@ -68,7 +79,13 @@ def stage(df: DataFrame) -> DataFrame:
     path = f"{staging_root(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _staged.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    paths = _part_files(df.sparkSession, path) if in_order else []
+    return df.sparkSession.read.schema(df.schema).parquet(*(paths or [path]))
+
+
+def track(spark: SparkSession, path: str) -> None:
+    """Have `release` delete a folder that was written by other means than `stage`."""
+    _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
 
 
 def staged(spark: SparkSession) -> int:
