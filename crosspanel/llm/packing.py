@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import zlib
 from base64 import b64decode
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..session import stage
 from .base import map_records, query, table
@@ -20,6 +24,8 @@ END_ID = 1
 SPECIAL = "<|endoftext|>"
 # shares are counted in so many parts of a window; whole numbers keep the order exact
 SHARES = 1 << 20
+# tokens whose pieces are worked out at once
+SLICE_TOKENS = 1_000_000
 # rows of (partition, source) start offsets that are broadcast at most, about 40 bytes each
 BROADCAST_ROWS = 500_000
 
@@ -47,7 +53,8 @@ def encode(text: str | None) -> np.ndarray:
         return np.array([END_ID], np.uint16)
     fast, slow = _encoder()
     try:
-        ids = slow.encode(text, add_special_tokens=False).ids if SPECIAL in text else fast.encode_ordinary(text)
+        # the fast vocabulary has no special tokens: this is plain encoding, without a Python number for every id
+        ids = slow.encode(text, add_special_tokens=False).ids if SPECIAL in text else fast.encode_to_numpy(text)
     except Exception:  # noqa: BLE001  the expression engine's limit on very long runs
         ids = slow.encode(text, add_special_tokens=False).ids
     out = np.empty(len(ids) + 1, np.uint16)
@@ -112,37 +119,46 @@ class Schedule:
 
     def pieces(self, queue: int, start: int, length: int) -> list[tuple[int, int, int, int]]:
         """(offset in the document, length, sequence, offset there) of `length` tokens from `start` of a queue."""
-        out: list[tuple[int, int, int, int]] = []
-        end = start + length
-        full = int(self.quanta[queue]) * QUANTUM
-        if start < full:
-            index = np.arange(start // QUANTUM, (min(end, full) - 1) // QUANTUM + 1)
-            for i, p in zip(index.tolist(), self.place(queue, index).tolist()):
-                a, b = max(start, i * QUANTUM), min(end, (i + 1) * QUANTUM)
-                into = a - i * QUANTUM
-                if p < self.whole:
-                    out.append((a - start, b - a, p // self.per_window, p % self.per_window * QUANTUM + into))
-                else:
-                    out += self._rest((p - self.whole) * QUANTUM + into, a - start, b - a)
-        if end > full:
-            a = max(start, full)
-            out += self._rest(int(self.tail_start[queue]) + a - full, a - start, end - a)
-        joined: list[tuple[int, int, int, int]] = []
-        for x in out:
-            if joined and (y := joined[-1])[2] == x[2] and y[0] + y[1] == x[0] and y[3] + y[1] == x[3]:
-                joined[-1] = (y[0], y[1] + x[1], y[2], y[3])
-            else:
-                joined.append(x)
-        return joined
-
-    def _rest(self, at: int, offset: int, length: int) -> list[tuple[int, int, int, int]]:
-        out = []
-        while length:
-            k = int(np.searchsorted(self.last_start, at, "right")) - 1
-            n = min(length, int(self.last_start[k + 1]) - at)
-            out.append((offset, n, self.windows + k, at - int(self.last_start[k])))
-            at, offset, length = at + n, offset + n, length - n
-        return out
+        _, *columns = self.pieces_of(*[np.array([x], np.int64) for x in (queue, start, length)])
+        return list(zip(*[c.tolist() for c in columns]))
+
+    def pieces_of(self, queue: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Pieces of many stretches of tokens, each `length` from `start` of its queue.
+
+        Returns for every piece the number of its stretch, its offset there, its
+        length, sequence and offset in the sequence, in order of stretch and offset.
+        """
+        n = -(-(start + length) // QUANTUM) - start // QUANTUM
+        which = np.repeat(np.arange(len(queue)), n)
+        index = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start // QUANTUM, n)
+        begin = np.maximum(index * QUANTUM, start[which])
+        size = np.minimum((index + 1) * QUANTUM, (start + length)[which]) - begin
+        # position in the whole order of service: quanta by their place, then every queue's tail
+        at = np.empty(len(which), np.int64)
+        of = queue[which]
+        tail = index >= self.quanta[of]
+        for q in np.unique(of).tolist():
+            mine = np.flatnonzero((of == q) & ~tail)
+            at[mine] = self.place(q, index[mine]) * QUANTUM + begin[mine] % QUANTUM
+        at[tail] = self.whole * QUANTUM + self.tail_start[of[tail]] + begin[tail] % QUANTUM
+        rest = at - self.whole * QUANTUM
+        # beyond the whole windows sequences may be shorter than a quantum: cut there
+        cuts = np.where(rest < 0, 0, np.searchsorted(self.last_start, rest + size, "left") - np.searchsorted(self.last_start, np.maximum(rest, 0), "right"))
+        which, begin, size, rest = np.repeat(which, cuts + 1), np.repeat(begin, cuts + 1), np.repeat(size, cuts + 1), np.repeat(rest, cuts + 1)
+        part = np.arange(len(which)) - np.repeat(np.cumsum(cuts + 1) - (cuts + 1), cuts + 1)
+        first = np.searchsorted(self.last_start, np.maximum(rest, 0), "right") - 1
+        k = np.minimum(first + part, max(len(self.last) - 1, 0))
+        late = rest >= 0
+        a = np.where(late & (part > 0), self.last_start[k], rest)
+        b = np.where(late, np.minimum(rest + size, self.last_start[np.minimum(k + 1, len(self.last_start) - 1)]), rest + size)
+        sequence = np.where(late, self.windows + k, (a + self.whole * QUANTUM) // WINDOW)
+        inside = np.where(late, a - self.last_start[k], (a + self.whole * QUANTUM) % WINDOW)
+        offset, size = begin - start[which] + a - rest, b - a
+        # neighbours in a sequence are one piece
+        new = np.ones(len(which), bool)
+        new[1:] = (which[1:] != which[:-1]) | (sequence[1:] != sequence[:-1]) | (inside[1:] != inside[:-1] + size[:-1])
+        heads = np.flatnonzero(new)
+        return which[heads], offset[heads], np.add.reduceat(size, heads) if len(heads) else size, sequence[heads], inside[heads]
 
 
 def pack(docs: DataFrame, targets: dict[str | None, float] | None = None, source_col: str = "source") -> DataFrame:
@@ -176,19 +192,37 @@ def pack(docs: DataFrame, targets: dict[str | None, float] | None = None, source
     placed = tokens.join(F.broadcast(s) if small else s, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("part") == F.col("s_part")))
     kept = spark.sparkContext.broadcast((queues, plan))
 
-    def run(rows):
-        queues, plan = kept.value
-        for key, source, start, n, raw in rows:
-            ids = np.frombuffer(raw, np.uint16).astype("<u4")
-            for offset, length, sequence, at in plan.pieces(queues[source], start, n):
-                yield key, source, offset, length, zlib.crc32(ids[offset : offset + length]), n, sequence, at
-
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_records(
-        placed.select("doc_id", "source", (F.col("ahead") + F.col("before")).alias("start"), "n_tokens", "ids"),
-        run,
-        f"doc_id {kind}, source string, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
-    )
+    schema = StructType.fromDDL(f"doc_id {kind}, source string, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queues, plan = kept.value
+        arrow = to_arrow_schema(schema)
+        for batch in batches:
+            for part in _slices(batch):
+                key, source, start, n, raw = part.columns
+                at, count = start.to_numpy(zero_copy_only=False), n.to_numpy(zero_copy_only=False)
+                queue = np.array([queues[s] for s in source.to_pylist()], np.int64)
+                which, offset, length, sequence, inside = plan.pieces_of(queue, at, count)
+                ids = memoryview(np.frombuffer(b"".join(raw.to_pylist()), np.uint16).astype("<u4")).cast("B")
+                first = 4 * ((np.cumsum(count) - count)[which] + offset)
+                sums = [zlib.crc32(ids[a:b]) for a, b in zip(first.tolist(), (first + 4 * length).tolist())]
+                take = pa.array(which)
+                columns = [key.take(take), source.take(take), pa.array(offset), pa.array(length), pa.array(sums, pa.int64()), n.take(take), pa.array(sequence), pa.array(inside)]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    return placed.select("doc_id", "source", (F.col("ahead") + F.col("before")).alias("start"), "n_tokens", "ids").mapInArrow(run, schema)
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about SLICE_TOKENS tokens, one row at least."""
+    total = np.cumsum(batch.column(3).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        before = int(total[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(total, before + SLICE_TOKENS, "right")))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 @query("op1_packing")
