@@ -39,16 +39,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 HOT_KEYS = 1000
 
 
-def join_by_weight(rows: DataFrame, keys: DataFrame, on: str, weight: str, total: int) -> DataFrame:
-    """`rows` left-joined to `keys`, one row a value of `on`, of which `weight` counts the rows.
+def join_by_weight(rows: DataFrame, keys: DataFrame, on: str | list[str], weight: str, total: int, how: str = "left") -> DataFrame:
+    """`rows` joined to `keys`, one row a value of `on`, of which `weight` counts the rows; `how` is left or inner.
 
     Values with a thousandth of all rows or more, a thousand at most, are
     broadcast, so that no task gets all rows of one. The rest goes by a shuffle.
     `on` is never null; `weight` is left out of the result.
     """
+    on = [on] if isinstance(on, str) else on
     is_hot = F.col(weight) * HOT_KEYS >= total
     hot = F.broadcast(keys.where(is_hot).drop(weight))
-    cold = rows.join(hot.select(on), on, "left_anti").join(keys.where(~is_hot).drop(weight), on, "left")
+    cold = rows.join(hot.select(*on), on, "left_anti").join(keys.where(~is_hot).drop(weight), on, how)
     return rows.join(hot, on).unionByName(cold)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import stage
-from .base import map_records, query, table
+from .base import join_by_weight, map_records, query, table
 
 # lines of a run that is looked for, and of the window whose smallest hash is a fingerprint
 RUN_LINES = 3
@@ -65,14 +65,15 @@ def repeated_runs(docs: DataFrame, size: int, words: int | None = RUN_WORDS) ->
     """doc, version, runs (array of start and n, in lines that are not blank) of windows that an earlier place has too."""
     place = F.struct("doc", "version", "start")
     prints = stage(_fingerprints(docs, size, words))
-    shared = prints.groupBy("print").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where(F.col("lo") < F.col("hi")).select("print")
-    met = prints.join(shared, "print")
+    shared = prints.groupBy("print").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.count(F.lit(1)).alias("rows")).where(F.col("lo") < F.col("hi")).select("print", "rows")
+    # a line that a third of all documents have is one fingerprint: hot ones meet their row where they are
+    met = join_by_weight(prints, stage(shared), "print", "rows", prints.count(), "inner")
     # extension both ways: the windows around a shared fingerprint, each against its earliest place
     met = met.select("doc", "version", "n", F.col("start").alias("from"), F.posexplode(F.arrays_zip("one", "two")).alias("i", "w"))
     met = met.select("doc", "version", "n", (F.col("from") + F.col("i")).alias("start"), "w.one", "w.two")
     met = stage(met)
-    first = met.groupBy("one", "two").agg(F.min(place).alias("first"))
-    later = met.join(first, ["one", "two"]).where(F.col("first") < place)
+    first = met.groupBy("one", "two").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1)
+    later = join_by_weight(met, stage(first), ["one", "two"], "rows", met.count(), "inner").where(F.col("first") < place)
     return later.groupBy("doc", "version").agg(F.sort_array(F.collect_list(F.struct("start", "n"))).alias("runs"))
 
 
@@ -114,11 +115,14 @@ def remove_runs(docs: DataFrame, size: int = RUN_LINES, id_col: str = "doc_id",
 
 
 _TRIM = "trim(x, concat(' ', chr(9), chr(11), chr(12), chr(13)))"
-SQL = f"""WITH l AS (SELECT doc_id, i, list_extract(v, CAST(i AS BIGINT)) AS x FROM (SELECT doc_id, v, unnest(range(1, len(v) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS v FROM documents))),
+SQL = rf"""WITH l AS (SELECT doc_id, i, list_extract(v, CAST(i AS BIGINT)) AS x FROM (SELECT doc_id, v, unnest(range(1, len(v) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS v FROM documents))),
 n AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, {_TRIM} AS s FROM l WHERE {_TRIM} <> ''),
-w AS (SELECT *, lead(s, 1) OVER o AS s2, lead(s, 2) OVER o AS s3 FROM n WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
-f AS (SELECT doc_id, k, row_number() OVER (PARTITION BY s, s2, s3 ORDER BY doc_id, k) AS r FROM w WHERE s3 IS NOT NULL),
-g AS (SELECT DISTINCT doc_id, k + j AS k FROM f, (SELECT unnest([0, 1, 2]) AS j) WHERE r > 1),
+v AS (SELECT *, len(list_filter(string_split_regex(s, '[\x20\x09-\x0D]+'), lambda y: y <> '')) AS nw FROM n),
+w AS (SELECT *, lead(s, 1) OVER o AS s2, lead(s, 2) OVER o AS s3, lead(nw, 1) OVER o AS nw2 FROM v WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+f AS (SELECT doc_id, k, 3 AS n, row_number() OVER (PARTITION BY s, s2, s3 ORDER BY doc_id, k) AS r FROM w WHERE s3 IS NOT NULL
+  UNION ALL SELECT doc_id, k, 2, row_number() OVER (PARTITION BY s, s2 ORDER BY doc_id, k) FROM w WHERE s2 IS NOT NULL AND nw + nw2 >= {RUN_WORDS}
+  UNION ALL SELECT doc_id, k, 1, row_number() OVER (PARTITION BY s ORDER BY doc_id, k) FROM w WHERE nw >= {RUN_WORDS}),
+g AS (SELECT DISTINCT doc_id, k + j AS k FROM f, (SELECT unnest([0, 1, 2]) AS j) WHERE r > 1 AND j < n),
 m AS (SELECT l.doc_id, l.i, l.x, n.k IS NOT NULL AS line, g.k IS NOT NULL AS gone FROM l LEFT JOIN n ON n.doc_id = l.doc_id AND n.i = l.i LEFT JOIN g ON g.doc_id = n.doc_id AND g.k = n.k)
 SELECT doc_id, CAST(count(*) FILTER (WHERE line) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_removed,
   sha256(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id"""
@@ -126,6 +130,6 @@ SELECT doc_id, CAST(count(*) FILTER (WHERE line) AS BIGINT) AS n_lines, CAST(cou
 
 @query("op6_line_dedup", SQL)
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the runs of lines that stand at an earlier place; by lines only, as its SQL says."""
-    out = remove_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), words=None)
+    """Every document without the runs of lines that stand at an earlier place, of three lines or of RUN_WORDS words."""
+    out = remove_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
