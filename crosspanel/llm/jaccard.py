@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .base import lower_ascii_text, map_records, query, table
-from .substrings import Hasher, words_of
+from .base import map_records, query, table
+from .substrings import Hasher
+from .tokens import hashed_rows
 
 SHINGLE_WORDS = 4
 # per cent of the union that two linked sets share
@@ -48,18 +49,21 @@ def prefix_length(n: int) -> int:
     return n - -(-PERCENT * n // 100) + 1
 
 
-def shingles(text: str | None, hasher: Hasher, frequent: np.ndarray) -> np.ndarray:
-    """A text's distinct n-grams in the global order: rare ones by hash, then frequent ones by hash."""
-    words = words_of(lower_ascii_text(text)) if text else []
-    if not words:
+def shingles(words: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """The distinct n-grams of a text's word hashes in the global order: rare ones by hash, then frequent ones by hash."""
+    if not len(words):
         return np.zeros(0, np.uint64)
-    found = np.unique(Hasher.grams(hasher.words(words), min(SHINGLE_WORDS, len(words))) >> np.uint64(1))
+    found = np.unique(Hasher.grams(words, min(SHINGLE_WORDS, len(words))) >> np.uint64(1))
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
         found = np.sort(np.where(frequent[at] == found, found | _FREQUENT, found))
     return found
 
 
+def _raw():
+    return F.col("text").cast("binary")
+
+
 def parity(grams: np.ndarray, finer: int = 0) -> bytes:
     """Per bucket of n-grams, whether their number is odd. Two sets differ in at least as many n-grams as these bits.
 
@@ -160,15 +164,15 @@ def _frequent(docs: DataFrame) -> np.ndarray:
     """
 
     def run(rows):
-        hasher, none, found, size = Hasher(), np.zeros(0, np.uint64), [], 0
+        none, found, size = np.zeros(0, np.uint64), [], 0
 
         def named():
             grams, counts = np.unique(np.concatenate(found), return_counts=True)
             often = counts >= max(FREQUENT_LOCAL, len(found) * FREQUENT_SHARE)
             return zip(grams[often].astype(np.int64).tolist(), counts[often].tolist())
 
-        for (text,) in rows:
-            found.append(shingles(text, hasher, none))
+        for _, _, _, words in hashed_rows(rows, 0, lower=True):
+            found.append(shingles(words, none))
             size += len(found[-1])
             if size >= FREQUENT_BATCH:
                 yield from named()
@@ -176,7 +180,7 @@ def _frequent(docs: DataFrame) -> np.ndarray:
         if found:
             yield from named()
 
-    counts = map_records(docs.select("text"), run, "gram bigint, n bigint")
+    counts = map_records(docs.select(_raw()), run, "gram bigint, n bigint")
     least = docs.count() * FREQUENT_SHARE
     rows = counts.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("gram").toPandas()
     return np.sort(rows["gram"].to_numpy().astype(np.uint64))
@@ -186,16 +190,15 @@ def _sketches(docs: DataFrame, frequent) -> DataFrame:
     """doc, n, set id, n-gram of the smallest hash, prefix of the set and its parity bits."""
 
     def run(rows):
-        hasher = Hasher()
-        for doc, version, text in rows:
-            grams = shingles(text, hasher, frequent.value)
+        for (doc, version, _), _, _, words in hashed_rows(rows, 2, lower=True):
+            grams = shingles(words, frequent.value)
             n = len(grams)
             one, two = np.frombuffer(xxhash.xxh3_128_digest(grams.tobytes()), "<i8").tolist()
             head = grams[: prefix_length(n)].view(np.int64).tolist() if n else []
             low = int((grams & ~_FREQUENT).min()) if n else 0
             yield doc, version, n, one, two, low, head, parity(grams) if n else b""
 
-    return map_records(docs.select("doc", "version", "text"), run, "doc bigint, version bigint, n int, one bigint, two bigint, low bigint, head array<bigint>, bits binary")
+    return map_records(docs.select("doc", "version", _raw()), run, "doc bigint, version bigint, n int, one bigint, two bigint, low bigint, head array<bigint>, bits binary")
 
 
 def _texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
@@ -208,12 +211,11 @@ def _sets(docs: DataFrame, frequent, extra: list[str], kinds: str) -> DataFrame:
     """`extra` columns, finer parity bits and the whole set of each row, as bytes of the ordered n-grams."""
 
     def run(rows):
-        hasher = Hasher()
-        for text, *row in rows:
-            grams = shingles(text, hasher, frequent.value)
+        for (_, *row), _, _, words in hashed_rows(rows, 0, lower=True):
+            grams = shingles(words, frequent.value)
             yield (*row, parity(grams, FINER), grams.tobytes())
 
-    return map_records(docs.select("text", *extra), run, f"{kinds}, fine binary, grams binary")
+    return map_records(docs.select(_raw(), *extra), run, f"{kinds}, fine binary, grams binary")
 
 
 def _tree_join(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -400,7 +402,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = link_sets(rows.where(F.col("doc").isNotNull()))
     out = found.select(F.col("doc").alias(id_col), "n_shingles", F.col("root").alias("component_id"))
     none = rows.where(F.col("doc").isNull()).select(F.col("doc").alias(id_col), "text")
-    hashed = map_records(none.select("text", id_col), lambda part: ((k, len(shingles(t, Hasher(), np.zeros(0, np.uint64))), None) for t, k in part), f"`{id_col}` bigint, n_shingles bigint, component_id bigint")
+    hashed = map_records(none.select(_raw(), id_col), lambda part: ((row[1], len(shingles(words, np.zeros(0, np.uint64))), None) for row, _, _, words in hashed_rows(part, 0, lower=True)), f"`{id_col}` bigint, n_shingles bigint, component_id bigint")
     return out.unionByName(hashed)
 
 

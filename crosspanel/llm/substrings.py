@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .base import map_records, query, table
+from .base import SLICE_ROWS, join_by_weight, map_records, query, table
+from .tokens import hashed_rows, mix, word_hashes
 
 WINDOW_WORDS = 13
 # words of an anchor; of the anchors in a window the one with the smallest hash stands for it
@@ -24,42 +23,17 @@ SHARD_WORDS = 60_000
 # rows of a small side that are broadcast at most, some 50 bytes each, and bytes of all spans
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 32 << 20
-# words and hashes a task remembers
-REMEMBERED_WORDS = 100_000
-
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-
-
-def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text) if text else []
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
 
 # odd and unrelated: multipliers in proportion would give rearranged words the same sum
-_MULTIPLIERS = _mix(np.arange(1, WINDOW_WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-
-
-class _Known(dict):
-    def __missing__(self, word: str) -> int:
-        value = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return value
+_MULTIPLIERS = mix(np.arange(1, WINDOW_WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 class Hasher:
-    """64-bit hashes of word sequences; words seen before are looked up."""
+    """64-bit hashes of words and of word sequences."""
 
-    def __init__(self) -> None:
-        self.known = _Known()
-
-    def words(self, words: list[str]) -> np.ndarray:
-        if len(self.known) > REMEMBERED_WORDS:
-            self.known.clear()
-        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
+    @staticmethod
+    def words(words: list[str]) -> np.ndarray:
+        return word_hashes(" ".join(words).encode("utf-8", "surrogatepass"))
 
     @staticmethod
     def grams(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -69,7 +43,7 @@ class Hasher:
         total = hashes[:m] * _MULTIPLIERS[0]
         for i in range(1, n):
             total += hashes[i : i + m] * _MULTIPLIERS[i]
-        return _mix(total)
+        return mix(total)
 
 
 def _leftmost_minima(x: np.ndarray, span: int) -> np.ndarray:
@@ -182,13 +156,13 @@ def _shared_anchors(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, found, ids = Hasher(), [], []
-        for batch in batches:
-            for doc, text in zip(*[c.to_pylist() for c in batch.columns]):
-                places, grams = anchors(hasher.words(words_of(text)))
-                if len(places):
-                    found.append(np.unique(grams[places[np.append(True, places[1:] != places[:-1])]]))
-                    ids.append(doc)
+        found, ids = [], []
+        rows = (row for batch in batches for at in range(0, batch.num_rows, SLICE_ROWS) for row in zip(*[c.to_pylist() for c in batch.slice(at, SLICE_ROWS).columns]))
+        for (doc, _), _, _, hashes in hashed_rows(rows, 1):
+            spots, grams = anchors(hashes)
+            if len(spots):
+                found.append(np.unique(grams[spots[np.append(True, spots[1:] != spots[:-1])]]))
+                ids.append(doc)
         if not found:
             return
         sizes = [len(x) for x in found]
@@ -208,7 +182,7 @@ def _shared_anchors(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.nulls(len(part), pa.int64()), pa.array(np.full(len(part), 2, np.int32))], names)
 
     names = ["anchor", "doc", "mark"]
-    rows = docs.select("doc", "text").mapInArrow(run, "anchor bigint, doc bigint, mark int")
+    rows = docs.select("doc", F.col("text").cast("binary")).mapInArrow(run, "anchor bigint, doc bigint, mark int")
     w = Window.partitionBy("anchor", F.when(F.col("mark") == 1, F.col("doc")).otherwise(F.lit(-1)))
     rows = rows.withColumn("_lo", F.min("doc").over(w)).withColumn("_hi", F.max("doc").over(w)).withColumn("_told", F.max("mark").over(w))
     return rows.where((F.col("mark") == 1) | (F.col("mark") == 0) & ((F.col("_told") == 2) | (F.col("_lo") < F.col("_hi")))).select("anchor", "doc")
@@ -221,20 +195,18 @@ def _segments(texts: DataFrame) -> DataFrame:
     """
 
     def run(rows):
-        hasher = Hasher()
-        for doc, version, text, cold, hot in rows:
-            words = words_of(text)
-            hashes = hasher.words(words)
-            places, grams = anchors(hashes)
-            border = np.append(0, np.flatnonzero(np.diff(places)) + 1)
-            ends = np.append(border[1:], len(places))
-            keys = grams[places[border]].view(np.int64)
+        for (doc, version, text, cold, hot), begin, end, hashes in hashed_rows(rows, 2):
+            spots, grams = anchors(hashes)
+            border = np.append(0, np.flatnonzero(np.diff(spots)) + 1)
+            ends = np.append(border[1:], len(spots))
+            keys = grams[spots[border]].view(np.int64)
             chosen = np.isin(keys, np.array(cold, np.int64))
             found: dict[tuple, list[int]] = {}
-            for key, a, b in zip(keys[chosen].tolist(), border[chosen].tolist(), ends[chosen].tolist()):
-                found.setdefault((key, " ".join(words[a : b + WINDOW_WORDS - 1])), []).append(a)
-            for (key, run), starts in found.items():
-                yield False, key, 0, doc, version, starts, run
+            a, b = border[chosen], ends[chosen]
+            for key, at, n, x, y in zip(keys[chosen].tolist(), a.tolist(), (b - a).tolist(), begin[a].tolist(), end[b + WINDOW_WORDS - 2].tolist()):
+                found.setdefault((key, text[x:y], n), []).append(at)
+            for (key, run, n), starts in found.items():
+                yield False, key, 0, doc, version, starts, n, run
             if hot:
                 one, two = Hasher.grams(hashes, WINDOW_WORDS).view(np.int64), Hasher.grams(hashes ^ np.uint64(0x5555555555555555), WINDOW_WORDS).view(np.int64)
                 chosen = np.isin(keys, np.array(hot, np.int64))
@@ -243,9 +215,10 @@ def _segments(texts: DataFrame) -> DataFrame:
                     for s in range(a, b):
                         found.setdefault((int(one[s]), int(two[s])), []).append(s)
                 for (key, other), starts in found.items():
-                    yield True, key, other, doc, version, starts, None
+                    yield True, key, other, doc, version, starts, 1, None
 
-    return map_records(texts, run, "hot boolean, key bigint, other bigint, doc bigint, version bigint, starts array<int>, words string")
+    texts = texts.withColumn("text", F.col("text").cast("binary"))
+    return map_records(texts, run, "hot boolean, key bigint, other bigint, doc bigint, version bigint, starts array<int>, n int, words binary")
 
 
 def _judge(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -257,24 +230,24 @@ def _judge(rows: Iterator[tuple]) -> Iterator[tuple]:
     """
 
     def shard(held: list[tuple]) -> Iterator[tuple]:
-        numbers: dict[str, int] = {}
-        lowest: dict[str, int] = {}
-        versions: dict[int, set[str]] = {}
-        for key, doc, _, _, words in held:
+        numbers: dict[bytes, int] = {}
+        lowest: dict[bytes, int] = {}
+        versions: dict[int, set[bytes]] = {}
+        for key, doc, _, _, _, words in held:
             versions.setdefault(key, set()).add(words)
             if doc < lowest.get(words, 1 << 62):
                 lowest[words] = doc
         alike = {s for v in versions.values() if len(v) == 1 for s in v}
-        coded = {s: [numbers.setdefault(w, len(numbers)) for w in s.split(" ")] for s in lowest if s not in alike}
+        coded = {s: [numbers.setdefault(w, len(numbers)) for w in s.split()] for s in lowest if s not in alike}
         automaton = Automaton()
         for s, words in coded.items():
             automaton.add(words, lowest[s])
         automaton.finish()
         firsts = {s: automaton.statistics(words, WINDOW_WORDS) for s, words in coded.items()}
-        for _, doc, version, starts, words in held:
+        for _, doc, version, starts, n, words in held:
             if words in alike:
                 if lowest[words] < doc:
-                    yield doc, version, starts, words.count(" ") + 2 - WINDOW_WORDS
+                    yield doc, version, starts, n
                 continue
             at, mine = -1, firsts[words]
             for i, first in enumerate(mine):
@@ -293,7 +266,7 @@ def _judge(rows: Iterator[tuple]) -> Iterator[tuple]:
             held, size = [], 0
         key = row[0]
         held.append(row)
-        size += row[4].count(" ") + 1
+        size += row[4] + WINDOW_WORDS - 1
     yield from shard(held)
 
 
@@ -306,12 +279,13 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     anchor = F.col("anchor")
     by_doc = flagged.groupBy("doc").agg(F.collect_list(F.when(F.col("hot").isNull(), anchor)).alias("cold"), F.collect_list(F.when(F.col("hot"), anchor)).alias("warm"))
     segments = stage(_segments(docs.select("doc", "version", "text").join(by_doc, "doc").select("doc", "version", "text", "cold", "warm")))
-    cold = segments.where(~F.col("hot")).select("key", "doc", "version", "starts", "words")
+    cold = segments.where(~F.col("hot")).select("key", "doc", "version", "starts", "n", "words")
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     found = map_records(cold.repartition(n, "key").sortWithinPartitions("key"), _judge, "doc bigint, version bigint, starts array<int>, n int")
     warm = segments.where("hot").select("key", "other", "doc", "version", "starts")
-    first = warm.groupBy("key", "other").agg(F.min("doc").alias("first"))
-    found = found.unionByName(warm.join(first, ["key", "other"]).where(F.col("first") < F.col("doc")).select("doc", "version", "starts", F.lit(1).alias("n")))
+    first = warm.groupBy("key", "other").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1)
+    met = join_by_weight(warm, stage(first), ["key", "other"], "rows", warm.count(), "inner")
+    found = found.unionByName(met.where(F.col("first") < F.col("doc")).select("doc", "version", "starts", F.lit(1).alias("n")))
     return map_records(found.groupBy("doc", "version").agg(F.collect_list(F.struct("starts", "n")).alias("runs")), _merge, "doc bigint, version bigint, spans binary")
 
 
@@ -350,7 +324,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(parts):
         for doc, text, later, spans in parts:
-            words = words_of(text)
+            words = text.split()
             n, kept = len(words), words
             if later and n >= WINDOW_WORDS:
                 kept = []
@@ -360,10 +334,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     kept += words[at:start]
                     at = end
                 kept += words[at:]
-            yield doc, n, n - len(kept), " ".join(kept)
+            yield doc, n, n - len(kept), b" ".join(kept)
 
-    out = rows.join(ranges, ["doc", "version"], "left").select("doc", "text", "later", "spans")
-    return map_records(out, run, f"`{id_col}` bigint, n_words bigint, n_removed bigint, text string")
+    out = rows.join(ranges, ["doc", "version"], "left").select("doc", F.col("text").cast("binary"), "later", "spans")
+    return map_records(out, run, f"`{id_col}` bigint, n_words bigint, n_removed bigint, text binary").withColumn("text", F.col("text").cast("string"))
 
 
 @query("op4_substring_dedup")
