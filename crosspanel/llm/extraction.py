@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from .base import map_records, query, table
 
 # Element names by what they mean for the text inside them.
-RAW = frozenset("script style noscript template textarea iframe title svg math object canvas".split())
+RAW = frozenset("script style template textarea iframe title svg".split())
 # of these, elements whose text holds no marks: only their own end tag ends them
-PLAIN = frozenset("script style noscript textarea iframe title".split())
+PLAIN = frozenset("script style textarea iframe title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
@@ -85,6 +85,8 @@ def blocks_of(page: str) -> list[Block]:
     stack: list[tuple[str, int, float, bool, bool]] = [("", 0, 0.0, False, False)]
     held: list[str] = []
     linked, number, at, skip_to = 0, 0, 0, ""
+    # blocks opened inside what is skipped
+    inner: list[str] = []
 
     def text_at(raw: str) -> None:
         nonlocal linked
@@ -108,14 +110,32 @@ def blocks_of(page: str) -> list[Block]:
     scan = 0
     while m := _MARK.search(page, scan):
         scan = m.end()
-        opened = m[2].lower() if m[2] and not m[1] and not (m[3] or "").endswith("/") else ""
+        opened = m[2].lower() if m[2] and not m[1] else ""
         if opened in PLAIN:
+            # such an element has no form that closes itself
             end = _END[opened].search(page, scan)
             scan = end.end() if end else len(page)
+        elif (m[3] or "").endswith("/"):
+            opened = ""
         if skip_to:
-            if m[2] and m[1] and m[2].lower() == skip_to:
+            tag = m[2].lower() if m[2] else ""
+            if m[1] and tag == skip_to:
                 skip_to, at = "", scan
-            continue
+                continue
+            if skip_to == "svg" and opened in BLOCK:
+                # a block has no place in a drawing and ends it
+                skip_to, at = "", m.start()
+            elif opened in BLOCK:
+                inner.append(opened)
+                continue
+            elif m[1] and tag in inner:
+                del inner[len(inner) - 1 - inner[::-1].index(tag) :]
+                continue
+            elif m[1] and tag in BLOCK and any(x[0] == tag for x in stack):
+                # the end of the block around it ends it at the latest
+                skip_to, at = "", m.start()
+            else:
+                continue
         text_at(page[at : m.start()])
         at = scan
         if not m[2]:
@@ -138,6 +158,7 @@ def blocks_of(page: str) -> list[Block]:
         elif tag in RAW:
             if opened and tag not in PLAIN:
                 skip_to = tag
+                inner.clear()
         else:
             if tag in BLOCK:
                 close()

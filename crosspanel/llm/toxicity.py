@@ -18,10 +18,12 @@ from .base import map_records, query, table
 
 # labelled rows the classifier is fitted on, about; statistics that choose its features use all of them
 MAX_FIT_ROWS = 20_000
-# features a model holds at most, the most telling first
-MAX_FEATURES = 20_000
-# documents a feature must be in, and standard errors its two shares must differ by
+# what a feature must have: so many texts, so large a share of them, a difference of its log odds between the labels, and
+# one by so many standard errors. On large tables share and odds decide, so more rows don't bring in ever weaker words; a
+# table has at most (features of a mean text) / MIN_SHARE features of that share
 MIN_DOCUMENTS = 5
+MIN_SHARE = 2e-4
+MIN_ODDS = 0.5
 MIN_Z = 5.0
 L1, COUNTERFACTUAL = 1e-5, 1.0
 # a row of the rarer label counts as many rows: the root of the labels' ratio
@@ -192,7 +194,9 @@ def train(docs: DataFrame, labels: DataFrame, identity_terms: Sequence[Sequence[
             return Model(math.log(1e-9) if not ones else 20.0)
         share = (F.col("a") + F.col("b")) / (ones + zeros)
         z = (F.col("a") / ones - F.col("b") / zeros) / F.sqrt(share * (1 - share) * (1 / ones + 1 / zeros))
-        chosen = [r["feature"] for r in counts.where((F.col("feature") != "") & (share < 1)).withColumn("z", F.abs(z)).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "feature").limit(MAX_FEATURES).collect()]
+        odds = F.log((F.col("a") + 0.5) / (ones - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (zeros - F.col("b") + 0.5))
+        telling = counts.where((F.col("feature") != "") & (share < 1) & (share >= MIN_SHARE) & (F.abs(odds) >= MIN_ODDS) & (F.abs(z) >= MIN_Z))
+        chosen = sorted(r["feature"] for r in telling.select("feature").collect())
     finally:
         counts.unpersist()
     index = {f: i for i, f in enumerate(chosen)}

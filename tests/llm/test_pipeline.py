@@ -24,7 +24,7 @@ def test_registered():
 
     names = set(queries())
     assert {"pipeline", *registry.QUERIES} <= names
-    assert {re.match(r"op(\d+)_", n)[1] for n in registry.QUERIES} == {str(i) for i in range(1, 11)}
+    assert {re.match(r"op(\d+)_", n)[1] for n in registry.QUERIES} == {str(i) for i in range(1, 14)}
 
 
 def test_stages_take_effect(spark):
@@ -83,4 +83,5 @@ def test_texts_of_one_id_are_judged_apart(spark):
 
     rows = [(1, f"{words('a')} {item}", "en"), (1, words("b"), "en"), (2, words("b"), "en"), (3, item, "en"), (None, item, "en")]
     got = {(r.doc_id, r.text) for r in corpus_pipeline.drop_contaminated(spark, make(rows), ROOT).collect()}
-    assert got == {(1, words("b")), (2, words("b")), (None, item)}
+    # a row without an id goes by its text
+    assert got == {(1, words("b")), (2, words("b"))}
