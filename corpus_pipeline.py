@@ -34,12 +34,12 @@ def _version() -> Column:
 
 
 def _at() -> Column:
-    return (F.col("doc_id") == F.col("__doc")) & (_version() == F.col("__version"))
+    return F.col("doc_id").eqNullSafe(F.col("__doc")) & (_version() == F.col("__version"))
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows of `docs` whose id and text, by its hash, are not in `gone` (__doc, __version); rows without an id stay."""
-    gone = stage(gone.where(F.col("__doc").isNotNull()).distinct())
+    """Rows of `docs` whose id and text, by its hash, are not in `gone` (__doc, __version); rows without an id go by their text."""
+    gone = stage(gone.distinct())
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_DECISIONS else gone
     return docs.join(gone, _at(), "left_anti")
 
@@ -49,7 +49,7 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Each row is judged by its own text. The classifier learns from the documents
     of this stage's input and the labels table; documents of one id share a
-    verdict only if their texts are equal.
+    verdict only if their texts are equal. A row without an id is judged too.
     """
     model = toxicity.train(docs, toxicity.open_labels(table(spark, sf_dir, "labels")))
     scored = toxicity.score(docs.withColumn("__key", F.struct("doc_id", _version().alias("version"))), model, "__key")
@@ -86,13 +86,13 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents in which a window of a benchmark item occurs."""
+    """Without the documents in which a window of a benchmark item occurs, with or without an id; null texts have none."""
     found = decontamination.mark_windows(docs, table(spark, sf_dir, "benchmark"))
     return _without(docs, found.where(F.size("hits") > 0).select(F.col("doc_id").alias("__doc"), _version().alias("__version")))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents left."""
+    """Pieces of all documents left; null texts and ids, repeated rows and an empty table as in `packing.pack`."""
     return packing.pack(docs)
 
 

@@ -131,9 +131,12 @@ def _rows(spark, root, task: str = "classification"):
 
 
 # the rows a model sees: all features present
-SEEN = f"""{Z_TABLE}, sf AS (SELECT ticker, date, {leadq('close', 5)} AS later, close FROM bars),
-sn AS (SELECT z.ticker, z.date, CASE WHEN later IS NOT NULL THEN ln(later/close) END AS fwd_ret, {' AND '.join(f'{c} IS NOT NULL AND NOT isnan(CAST({c} AS DOUBLE))' for c in ALL_FEATURES)} AS seen FROM z JOIN sf USING (ticker, date)),
+SEEN = f"""{Z_TABLE}, sf AS (SELECT ticker, date, {leadq('close', 5)} AS later, {leadq('close', 63)} IS NOT NULL AS far, close FROM bars),
+sn AS (SELECT z.ticker, z.date, far, CASE WHEN later IS NOT NULL THEN ln(later/close) END AS fwd_ret, {' AND '.join(f'{c} IS NOT NULL AND NOT isnan(CAST({c} AS DOUBLE))' for c in ALL_FEATURES)} AS seen FROM z JOIN sf USING (ticker, date)),
 sd AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS idx, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM bars))"""
+# labelled rows up to each date: a refit needs MIN_ROWS of them
+MIN_ROWS = 504
+UPTO = f"""{SEEN}, up AS (SELECT idx, sum(count(*) FILTER (seen AND fwd_ret IS NOT NULL)) OVER (ORDER BY idx) AS upto, sum(count(*) FILTER (seen AND far)) OVER (ORDER BY idx) AS upto_far FROM sn JOIN sd USING (date) GROUP BY idx)"""
 HELD = f"WITH {SEEN} SELECT date, ticker, true AS scored FROM sn JOIN sd USING (date) WHERE seen AND idx >= floor(n*(1.0 - 0.2))"
 
 
@@ -167,11 +170,12 @@ def bagged_scores(spark, root):
     return models.score_bag(bag, v, ["date", "ticker"]).select("date", "ticker", (F.col("pred").between(0, 1) & F.col("n_members").between(1, SEEDS)).alias("scored"))
 
 
-@query(f"WITH {SEEN} SELECT CAST((idx - 504)//5 AS INTEGER) AS step, date, ticker, {r('fwd_ret')} AS fwd_ret, true AS scored FROM sn JOIN sd USING (date) WHERE seen AND idx >= 504 AND idx < n - 5 AND (idx - 504) % 5 = 0")
+@query(f"WITH {UPTO} SELECT CAST((sd.idx - 504)//5 AS INTEGER) AS step, date, ticker, {r('fwd_ret')} AS fwd_ret, true AS scored FROM sn JOIN sd USING (date) JOIN up ON up.idx = 504 + (sd.idx - 504)//(5*{REFIT_EVERY})*5*{REFIT_EVERY} - 73 "
+       f"WHERE seen AND sd.idx >= 504 AND sd.idx < n - 5 AND (sd.idx - 504) % 5 = 0 AND upto >= {MIN_ROWS}")
 def walk_forward_scores(spark, root):
     """Every rebalance date scored out of fold; concurrent refits at every REFIT_EVERY-th date."""
     rows, names = _rows(spark, root)
-    oof = models.walk_forward(rows, splits.rebalance_schedule(rows), names, weight="weight", refit_every=REFIT_EVERY, **WALK_TREES)
+    oof = models.walk_forward(rows, splits.rebalance_schedule(rows), names, weight="weight", refit_every=REFIT_EVERY, min_rows=MIN_ROWS, **WALK_TREES)
     return oof.select("step", "date", "ticker", rnd("fwd_ret", 6).alias("fwd_ret"), F.col("pred").between(0, 1).alias("scored"))
 
 
@@ -198,13 +202,14 @@ def _surface(spark, root):
     grid = labels.forward_return_grid(panel.bars(spark, root), HORIZONS).select("ticker", "date", *[f"fwd_ret_{h}" for h in HORIZONS])
     rows = stage(rows.drop("fwd_ret").join(grid, ["ticker", "date"]))
     plan = splits.rebalance_schedule(rows, h=max(HORIZONS))
-    s = stage(surface.walk_forward_surface(rows, plan, names, HORIZONS, weight="weight", refit_every=SURFACE_REFIT_EVERY))
+    s = stage(surface.walk_forward_surface(rows, plan, names, HORIZONS, weight="weight", refit_every=SURFACE_REFIT_EVERY, min_rows=MIN_ROWS))
     keys = ["step", "date", "ticker"]
     chosen = horizon.select_horizon(horizon.surface_wide(s, keys), keys, HORIZONS)
     return s, horizon.realised_at(chosen.join(grid, ["date", "ticker"]), HORIZONS)
 
 
-@query(f"WITH {SEEN} SELECT CAST((idx - 504)//5 AS INTEGER) AS step, date, ticker, h, true AS ordered FROM sn JOIN sd USING (date), (SELECT unnest([5, 21, 63]) AS h) WHERE seen AND idx >= 504 AND idx < n - 63 AND (idx - 504) % 5 = 0")
+@query(f"WITH {UPTO} SELECT CAST((sd.idx - 504)//5 AS INTEGER) AS step, date, ticker, h, true AS ordered FROM sn JOIN sd USING (date) JOIN up ON up.idx = 504 + (sd.idx - 504)//(5*{SURFACE_REFIT_EVERY})*5*{SURFACE_REFIT_EVERY} - 68, (SELECT unnest([5, 21, 63]) AS h) "
+       f"WHERE seen AND sd.idx >= 504 AND sd.idx < n - 63 AND (sd.idx - 504) % 5 = 0 AND upto_far >= {MIN_ROWS}")
 def quantile_surface(spark, root):
     """Out-of-fold 10, 50 and 90 % quantiles for every horizon, rebalance date and ticker; here, that they are in order."""
     s, _ = _surface(spark, root)
