@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -18,10 +19,10 @@ from .tokens import hashed_rows
 SHINGLE_WORDS = 4
 # per cent of the union that two linked sets share
 PERCENT = 85
-# an n-gram in this share of the documents, or more, is frequent and ordered after all others
-FREQUENT_SHARE = 1 / 1000
-# a task names n-grams that so many of its documents have, among each so many n-grams it reads
-FREQUENT_LOCAL, FREQUENT_BATCH = 8, 1_000_000
+# counters that place n-grams by how often documents have them, and parts they are merged in
+COUNTERS, PARTS = 1 << 21, 32
+# n-grams a task counts at once
+COUNTED = 1_000_000
 # n-grams of the sets of one tree (some 50 bytes each), rows of one side of a posting block
 TREE_GRAMS, BLOCK_ROWS = 600_000, 2000
 # the parity bits that pairs are tested by before whole sets travel: 2 to this power times as many
@@ -31,7 +32,9 @@ HEAD = 8
 # document ids that are broadcast at most (8 bytes each); more are joined by a shuffle
 BROADCAST_IDS = 1_000_000
 
-_FREQUENT = np.uint64(1 << 63)
+# an n-gram is a hash of so many bits below its class
+HASH_BITS = 59
+_HASH = np.uint64((1 << HASH_BITS) - 1)
 
 
 def needed(a: int, b: int) -> int:
@@ -49,15 +52,14 @@ def prefix_length(n: int) -> int:
     return n - -(-PERCENT * n // 100) + 1
 
 
-def shingles(words: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The distinct n-grams of a text's word hashes in the global order: rare ones by hash, then frequent ones by hash."""
+def shingles(words: np.ndarray, classes: np.ndarray | None) -> np.ndarray:
+    """The distinct n-grams of a text's word hashes in the global order: by class, rare ones first, then by hash."""
     if not len(words):
         return np.zeros(0, np.uint64)
-    found = np.unique(Hasher.grams(words, min(SHINGLE_WORDS, len(words))) >> np.uint64(1))
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
-        found = np.sort(np.where(frequent[at] == found, found | _FREQUENT, found))
-    return found
+    found = np.unique(Hasher.grams(words, min(SHINGLE_WORDS, len(words))) >> np.uint64(64 - HASH_BITS))
+    if classes is None:
+        return found
+    return np.sort(found | classes[(found & np.uint64(len(classes) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(HASH_BITS))
 
 
 def _raw():
@@ -156,46 +158,62 @@ class PrefixTree:
             node = child
 
 
-def _frequent(docs: DataFrame) -> np.ndarray:
-    """N-grams in at least FREQUENT_SHARE of the documents, as far as tasks see them often enough to name them.
+def _classes(docs: DataFrame) -> np.ndarray:
+    """For each counter, by a part of the hash, the power of two of the documents that have one of its n-grams.
 
-    They only place n-grams in the order, which may be any. Their number is at
-    most the mean size of a set / FREQUENT_SHARE.
+    The class puts n-grams in order, rare ones first, so a set's prefix holds
+    its rarest n-grams and few sets meet at one. Rare n-grams that share a
+    counter only lose their place: any order is right. Tasks count their own
+    documents; counters are summed on executors, and a byte for each reaches the
+    driver.
     """
 
     def run(rows):
-        none, found, size = np.zeros(0, np.uint64), [], 0
-
-        def named():
-            grams, counts = np.unique(np.concatenate(found), return_counts=True)
-            often = counts >= max(FREQUENT_LOCAL, len(found) * FREQUENT_SHARE)
-            return zip(grams[often].astype(np.int64).tolist(), counts[often].tolist())
-
+        counts, found, size = np.zeros(COUNTERS, np.uint32), [], 0
         for _, _, _, words in hashed_rows(rows, 0, lower=True):
-            found.append(shingles(words, none))
+            found.append((shingles(words, None) & np.uint64(COUNTERS - 1)).astype(np.int64))
             size += len(found[-1])
-            if size >= FREQUENT_BATCH:
-                yield from named()
+            if size >= COUNTED:
+                counts += np.bincount(np.concatenate(found), minlength=COUNTERS).astype(np.uint32)
                 found, size = [], 0
         if found:
-            yield from named()
-
-    counts = map_records(docs.select(_raw()), run, "gram bigint, n bigint")
-    least = docs.count() * FREQUENT_SHARE
-    rows = counts.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("gram").toPandas()
-    return np.sort(rows["gram"].to_numpy().astype(np.uint64))
-
-
-def _sketches(docs: DataFrame, frequent) -> DataFrame:
+            counts += np.bincount(np.concatenate(found), minlength=COUNTERS).astype(np.uint32)
+        if counts.any():
+            for part, c in enumerate(np.split(counts, PARTS)):
+                # most counts of a task are small
+                yield part, zlib.compress(c.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+    def merge(rows):
+        at, total = None, None
+        for part, packed in rows:
+            c = np.ascontiguousarray(np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+            if part != at:
+                if at is not None:
+                    yield at, np.frexp(total.astype(float))[1].astype(np.uint8).tobytes()
+                at, total = part, np.zeros(len(c), np.int64)
+            total += c
+        if at is not None:
+            yield at, np.frexp(total.astype(float))[1].astype(np.uint8).tobytes()
+
+    counts = map_records(docs.select(_raw()), run, "part int, counts binary")
+    merged = map_records(counts.repartition(PARTS, "part").sortWithinPartitions("part"), merge, "part int, classes binary").collect()
+    out = np.zeros(COUNTERS, np.uint8)
+    for r in merged:
+        out[r["part"] * (COUNTERS // PARTS) : (r["part"] + 1) * (COUNTERS // PARTS)] = np.frombuffer(r["classes"], np.uint8)
+    # five bits: from 2^31 documents on all are as frequent
+    return np.minimum(out, 31)
+
+
+def _sketches(docs: DataFrame, classes) -> DataFrame:
     """doc, n, set id, n-gram of the smallest hash, prefix of the set and its parity bits."""
 
     def run(rows):
         for (doc, version, _), _, _, words in hashed_rows(rows, 2, lower=True):
-            grams = shingles(words, frequent.value)
+            grams = shingles(words, classes.value)
             n = len(grams)
             one, two = np.frombuffer(xxhash.xxh3_128_digest(grams.tobytes()), "<i8").tolist()
             head = grams[: prefix_length(n)].view(np.int64).tolist() if n else []
-            low = int((grams & ~_FREQUENT).min()) if n else 0
+            low = int((grams & _HASH).min()) if n else 0
             yield doc, version, n, one, two, low, head, parity(grams) if n else b""
 
     return map_records(docs.select("doc", "version", _raw()), run, "doc bigint, version bigint, n int, one bigint, two bigint, low bigint, head array<bigint>, bits binary")
@@ -207,12 +225,12 @@ def _texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(keys) if few else keys, ["doc", "version"])
 
 
-def _sets(docs: DataFrame, frequent, extra: list[str], kinds: str) -> DataFrame:
+def _sets(docs: DataFrame, classes, extra: list[str], kinds: str) -> DataFrame:
     """`extra` columns, finer parity bits and the whole set of each row, as bytes of the ordered n-grams."""
 
     def run(rows):
         for (_, *row), _, _, words in hashed_rows(rows, 0, lower=True):
-            grams = shingles(words, frequent.value)
+            grams = shingles(words, classes.value)
             yield (*row, parity(grams, FINER), grams.tobytes())
 
     return map_records(docs.select(_raw(), *extra), run, f"{kinds}, fine binary, grams binary")
@@ -318,8 +336,8 @@ def link_sets(docs: DataFrame) -> DataFrame:
     only sets of different components are compared further, by their whole sets.
     """
     spark = docs.sparkSession
-    frequent = spark.sparkContext.broadcast(_frequent(docs))
-    sketches = stage(_sketches(docs, frequent))
+    classes = spark.sparkContext.broadcast(_classes(docs))
+    sketches = stage(_sketches(docs, classes))
     me = F.struct("doc", "version")
     # equal sets: one row each, named by a number in the order of its smallest document
     same = sketches.where(F.col("n") > 0).groupBy("one", "two", "n", "low", "head", "bits").agg(F.min(me).alias("me"))
@@ -329,7 +347,7 @@ def link_sets(docs: DataFrame) -> DataFrame:
     salt = F.pmod(F.coalesce(F.element_at("head", -1), F.lit(0)), F.ceil(F.col("grams") / TREE_GRAMS))
     met = stage(sets.select("doc", "version", "me", "head", F.col("low").alias("first")).join(sizes, "first").select("doc", "version", "me", "first", salt.alias("salt")))
     # in trees n-grams are in the order of their hashes alone, so near copies share their beginnings
-    whole = _sets(_texts_of(docs, met), spark.sparkContext.broadcast(np.zeros(0, np.uint64)), ["first", "salt", "me"], "first bigint, salt bigint, me bigint").dropDuplicates(["me"])
+    whole = _sets(_texts_of(docs, met), spark.sparkContext.broadcast(None), ["first", "salt", "me"], "first bigint, salt bigint, me bigint").dropDuplicates(["me"])
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = whole.withColumn("n", F.length("grams")).select("first", "salt", "n", "me", "grams").repartition(parts, "first", "salt").sortWithinPartitions("first", "salt", "n", "me")
     trees = stage(map_records(ordered, _tree_join, "me bigint, chunk bigint, comp bigint"))
@@ -350,7 +368,7 @@ def link_sets(docs: DataFrame) -> DataFrame:
     # whole sets of the pairs left
     ends = pairs.select(F.col("a").alias("me")).union(pairs.select(F.col("b").alias("me"))).distinct()
     ends = stage(known.select("me", "doc", "version", "comp").join(ends, "me"))
-    whole = stage(_sets(_texts_of(docs, ends), frequent, ["me", "comp"], "me bigint, comp bigint").dropDuplicates(["me"]))
+    whole = stage(_sets(_texts_of(docs, ends), classes, ["me", "comp"], "me bigint, comp bigint").dropDuplicates(["me"]))
     side = lambda c, *more: whole.select(F.col("me").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in more])
 
     def like(part):
@@ -402,7 +420,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = link_sets(rows.where(F.col("doc").isNotNull()))
     out = found.select(F.col("doc").alias(id_col), "n_shingles", F.col("root").alias("component_id"))
     none = rows.where(F.col("doc").isNull()).select(F.col("doc").alias(id_col), "text")
-    hashed = map_records(none.select(_raw(), id_col), lambda part: ((row[1], len(shingles(words, np.zeros(0, np.uint64))), None) for row, _, _, words in hashed_rows(part, 0, lower=True)), f"`{id_col}` bigint, n_shingles bigint, component_id bigint")
+    hashed = map_records(none.select(_raw(), id_col), lambda part: ((row[1], len(shingles(words, None)), None) for row, _, _, words in hashed_rows(part, 0, lower=True)), f"`{id_col}` bigint, n_shingles bigint, component_id bigint")
     return out.unionByName(hashed)
 
 

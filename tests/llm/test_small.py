@@ -453,7 +453,7 @@ def near_rows(rng):
 def test_jaccard_components(spark, rows, monkeypatch, sizes):
     monkeypatch.setattr(jaccard, "TREE_GRAMS", sizes[0])
     monkeypatch.setattr(jaccard, "BLOCK_ROWS", sizes[1])
-    monkeypatch.setattr(jaccard, "FREQUENT_SHARE", 0.1)
+    monkeypatch.setattr(jaccard, "COUNTERS", 1 << 10)
     mine = [(1000 + k, *r) for k, *r in near_rows(random.Random(21))] + [r for r in rows if r[0] != 3]
     got = jaccard.jaccard_components(clash(spark.createDataFrame(mine, SCHEMA).repartition(3)))
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == plain_components(mine)
