@@ -20,9 +20,9 @@ SHINGLE_WORDS = 4
 # per cent of the union that two linked sets share
 PERCENT = 85
 # counters that place n-grams by how often documents have them, and parts they are merged in
-COUNTERS, PARTS = 1 << 21, 32
+COUNTERS, PARTS = 1 << 20, 32
 # n-grams a task counts at once
-COUNTED = 1_000_000
+COUNTED = 250_000
 # n-grams of the sets of one tree (some 50 bytes each), rows of one side of a posting block
 TREE_GRAMS, BLOCK_ROWS = 600_000, 2000
 # the parity bits that pairs are tested by before whole sets travel: 2 to this power times as many

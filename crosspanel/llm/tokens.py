@@ -8,9 +8,9 @@ import numpy as np
 import xxhash
 
 # bytes that are hashed at once, and the longest word that the array formula hashes
-PIECE, SHORT = 1 << 20, 64
+PIECE, SHORT = 1 << 16, 64
 # bytes of texts that are hashed together
-HELD_BYTES = 1 << 17
+HELD_BYTES = 1 << 16
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
