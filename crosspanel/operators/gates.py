@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.numeric import finite, flag, log_ratio
 from ..functions.windows import lag
+from ..session import staging_root, track
 
 TOL = 1e-6
 
@@ -84,10 +86,49 @@ def spike_flags(bars: DataFrame, price: str = "close", n_sigma: float = 10.0) ->
     return r.withColumn("_s", s).withColumn("spike_flag", flag(F.abs(F.col("_lr") - F.col("_s.mu")) > n_sigma * F.col("_s.sd"))).drop("_lr", "_s")
 
 
-def run_gates(bars: DataFrame, end: date | str | None = None, max_lag: int = 5, max_gap: int = 5) -> tuple[DataFrame, DataFrame]:
-    """All gates in order; returns (bars with spike_flag, gap warnings)."""
-    check_ohlcv(bars)
-    gaps = date_gaps(bars, max_gap)
-    if end is not None:
-        check_freshness(bars, end, max_lag)
-    return spike_flags(bars), gaps
+def gated_write(bars: DataFrame, path: str, end: date | str | None = None, max_lag: int = 5) -> dict:
+    """Write `bars` to `path` if all gates pass; returns the metrics of the write.
+
+    Rule counts, the newest date, and mean and spread of log returns are observed
+    while the rows are written, so gates cost no pass of their own. The write
+    goes to a folder beside `path` that takes its name only when the gates have
+    passed; a failed gate deletes it and raises. Rows also get `_lr` and `_gap`,
+    the log return and the days since the ticker's bar before.
+    """
+    rows = bars.withColumn("_lr", log_ratio("close", lag("close"))).withColumn("_gap", F.datediff("date", lag("date")))
+    seen = Observation()
+    rows = rows.observe(seen, F.count(F.lit(1)).alias("n_rows"), *[F.count_if(c).alias(n) for n, c in ohlcv_rules().items()], F.max("date").alias("latest"), F.avg("_lr").alias("mu"), F.stddev_samp("_lr").alias("sd"))
+    spark = bars.sparkSession
+    here, there = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.unchecked-{uuid.uuid4().hex}", path))
+    files = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    passed = False
+    try:
+        rows.write.parquet(here.toString())
+        m = seen.get
+        bad = {n: m[n] for n in ohlcv_rules() if m[n]}
+        if bad:
+            raise DataQualityError(f"OHLCV check failed: {bad}")
+        if end is not None:
+            last = date.fromisoformat(end) if isinstance(end, str) else end
+            if m["latest"] is not None and (last - m["latest"]).days > max_lag:
+                raise DataQualityError(f"latest bar {m['latest']} is {(last - m['latest']).days} days behind {end}")
+        passed = True
+    finally:
+        if not passed:
+            files.delete(here, True)
+    if not files.rename(here, there):
+        raise DataQualityError(f"{path} exists already")
+    return m
+
+
+def run_gates(bars: DataFrame, end: date | str | None = None, max_lag: int = 5, max_gap: int = 5, path: str | None = None, n_sigma: float = 10.0) -> tuple[DataFrame, DataFrame]:
+    """All gates in one write; returns (stored bars with spike_flag, gap warnings), read from `path` or a staged folder."""
+    spark = bars.sparkSession
+    if path is None:
+        path = f"{staging_root(spark)}/gated-{uuid.uuid4().hex}"
+        track(spark, path)
+    m = gated_write(bars, path, end, max_lag)
+    kept = spark.read.parquet(path)
+    far = F.abs(F.col("_lr") - F.lit(m["mu"]).cast("double")) > n_sigma * F.lit(m["sd"]).cast("double")
+    gaps = kept.where(F.col("_gap") > max_gap).groupBy("ticker").agg(F.max("_gap").alias("worst_gap"), F.count(F.lit(1)).alias("n_gaps"))
+    return kept.withColumn("spike_flag", flag(far)).drop("_lr", "_gap"), gaps

@@ -208,10 +208,10 @@ def size_orders(spark, root):
 # --- outcomes --------------------------------------------------------------
 AS_OF = "2001-06-30"
 JOURNAL = f"""{PREDS}, tl AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY pred DESC, ticker) AS rn, count(*) OVER (PARTITION BY date) AS n, min(pred) OVER (PARTITION BY date) AS lo, max(pred) OVER (PARTITION BY date) AS hi FROM preds WHERE pred IS NOT NULL),
-journal AS (SELECT 'run-' || year(date) AS run_id, date AS signal_date, ticker, CASE WHEN rn <= greatest(1, n // 5) THEN 'LONG' ELSE 'NEUTRAL' END AS signal, CASE WHEN hi > lo THEN (pred - lo)/(hi - lo) ELSE 0.5 END AS prob_up,
+journal AS MATERIALIZED (SELECT 'run-' || year(date) AS run_id, date AS signal_date, ticker, CASE WHEN rn <= greatest(1, n // 5) THEN 'LONG' ELSE 'NEUTRAL' END AS signal, CASE WHEN hi > lo THEN (pred - lo)/(hi - lo) ELSE 0.5 END AS prob_up,
   {r('close', 2)} AS entry_price, {r('close*0.97', 2)} AS stop_loss, {r('close*1.04', 2)} AS target_price, CASE rn % 3 WHEN 0 THEN 21 WHEN 1 THEN 5 END AS horizon_days FROM tl)"""
 DUE = f"{JOURNAL}, due AS (SELECT *, signal_date + CAST(coalesce(horizon_days, 5) + 2 AS INTEGER) AS target_date FROM journal WHERE signal_date <= DATE '{AS_OF}' - CAST(coalesce(horizon_days, 5) + 2 AS INTEGER))"
-OUTC = f"""{DUE}, fw AS (SELECT d.run_id, d.signal_date, d.ticker, min(b.date) AS close_date, arg_min(b.close, b.date) AS actual FROM due d JOIN bars b ON b.ticker = d.ticker AND b.date BETWEEN d.target_date AND d.target_date + 5 GROUP BY 1, 2, 3),
+OUTC = f"""{DUE}, fw AS MATERIALIZED (SELECT d.run_id, d.signal_date, d.ticker, b.close AS actual FROM due d ASOF JOIN bars b ON b.ticker = d.ticker AND b.date >= d.target_date WHERE b.date <= d.target_date + 5),
 oc AS (SELECT d.run_id, d.signal_date, d.ticker, d.signal, CASE WHEN prob_up = 0 OR prob_up IS NULL THEN 0.5 ELSE prob_up END AS prob_up, target_date AS outcome_date, {r('actual', 2)} AS actual_close, {r('CASE WHEN entry_price > 0 THEN ln(actual/entry_price) ELSE 0.0 END', 6)} AS actual_fwd_ret,
   actual >= target_price AND target_price > 0 AS hit_target, actual <= stop_loss AND stop_loss > 0 AS hit_stop, CASE WHEN actual > entry_price THEN 1 ELSE -1 END AS label_direction, (signal = 'LONG' AND actual > entry_price) OR (signal = 'NEUTRAL' AND actual <= entry_price) AS is_correct
   FROM due d JOIN fw f ON f.run_id = d.run_id AND f.signal_date = d.signal_date AND f.ticker = d.ticker),
@@ -237,7 +237,7 @@ def due_predictions(spark, root):
     return outcomes.due(_journal(spark, root), AS_OF).select(*_K)
 
 
-@query(f"WITH {DUE} SELECT d.run_id, d.signal_date, d.ticker, min(b.date) AS close_date, {r('arg_min(b.close, b.date)', 4)} AS actual_close FROM due d JOIN bars b ON b.ticker = d.ticker AND b.date BETWEEN d.target_date AND d.target_date + 5 GROUP BY 1, 2, 3")
+@query(f"WITH {DUE} SELECT d.run_id, d.signal_date, d.ticker, b.date AS close_date, {r('b.close', 4)} AS actual_close FROM due d ASOF JOIN bars b ON b.ticker = d.ticker AND b.date >= d.target_date WHERE b.date <= d.target_date + 5")
 def asof_forward_join(spark, root):
     d = outcomes.due(_journal(spark, root), AS_OF).withColumn("target_date", F.date_add("signal_date", (outcomes.horizon_of(5) + 2).cast("int")))
     return rounded(outcomes.asof_forward(d.select(*_K, "target_date"), panel.bars(spark, root)), [*_K, "close_date"], ["actual_close"], 4)

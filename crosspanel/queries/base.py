@@ -66,7 +66,7 @@ def ewmq(x: str, a: float, i: str) -> str:
 
 
 ORD = "ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice"
-BARS = f"""bars AS (SELECT CAST(l_suppkey AS BIGINT) AS ticker, CAST(l_shipdate AS DATE) AS date,
+BARS = f"""bars AS MATERIALIZED (SELECT CAST(l_suppkey AS BIGINT) AS ticker, CAST(l_shipdate AS DATE) AS date,
   first(l_extendedprice/l_quantity {ORD}) AS open, max(l_extendedprice/l_quantity) AS high, min(l_extendedprice/l_quantity) AS low,
   last(l_extendedprice/l_quantity {ORD}) AS close, sum(l_quantity) AS volume FROM lineitem GROUP BY 1, 2)"""
 

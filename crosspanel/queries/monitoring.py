@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from ..functions.numeric import rnd
 from ..functions.ordered import quantiles_in
 from ..operators import drift, features as ft, horizon, isotonic, labels, metrics, models, profiles, splits, surface
-from ..plans.assembly import build_features, momentum_predictions, raw_features
+from ..plans import end_to_end
+from ..plans.assembly import momentum_predictions, raw_features
 from ..session import stage
 from ..sources import panel
-from .accounts import OUTC, _outcomes
+from .accounts import AS_OF, OUTC, _outcomes
 from .base import FEATS, PREDS, leadq, query, r, rounded, spearman_sql
 from .features import ALL_FEATURES, RAW_FEATURES, RAW_TABLE, Z_TABLE
 
@@ -121,13 +122,7 @@ HORIZONS = [5, 21, 63]
 
 
 def _rows(spark, root, task: str = "classification"):
-    """(rows, features): the whole feature table with labels and weights; staged because fits scan it repeatedly."""
-    bars = panel.bars(spark, root)
-    marked = labels.add_labels(bars, 5, "triple_barrier" if task == "classification" else "forward_return")
-    marked = labels.sample_weights(marked, 5).select("ticker", "date", "fwd_ret", "target", "weight")
-    table, names = build_features(bars, panel.index_bars(spark, root))
-    rows = table.select("ticker", "date", *[F.col(c).cast("double").alias(c) for c in names]).join(marked, ["ticker", "date"])
-    return stage(rows), names
+    return end_to_end.model_rows(panel.bars(spark, root), panel.index_bars(spark, root), task)
 
 
 # the rows a model sees: all features present
@@ -267,3 +262,31 @@ def score_latest(spark, root):
     s = stage(models.score_latest(rows, names, weight="weight", **TREES))
     n = s.groupBy("date").agg(F.count_if(F.col("signal") == "LONG").alias("n_long"))
     return s.join(F.broadcast(n), "date").select("date", "ticker", F.col("prob_up").between(0, 1).alias("scored"), "n_long")
+
+
+END_REFIT = 20
+_E2E = f"""{UPTO}, sc AS MATERIALIZED (SELECT date, ticker FROM sn JOIN sd USING (date) JOIN up ON up.idx = 504 + (sd.idx - 504)//(5*{END_REFIT})*5*{END_REFIT} - 73
+  WHERE seen AND sd.idx >= 504 AND sd.idx < n - 5 AND (sd.idx - 504) % 5 = 0 AND upto >= {MIN_ROWS}),
+lg AS (SELECT sum(greatest(1, c // 5)) AS n_long FROM (SELECT count(*) AS c FROM sc GROUP BY date)),
+du AS (SELECT sc.ticker, sc.date, b.date AS met FROM sc ASOF JOIN bars b ON b.ticker = sc.ticker AND b.date >= sc.date + 7 WHERE b.date <= sc.date + 12 AND sc.date <= DATE '{AS_OF}' - 7)"""
+
+
+@query(f"WITH {_E2E} SELECT 'bars' AS part, count(*) AS n, count(DISTINCT date) AS n_dates, count(DISTINCT ticker) AS n_tickers FROM bars UNION ALL SELECT 'scored', count(*), count(DISTINCT date), count(DISTINCT ticker) FROM sc "
+       "UNION ALL SELECT 'journal', count(*), count(DISTINCT date), count(DISTINCT ticker) FROM sc UNION ALL SELECT 'long', CAST((SELECT n_long FROM lg) AS BIGINT), count(DISTINCT date), NULL FROM sc "
+       "UNION ALL SELECT 'resolved', count(*), count(DISTINCT date), count(DISTINCT ticker) FROM du UNION ALL SELECT 'pending', (SELECT count(*) FROM sc) - (SELECT count(*) FROM du), NULL, NULL")
+def panel_pipeline(spark, root):
+    """Features, labels, walk-forward scores, portfolio, journal and outcomes as one plan; counts of every part."""
+    done = end_to_end.run(panel.bars(spark, root), panel.index_bars(spark, root), AS_OF, END_REFIT, MIN_ROWS, **WALK_TREES)
+    assert done.ic.first().n_days > 0 and done.book.first().n_periods > 0
+    nothing = F.lit(None).cast("bigint")
+
+    def part(name, df, day="date", tickers=True):
+        return df.agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("n"), F.count_distinct(day).alias("n_dates"), (F.count_distinct("ticker") if tickers else F.max(nothing)).alias("n_tickers"))
+
+    journal = stage(done.journal)
+    pending = journal.where(~F.col("outcome_resolved")).agg(F.lit("pending").alias("part"), F.count(F.lit(1)).alias("n"), F.max(nothing).alias("n_dates"), F.max(nothing).alias("n_tickers"))
+    parts = [part("scored", done.scored), part("journal", journal, "signal_date"), part("long", journal.where("signal = 'LONG'"), "signal_date", False), part("resolved", done.outcomes, "signal_date"), pending]
+    out = part("bars", done.bars)
+    for p in parts:
+        out = out.unionByName(p)
+    return out

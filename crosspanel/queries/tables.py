@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import rnd
 from ..functions.ordered import row_number_in
 from ..operators import calendar, gates
-from ..session import stage, staging_root
+from ..session import stage, staging_root, track
 from ..sources import panel, tables
-from .base import BARS, INDEX, TRADES, lagq, leadq, query, r, rounded, rs
+from .base import BARS, INDEX, TRADES, lagq, leadq, query, r, roll, rounded, rs
 
 OHLCV = ["open", "high", "low", "close", "volume"]
 KEYS = ["ticker", "date"]
@@ -200,6 +201,38 @@ def portfolio_header(spark, root):
     return tables.portfolio_header(_portfolio_files(spark, _funds(spark, root), row, "ledger")).distinct()
 
 
+@query("WITH o AS (SELECT *, CASE WHEN o_orderkey % 13 = 0 THEN 'broken' WHEN o_orderkey % 17 = 0 THEN 'broken' WHEN o_orderkey % 19 = 0 THEN 'missing ticker' ELSE 'kept' END AS reason FROM orders) "
+       f"SELECT reason, count(*) AS n, {r('sum(CASE WHEN reason = ' + chr(39) + 'kept' + chr(39) + ' THEN o_totalprice END)', 2)} AS total FROM o GROUP BY 1")
+def hostile_journal(spark, root):
+    """A journal with cut lines, values of another type and missing keys: what is kept, and why the rest is not."""
+    o = tables.table(spark, root, "orders")
+    key = F.col("o_orderkey")
+    whole = F.to_json(F.struct(F.when(key % 19 != 0, key.cast("string")).alias("ticker"), F.to_date("o_orderdate").cast("string").alias("signal_date"), F.col("o_totalprice").alias("entry_price"), F.lit(1).alias("unknown")))
+    text = F.when(key % 13 == 0, F.expr("substring(j, 1, length(j) - 5)")).when(key % 17 == 0, F.regexp_replace("j", '"entry_price":', '"entry_price":"n/a","x":')).otherwise(F.col("j"))
+    path = f"{staging_root(spark)}/hostile-{uuid.uuid4().hex}"
+    track(spark, path)
+    o.withColumn("j", whole).select("o_orderkey", "j").select(text.alias("value")).write.text(path)
+    rows, quarantine = tables.read_hostile(spark, path, tables.SIGNAL_SCHEMA, ["ticker"])
+    kept = rows.agg(F.lit("kept").alias("reason"), F.count(F.lit(1)).alias("n"), rnd(F.sum("entry_price"), 2).alias("total"))
+    return kept.unionByName(quarantine.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.lit(None).cast("double").alias("total")))
+
+
+@query(f"WITH {BARS} SELECT ticker, date, {r(f'{roll("avg", "close", 5)}')} AS sma5, count(*) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING) AS n FROM bars")
+def bucketed_panel(spark, root):
+    """The panel stored in buckets by ticker in two parts; its windows then run where the rows lie."""
+    b = stage(panel.bars(spark, root))
+    name = f"panel_{uuid.uuid4().hex}"
+    cut = F.lit("1996-01-01").cast("date")
+    tables.write_panel(b.where(F.col("date") < cut), name, 8)
+    t = tables.write_panel(b.where(F.col("date") >= cut), name, 8, mode="append")
+    w = W.partitionBy("ticker").orderBy("date")
+    five = w.rowsBetween(-4, 0)
+    out = t.select("ticker", "date", rnd(F.when(F.count("close").over(five) == 5, F.avg("close").over(five)), 6).alias("sma5"), F.count(F.lit(1)).over(w.rowsBetween(W.unboundedPreceding, 0)).alias("n"))
+    out = stage(out)
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 @query(f"SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 'run-b' ELSE 'run-a' END AS run_id, {r('CASE WHEN o_orderstatus = ' + chr(39) + 'F' + chr(39) + ' THEN o_totalprice + 1 ELSE o_totalprice END', 2)} AS amount, count(*) AS n FROM orders GROUP BY 1, 2, 3")
 def sync_ledger(spark, root):
     """Idempotent by id: entries synced again replace their older row, and a repeated sync changes nothing."""

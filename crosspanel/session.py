@@ -30,6 +30,8 @@ def local_session(cpus: int | str = "*", memory: str = "8g", checkpoint_dir: str
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
+    # stored tables of a local session stay out of the folder it starts in
+    builder = builder.config("spark.sql.warehouse.dir", f"{checkpoint_dir or tempfile.mkdtemp(prefix='crosspanel-')}/warehouse")
     if checkpoint_dir:
         builder = builder.config(CHECKPOINT_CONF, checkpoint_dir)
     spark = builder.getOrCreate()

@@ -164,6 +164,44 @@ def read_journal(spark: SparkSession, path: str, schema: T.StructType, fmt: str
     return reader.option("multiLine", True).json(path) if fmt == "json" else reader.option("header", True).csv(path)
 
 
+def read_hostile(spark: SparkSession, path: str, schema: T.StructType, required: list[str] | None = None, fmt: str = "json") -> tuple[DataFrame, DataFrame]:
+    """(rows, quarantine) of a journal whose lines may be broken; a missing file gives two empty tables.
+
+    JSON is read line by line, so a large file splits over tasks and one broken
+    line costs that line. A line that doesn't parse, or has a value of another
+    type, goes to the quarantine (line, reason "broken"); one that parses but
+    lacks a `required` value goes there as "missing <columns>". Unknown fields
+    are dropped, blank lines are no rows. The file is parsed once.
+    """
+    required = required or []
+    quarantine = "line string, reason string"
+    if not _exists(spark, path):
+        return spark.createDataFrame([], schema), spark.createDataFrame([], quarantine)
+    whole = T.StructType([*[T.StructField(f.name, f.dataType) for f in schema], T.StructField("_broken", T.StringType())])
+    reader = spark.read.schema(whole).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken")
+    parsed = stage(reader.json(path) if fmt == "json" else reader.option("header", True).csv(path))
+    names = [f.name for f in schema]
+    lacking = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in required])) if required else F.expr("cast(array() as array<string>)")
+    reason = F.when(F.col("_broken").isNotNull(), F.lit("broken")).when(F.size(lacking) > 0, F.concat(F.lit("missing "), F.concat_ws(", ", lacking)))
+    parsed = parsed.withColumn("_reason", reason)
+    line = F.coalesce("_broken", F.to_json(F.struct(*names)))
+    return parsed.where(F.col("_reason").isNull()).select(*names), parsed.where(F.col("_reason").isNotNull()).select(line.alias("line"), F.col("_reason").alias("reason"))
+
+
+def write_panel(bars: DataFrame, name: str, buckets: int = 64, mode: str = "overwrite") -> DataFrame:
+    """Store a panel as a table bucketed by ticker and sorted by date inside a bucket.
+
+    Windows by ticker and joins of two such tables on ticker then need no
+    shuffle. `mode` "append" adds rows in the same buckets: more files a bucket,
+    so a sort but still no shuffle. One task writes a bucket, so it has one file.
+    """
+    spark = bars.sparkSession
+    at = F.expr(f"pmod(hash(ticker), {buckets})")
+    rows = bars.repartitionById(buckets, at).sortWithinPartitions("ticker", "date")
+    rows.write.mode(mode).format("parquet").bucketBy(buckets, "ticker").sortBy("ticker", "date").saveAsTable(name)
+    return spark.table(name)
+
+
 def portfolio_trades(portfolio: DataFrame) -> DataFrame:
     """Nested portfolio file -> one row per trade (unknown fields are dropped by the schema)."""
     return portfolio.select(F.explode("trades").alias("t")).select("t.*")

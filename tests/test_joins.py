@@ -17,8 +17,7 @@ def sides(spark):
     return left, right, spark.createDataFrame(left, "id long, k string, t long").repartition(4), spark.createDataFrame(right, "k string, t long, v string").repartition(3)
 
 
-@pytest.mark.parametrize("direction", ["backward", "forward"])
-@pytest.mark.parametrize("strict,within,shard_rows", [(False, None, 10**6), (True, None, 7), (False, 3, 20), (True, 1, 1)])
+@pytest.mark.parametrize("direction,strict,within,shard_rows", [("backward", False, None, 10**6), ("forward", True, None, 7), ("backward", True, 3, 1), ("forward", False, 1, 20)])
 def test_asof(sides, direction, strict, within, shard_rows):
     left, right, a, b = sides
     want = {}
