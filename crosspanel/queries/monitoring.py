@@ -117,7 +117,7 @@ REFIT_EVERY = 5
 WALK_TREES = dict(maxIter=5, maxDepth=4)
 SURFACE_REFIT_EVERY = 25
 # settings of the searches; a setting's rounds and depth are what the trees here have
-GRID = [dict(maxIter=i, maxDepth=d, stepSize=s) for i in (5, 10) for d in (2, 3, 4) for s in (0.1, 0.3)]
+GRID = [dict(maxIter=i, maxDepth=d, stepSize=s) for i in (2, 4) for d in (2, 3) for s in (0.1, 0.2, 0.4)]
 HORIZONS = [5, 21, 63]
 
 
