@@ -25,3 +25,16 @@ def test_ewm_of_a_series_that_decays_below_any_double(spark):
     assert np.isnan(out.a[0]) and out.a[1] == 8.0
     np.testing.assert_allclose(out.a[1:].to_numpy(), 8.0 * 0.8 ** np.arange(2999), rtol=1e-9, atol=1e-300)
     assert (out.a[1:2500] / out.b[1:2500]).round(9).eq(4.0).all()
+
+
+def test_spells_count_users_without_shuffling_pairs(spark, tmp_path):
+    from crosspanel.queries import QUERIES
+
+    rows = [(1, "08:00:00", 7, "error", 60.0), (2, "08:10:00", 7, "view", 1.0), (3, "08:20:00", 8, "view", 1.0), (4, "08:20:00", 8, "view", 1.0),
+            (5, "08:30:00", None, "click", 1.0), (6, "07:59:00", 8, "view", 1.0), (7, "09:00:00", 9, "error", 0.5), (8, "09:00:30", 9, "view", 1.0)]
+    e = spark.createDataFrame([(i, f"2024-01-01 {t}", u, k, v) for i, t, u, k, v in rows], "event_id long, ts string, user_id long, event_type string, value double")
+    e.withColumn("ts", F.to_timestamp("ts")).write.parquet(f"{tmp_path}/events.parquet")
+    out = QUERIES["events_in_spells"](spark, str(tmp_path))
+    assert sorted(map(tuple, out.collect())) == [(1, 6, 1, 7, 3), (7, 2, 7, 8, 1)]
+    grouped = [line for line in executed(out).splitlines() if "HashAggregate(keys=[spell_id" in line]
+    assert grouped and all("user_id" not in line.split("functions=")[0] for line in grouped)
