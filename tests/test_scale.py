@@ -32,9 +32,12 @@ def test_spells_count_users_without_shuffling_pairs(spark, tmp_path):
 
     rows = [(1, "08:00:00", 7, "error", 60.0), (2, "08:10:00", 7, "view", 1.0), (3, "08:20:00", 8, "view", 1.0), (4, "08:20:00", 8, "view", 1.0),
             (5, "08:30:00", None, "click", 1.0), (6, "07:59:00", 8, "view", 1.0), (7, "09:00:00", 9, "error", 0.5), (8, "09:00:30", 9, "view", 1.0)]
+    # a spell that is there twice, and two spells of one id that meet the same user
+    rows += [(10, "12:00:00", 3, "error", 2.0)] * 2 + [(11, "12:01:00", 4, "view", 1.0)] + [(12, "15:00:00", 5, "error", 2.0), (12, "15:01:00", 5, "error", 2.0), (13, "15:01:30", 6, "view", 1.0)]
     e = spark.createDataFrame([(i, f"2024-01-01 {t}", u, k, v) for i, t, u, k, v in rows], "event_id long, ts string, user_id long, event_type string, value double")
     e.withColumn("ts", F.to_timestamp("ts")).write.parquet(f"{tmp_path}/events.parquet")
     out = QUERIES["events_in_spells"](spark, str(tmp_path))
-    assert sorted(map(tuple, out.collect())) == [(1, 6, 1, 7, 3), (7, 2, 7, 8, 1)]
-    grouped = [line for line in executed(out).splitlines() if "HashAggregate(keys=[spell_id" in line]
-    assert grouped and all("user_id" not in line.split("functions=")[0] for line in grouped)
+    assert sorted(map(tuple, out.collect())) == [(1, 6, 1, 7, 3), (7, 2, 7, 8, 1), (10, 6, 10, 11, 2), (12, 5, 12, 13, 2)]
+    # what is grouped with the spell is a user of spells of several times only
+    keys = [line.split("functions=")[0] for line in executed(out).splitlines() if "HashAggregate(keys=[spell_id" in line and "begins" not in line.split("functions=")[0]]
+    assert keys and all("user_id" not in k or "several" in k for k in keys)
