@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from crosspanel.operators import cross, features as ft
+from crosspanel.operators import cross, features as ft, models
 from crosspanel.plans.assembly import build_features
 from crosspanel.session import stage
 
@@ -60,3 +60,11 @@ def test_feature_table_shuffles_no_wide_rows(spark, walk):
     assert len(names) > 45 and "Exchange hashpartitioning(ticker" in plan
     for below in re.split(r"Exchange hashpartitioning", plan)[1:]:
         assert "MapInArrow" not in below
+
+
+def test_rows_of_folds_are_staged_once_and_without_what_their_vector_holds(spark):
+    df = spark.createDataFrame([(d, t, float(t), float(d * t), float(t), 1.0) for d in range(40) for t in range(5)], "date int, ticker long, a double, b double, target double, weight double")
+    folds = spark.createDataFrame([(d, k, "train" if d < 10 * k + 10 else "test") for k in range(3) for d in range(10 * k + 20)], "date int, fold int, role string")
+    v, table, ids = models._folded(df.unionByName(df.limit(1).withColumn("date", F.lit(None).cast("int"))), folds, ["a", "b"])
+    assert v.count() == 200 and ids == [0, 1, 2] and set(v.columns) == {"date", "ticker", "target", "weight", "features"}
+    assert models.fold_rows(v, table.where("fold = 2")).groupBy("role").count().orderBy("role").collect() == [("test", 50), ("train", 150)]
