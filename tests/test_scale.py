@@ -41,3 +41,58 @@ def test_spells_count_users_without_shuffling_pairs(spark, tmp_path):
     # what is grouped with the spell is a user of spells of several times only
     keys = [line.split("functions=")[0] for line in executed(out).splitlines() if "HashAggregate(keys=[spell_id" in line and "begins" not in line.split("functions=")[0]]
     assert keys and all("user_id" not in k or "several" in k for k in keys)
+
+
+def test_days_are_ordered_whole_and_large_ones_in_segments(spark, monkeypatch):
+    from crosspanel.functions import ordered
+
+    rng = np.random.default_rng(7)
+    rows = [(None if d == 3 else d, int(i), None if rng.random() < 0.1 else float(rng.integers(0, 9))) for d in range(4) for i in range(40 + 60 * (d == 2))]
+    df = spark.createDataFrame(rows, "day int, id long, v double")
+    number = lambda: ordered.row_number_in(df, ["day"], "v", "id", bounded=True)
+    whole = number()
+    plan = executed(whole)
+    assert "percentile_approx" not in plan and "Join" not in plan
+    want = []
+    for d in range(3):
+        day = sorted((v, i) for x, i, v in rows if x == d and v is not None)
+        want += [(d, i, v, k + 1, len(day)) for k, (v, i) in enumerate(day)]
+    assert sorted(map(tuple, whole.collect())) == sorted(want) and whole.dtypes[-2:] == [("rn", "bigint"), ("n", "bigint")]
+    monkeypatch.setattr(ordered, "GROUP_ROWS", 50)
+    assert sorted(map(tuple, number().collect())) == sorted(want)
+
+
+def test_pairs_of_a_group_are_ranked_in_one_shuffle(spark, monkeypatch):
+    from crosspanel.operators import metrics
+
+    rng = np.random.default_rng(9)
+    rows = [(None if g == 3 else g, float(rng.integers(0, 12)), float(rng.normal())) for g in range(4) for _ in range(30 + 100 * (g == 1))]
+    rows += [(5, 1.0, 2.0), (6, 1.0, 2.0), (6, 1.0, 3.0), (7, None, 1.0)] + [(2, float("nan"), 1.0), (2, -0.0, 1.5), (2, 0.0, 2.5)]
+    df = spark.createDataFrame(rows, "g int, a double, b double")
+    found = metrics.spearman(df, "a", "b", ["g"])
+    plan = executed(found)
+    assert plan.count("Exchange") == 1 and "percentile_approx" not in plan
+    got = {r.g: (r.ic, r.n) for r in found.collect()}
+    for g in (0, 1, 2):
+        x, y = (pd.Series([r[c] for r in rows if r[0] == g]).fillna(1e9).rank() for c in (1, 2))
+        assert abs(got[g][0] - x.corr(y)) < 1e-12 and got[g][1] == len(x)
+    assert got[None] == (None, 30) and got[5] == (None, 1) and got[6] == (None, 2) and 7 not in got
+    monkeypatch.setattr(metrics, "PAIR_ROWS", 29)
+    cut = {r.g: (r.ic, r.n) for r in metrics.spearman(df, "a", "b", ["g"]).collect()}
+    assert set(cut) == set(got) and all(cut[g][1] == got[g][1] for g in got)
+    assert all((cut[g][0] is None) == (got[g][0] is None) and (got[g][0] is None or abs(cut[g][0] - got[g][0]) < 1e-12) for g in got)
+
+
+def test_sample_weights_of_model_rows_read_labels_from_files(walk, monkeypatch):
+    from crosspanel.plans import end_to_end
+
+    _, df = walk
+    seen = []
+
+    def build(bars, index_bars, along):
+        seen.append(along(bars) if callable(along) else along)
+        return bars.withColumn("_marked", F.lit(False)).withColumns({c: F.lit(0.0) for c in ("fwd_ret", "target", "weight")}), ["close"]
+
+    monkeypatch.setattr(end_to_end, "build_features", build)
+    end_to_end.model_rows(df, None, "regression")
+    assert "lead(" not in executed(seen[0]) and seen[0].where("weight is null").count() == 0 and seen[0].count() == 3 * 1300
