@@ -9,13 +9,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio, rnd
-from ..functions.windows import lag
 from ..session import stage
 from ..sources.tables import merge_rows
 from .metrics import spearman
 
 KEY = ["signal_date", "ticker", "run_id"]
 SEARCH_DAYS = 5
+# days of a ticker that one task orders at once
+BLOCK_DAYS = 64
 
 
 def horizon_of(default: int):
@@ -28,28 +29,34 @@ def due(predictions: DataFrame, as_of: date | str, default_horizon: int = 5) ->
     return predictions.where(~F.coalesce("outcome_resolved", F.lit(False)) & (F.col("signal_date") <= latest))
 
 
-def next_closes(bars: DataFrame, search: int = SEARCH_DAYS) -> DataFrame:
-    """(ticker, target_date, close_date, actual_close): the close on each day or the next one within `search` days.
+def asof_forward(rows: DataFrame, bars: DataFrame, on: str = "target_date", search: int = SEARCH_DAYS) -> DataFrame:
+    """`rows` with close_date and actual_close of the first bar of the ticker on the day `on` or up to `search` days later; rows without one are left out.
 
-    Every bar answers for the days since the previous bar, so the day ranges of a
-    ticker are disjoint, the table has at most one row per ticker and day, and the
-    forward as-of lookup is a plain equality join.
+    A row and the bars it may meet go to the same block of BLOCK_DAYS days of the
+    ticker: a bar also goes to the block before, if that one's last days may meet
+    it. A block is ordered once, newest day first, and a row takes the last bar
+    it has seen. Neither side is multiplied by the days of the search.
     """
-    b = bars.select("ticker", "date", "close", lag("date").alias("_p"))
-    first = F.greatest(F.coalesce(F.date_add("_p", 1), F.date_sub("date", search)), F.date_sub("date", search))
-    return b.select("ticker", F.explode(F.sequence(first, F.col("date"))).alias("target_date"), F.col("date").alias("close_date"), F.col("close").alias("actual_close"))
-
-
-def asof_forward(rows: DataFrame, bars: DataFrame, on: str = "target_date") -> DataFrame:
-    """Inner forward as-of join of rows(ticker, <on>) with the closes."""
-    return rows.join(next_closes(bars).withColumnRenamed("target_date", on), ["ticker", on])
+    rest = [c for c in rows.columns if c not in ("ticker", on)]
+    # a null key or day matches nothing, and would gather in one block
+    known = rows.where(F.col("ticker").isNotNull() & F.col(on).isNotNull())
+    day = F.unix_date("date")
+    seen = bars.where(F.col("ticker").isNotNull() & day.isNotNull()).select(
+        "ticker", F.explode(F.sequence(F.floor((day - search) / BLOCK_DAYS), F.floor(day / BLOCK_DAYS))).alias("_block"), F.col("date").alias(on), F.struct("date", "close").alias("_hit"))
+    asked = known.select("ticker", F.floor(F.unix_date(on) / BLOCK_DAYS).alias("_block"), on, F.struct(*rest).alias("_row") if rest else F.struct(F.lit(0)).alias("_row"))
+    both = asked.unionByName(seen, allowMissingColumns=True)
+    # a bar of the same day is there before the row
+    order = W.partitionBy("ticker", "_block").orderBy(F.col(on).desc(), F.col("_row").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
+    met = both.withColumn("_hit", F.last("_hit", ignorenulls=True).over(order))
+    met = met.where(F.col("_row").isNotNull() & (F.col("_hit.date") <= F.date_add(on, search)))
+    return met.select("ticker", on, *[F.col(f"_row.`{c}`").alias(c) for c in rest], F.col("_hit.date").alias("close_date"), F.col("_hit.close").alias("actual_close"))
 
 
 def resolve(predictions: DataFrame, bars: DataFrame, as_of: date | str, default_horizon: int = 5) -> DataFrame:
     """Outcome columns for due predictions that have a price; the rest stay unresolved."""
     d = due(predictions, as_of, default_horizon)
     d = d.withColumn("target_date", F.date_add("signal_date", (horizon_of(default_horizon) + 2).cast("int")))
-    d = asof_forward(d.drop("outcome_date", "actual_close", "actual_fwd_ret", "hit_target", "hit_stop", "label_direction"), bars)
+    d = asof_forward(d.select(*KEY, "signal", "prob_up", "entry_price", "stop_loss", "target_price", "target_date"), bars)
     close = F.col("actual_close")
     entry, stop, target = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("entry_price", "stop_loss", "target_price"))
     ret = F.when(entry > 0, F.log(ratio(close, entry))).otherwise(0.0)

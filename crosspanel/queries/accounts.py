@@ -219,12 +219,18 @@ outcomes AS (SELECT *, CASE WHEN hit_target THEN 'target' WHEN hit_stop THEN 'st
 _K = ["run_id", "signal_date", "ticker"]
 
 
-def _journal(spark, root):
-    return stage(journal_predictions(momentum_predictions(spark, root)))
+def _closes(spark, root):
+    """The closes that the journal is made from and resolved by, worked out once."""
+    return stage(panel.bars(spark, root).select("ticker", "date", "close"))
+
+
+def _journal(spark, root, bars=None):
+    return stage(journal_predictions(momentum_predictions(spark, root, bars=bars, only=["date", "ticker", "close", "pred"])))
 
 
 def _outcomes(spark, root):
-    return outcomes.resolve(_journal(spark, root), panel.bars(spark, root), AS_OF)
+    b = _closes(spark, root)
+    return outcomes.resolve(_journal(spark, root, b), b, AS_OF)
 
 
 @query(f"WITH {JOURNAL} SELECT run_id, signal_date, ticker, signal, {r('prob_up')} AS prob_up, entry_price, stop_loss, target_price, CAST(horizon_days AS INTEGER) AS horizon_days FROM journal")
@@ -239,8 +245,9 @@ def due_predictions(spark, root):
 
 @query(f"WITH {DUE} SELECT d.run_id, d.signal_date, d.ticker, b.date AS close_date, {r('b.close', 4)} AS actual_close FROM due d ASOF JOIN bars b ON b.ticker = d.ticker AND b.date >= d.target_date WHERE b.date <= d.target_date + 5")
 def asof_forward_join(spark, root):
-    d = outcomes.due(_journal(spark, root), AS_OF).withColumn("target_date", F.date_add("signal_date", (outcomes.horizon_of(5) + 2).cast("int")))
-    return rounded(outcomes.asof_forward(d.select(*_K, "target_date"), panel.bars(spark, root)), [*_K, "close_date"], ["actual_close"], 4)
+    b = _closes(spark, root)
+    d = outcomes.due(_journal(spark, root, b), AS_OF).withColumn("target_date", F.date_add("signal_date", (outcomes.horizon_of(5) + 2).cast("int")))
+    return rounded(outcomes.asof_forward(d.select(*_K, "target_date"), b), [*_K, "close_date"], ["actual_close"], 4)
 
 
 _OC = ["signal", "outcome_date", "actual_close", "actual_fwd_ret", "hit_target", "hit_stop", "label_direction", "is_correct", "exit_reason"]
@@ -254,7 +261,8 @@ def resolve_outcomes(spark, root):
 @query(f"WITH {OUTC} SELECT j.run_id, j.signal_date, j.ticker, o.ticker IS NOT NULL AS outcome_resolved, o.outcome_date, o.actual_fwd_ret, o.is_correct FROM journal j LEFT JOIN outcomes o ON o.run_id = j.run_id AND o.signal_date = j.signal_date AND o.ticker = j.ticker")
 def merge_resolution(spark, root):
     """Resolved twice: the second pass finds nothing due and leaves the table as it is."""
-    j, b = _journal(spark, root), panel.bars(spark, root)
+    b = _closes(spark, root)
+    j = _journal(spark, root, b)
     empty = spark.createDataFrame([], outcomes.resolve(j, b, AS_OF).schema)
     p1, o1, _ = outcomes.resolve_and_merge(j, empty, b, AS_OF)
     p2, _, _ = outcomes.resolve_and_merge(stage(p1), stage(o1), b, AS_OF)
@@ -294,15 +302,17 @@ JR = f"{OUTC}, jr AS (SELECT j.*, o.ticker IS NOT NULL AS outcome_resolved, o.is
 
 @query(f"WITH {JR} SELECT {_SC}, {r('avg(CASE WHEN outcome_resolved THEN is_correct::INT END)')} AS hit_rate, {r('avg(CASE WHEN signal = ' + chr(39) + 'LONG' + chr(39) + ' THEN actual_fwd_ret END)')} AS mean_ret_long, {r('avg(CASE WHEN signal = ' + chr(39) + 'NEUTRAL' + chr(39) + ' THEN actual_fwd_ret END)')} AS mean_ret_neutral FROM jr")
 def journal_scorecard(spark, root):
-    j = _journal(spark, root)
-    p, _, _ = outcomes.resolve_and_merge(j, spark.createDataFrame([], outcomes.resolve(j, panel.bars(spark, root), AS_OF).schema), panel.bars(spark, root), AS_OF)
+    b = _closes(spark, root)
+    j = _journal(spark, root, b)
+    p, _, _ = outcomes.resolve_and_merge(j, spark.createDataFrame([], outcomes.resolve(j, b, AS_OF).schema), b, AS_OF)
     return rounded(outcomes.scorecard(p), ["n_total", "n_pending", "n_resolved"], ["hit_rate", "mean_ret_long", "mean_ret_neutral"])
 
 
 @query(f"WITH {JR} SELECT run_id, signal_date, ticker FROM jr WHERE outcome_resolved AND signal = 'LONG' AND is_correct = true")
 def journal_filter(spark, root):
-    j = _journal(spark, root)
-    p = outcomes.merge_resolution(j, outcomes.resolve(j, panel.bars(spark, root), AS_OF))
+    b = _closes(spark, root)
+    j = _journal(spark, root, b)
+    p = outcomes.merge_resolution(j, outcomes.resolve(j, b, AS_OF))
     return outcomes.filter_journal(p, "Resolved", signal="LONG", correct=True).select(*_K)
 
 
